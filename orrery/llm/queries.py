@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, pii, quality, secrets
+from . import chat_format, packing, pii, quality, secrets, simhash
 from .work import keep
 
 
@@ -19,6 +19,11 @@ def _listed(spans: Column, kinds: list[str], start: str = "start", end: str = "e
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s[start].cast("string"), s[end].cast("string"))), ",")
 
 
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.groups(_documents(spark, sf_dir))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     clash = "</s>[INST] ok [/INST]"
@@ -60,4 +65,8 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op2_chat_format, op5_secret_scan, op6_quality_rules, op7_pii)}
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(keep(packing.tokenize(_documents(spark, sf_dir)), "pieces"))
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_chat_format, op5_secret_scan, op6_quality_rules, op7_pii, op8_packing)}

@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 PIECE_BYTES = 4 << 20
 
@@ -38,7 +39,7 @@ def pieces(batch: pa.RecordBatch, text_col: str = "text", limit: int = PIECE_BYT
     n = batch.num_rows
     if not n:
         return
-    sizes = np.cumsum(pa.compute.binary_length(batch.column(text_col)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+    sizes = np.cumsum(pc.binary_length(batch.column(text_col)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
     lo = 0
     while lo < n:
         base = sizes[lo - 1] if lo else 0
