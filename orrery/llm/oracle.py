@@ -24,3 +24,19 @@ SELECT conv_id, count(*) AS n_turns,
   CAST(3 + sum(piece_chars) AS BIGINT) AS formatted_chars
 FROM sized GROUP BY conv_id
 """
+
+_WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '')"
+
+SQL["op4_substring_dedup"] = rf"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+windows AS (SELECT doc_id, s, array_to_string(w[s:s+19], ' ') AS phrase FROM d, unnest(range(1, len(w) - 18)) AS t(s)),
+ranked AS (SELECT doc_id, s, row_number() OVER (PARTITION BY phrase ORDER BY doc_id, s) AS rn FROM windows),
+gone AS (SELECT DISTINCT doc_id, i FROM ranked, unnest(range(s, s + 20)) AS t(i) WHERE rn > 1),
+words AS (SELECT doc_id, i, w[i] AS word FROM d, unnest(range(1, len(w) + 1)) AS t(i)),
+kept AS (
+  SELECT words.doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY words.i) AS body
+  FROM words ANTI JOIN gone USING (doc_id, i) GROUP BY words.doc_id
+)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(body, '')) AS kept_sha256
+FROM d LEFT JOIN kept ON d.doc_id = kept.doc_id
+"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, packing, pii, quality, secrets, simhash
+from . import chat_format, packing, pii, quality, secrets, simhash, substrings
 from .work import keep
 
 
@@ -31,6 +31,11 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.read_back(chat_format.format_turns(rows.unionByName(more)))
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = substrings.remove_duplicates(_documents(spark, sf_dir))
+    return left.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     scanned = keep(secrets.scan(_documents(spark, sf_dir)), "secrets")
     r = secrets.report(scanned)
@@ -69,4 +74,4 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(keep(packing.tokenize(_documents(spark, sf_dir)), "pieces"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_chat_format, op5_secret_scan, op6_quality_rules, op7_pii, op8_packing)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_chat_format, op4_substring_dedup, op5_secret_scan, op6_quality_rules, op7_pii, op8_packing)}
