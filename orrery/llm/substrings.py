@@ -47,22 +47,28 @@ def _grams(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return four, _pair(four[:-4], four[4:])
 
 
-def windows(words: tx.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """First word, anchor and two hashes of each window inside one text."""
+def _least(value: np.ndarray, place: np.ndarray, apart: int) -> tuple[np.ndarray, np.ndarray]:
+    """The smaller of each value and the one ``apart`` later, and its place; ties go to the first."""
+    left, right = value[:-apart], value[apart:]
+    first = left <= right
+    return np.where(first, left, right), np.where(first, place[:-apart], place[apart:])
+
+
+def windows(words: tx.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """First word, anchor, the anchor's first place and two hashes of each window inside one text."""
     h = words.hashes()
     n = len(h) - WINDOW + 1
     if n <= 0:
         none = np.zeros(0, np.uint64)
-        return np.zeros(0, np.int64), none, none, none
+        return np.zeros(0, np.int64), none, np.zeros(0, np.int64), none, none
     doc = words.doc_of_word()
     four, eight = _grams(h)
-    low = np.minimum(eight[:-1], eight[1:])
-    low = np.minimum(low[:-2], low[2:])
-    low = np.minimum(low[:-4], low[4:])  # over eight grams
-    low = np.minimum(low[:n], low[5 : n + 5])  # over thirteen
+    low, place = eight, np.arange(len(eight))
+    for apart in (1, 2, 4, 5):  # over 2, 4, 8 and 13 grams
+        low, place = _least(low, place, apart)
     at = np.flatnonzero(doc[:n] == doc[WINDOW - 1 :])
     a, b, c = eight[at], eight[at + 8], four[at + 16]
-    return at, low[at], _pair(_pair(a, b), c), _pair(_pair(a, b, _B), c, _B)
+    return at, low[at], place[at], _pair(_pair(a, b), c), _pair(_pair(a, b, _B), c, _B)
 
 
 def _compress(docs: DataFrame) -> DataFrame:
@@ -106,10 +112,10 @@ def _anchors(docs: DataFrame) -> DataFrame:
         for b in batches:
             for p in tx.pieces(b):
                 w = tx.Words(p.column("text"))
-                at, anchor, _, _ = windows(w)
+                at, anchor, place, _, _ = windows(w)
                 doc = np.searchsorted(w.first, at, side="right") - 1
                 new = np.ones(len(at), dtype=bool)
-                new[1:] = (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1])
+                new[1:] = place[1:] != place[:-1]
                 anchor, doc, at = anchor[new], doc[new], at[new]
                 _, which, often = np.unique(anchor, return_inverse=True, return_counts=True)
                 first = np.zeros(len(anchor), dtype=bool)
@@ -166,7 +172,7 @@ def _phrases(docs: DataFrame) -> DataFrame:
             texts = pa.RecordBatch.from_arrays([b.column("key"), pa.array(_unpack(b.column("packed")), pa.binary()), b.column("anchors")], names=["key", "text", "anchors"])
             for p in tx.pieces(texts):
                 w = tx.Words(p.column("text"))
-                at, anchor, w1, w2 = windows(w)
+                at, anchor, _, w1, w2 = windows(w)
                 doc = np.searchsorted(w.first, at, side="right") - 1
                 lists = p.column("anchors")
                 shared = lists.flatten().to_numpy().view(np.uint64)

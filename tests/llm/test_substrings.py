@@ -33,7 +33,7 @@ def corpus(seed):
             cut = rng.randint(0, 3)
             w += p[cut : len(p) - rng.randint(0, 3)] if rng.random() < 0.7 else []
         docs.append((i * 3, " ".join(w)))
-    docs += [(1000, docs[7][1]), (1001, "a " * 60), (1002, None), (1003, ""), (1004, "a\n" * 25 + "b")]
+    docs += [(1000, docs[7][1]), (1001, "a " * 60), (1002, None), (1003, ""), (1004, "a\n" * 25 + "b"), (1005, "u " * 21 + "v w x y z"), (1006, "p q " * 30 + "s " * 50)]
     rng.shuffle(docs)
     return docs
 
