@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, lm, packing, pii, quality, secrets, simhash, substrings
+from . import chat_format, decontaminate, lm, packing, pii, quality, secrets, simhash, substrings
 from .work import keep
 
 
@@ -78,4 +78,8 @@ def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(_documents(spark, sf_dir)).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_chat_format, op4_substring_dedup, op5_secret_scan, op6_quality_rules, op7_pii, op8_packing, op9_lm_score)}
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_chat_format, op4_substring_dedup, op5_secret_scan, op6_quality_rules, op7_pii, op8_packing, op9_lm_score, op10_decontaminate)}

@@ -51,12 +51,14 @@ def pieces(batch: pa.RecordBatch, text_col: str = "text", limit: int = PIECE_BYT
 class Words:
     """The words of a piece of texts.
 
+    ``blank`` marks further bytes to read as white space.
+
     ``buf`` holds the bytes (lower-cased A-Z on request) with eight bytes of padding, ``off``
     where each text begins, ``start`` and ``end`` where each word does, and ``first[i]`` the
     number of the first word of text ``i`` (one more entry than texts).
     """
 
-    def __init__(self, texts: pa.Array, lower: bool = False):
+    def __init__(self, texts: pa.Array, lower: bool = False, blank: np.ndarray | None = None):
         texts = texts.cast(pa.binary()) if not pa.types.is_binary(texts.type) else texts
         texts = texts.fill_null(b"")
         off = np.frombuffer(texts.buffers()[1], dtype=np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64) if len(texts) else np.zeros(1, np.int64)
@@ -66,7 +68,7 @@ class Words:
             raw = np.frombuffer(texts.buffers()[2], dtype=np.uint8)[off[0] : off[-1]]
             buf[:size] = LOWER[raw] if lower else raw
         self.buf, self.off, self.size = buf, off - off[0], size
-        inside = ~SPACE[buf[:size]]
+        inside = ~(SPACE if blank is None else SPACE | blank)[buf[:size]]
         cut = np.zeros(size + 1, dtype=bool)
         cut[self.off] = True
         before = np.zeros(size, dtype=bool)
