@@ -31,6 +31,7 @@ from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -252,3 +253,29 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
 
         out = out.unionByName(cols.mapInArrow(run, FOUND))
     return out
+
+
+def _holds(block):  # noqa: ANN001, ANN202
+    """Whether a text holds an item of the broadcast block."""
+
+    @F.pandas_udf("boolean")
+    def holds(text: pd.Series) -> pd.Series:
+        batch = pa.RecordBatch.from_arrays([pa.array(text, pa.string(), from_pandas=True)], names=["text"])
+        out, at = np.zeros(len(text), dtype=bool), 0
+        for p in tx.pieces(batch):
+            for f in block.value.find(words_of(p.column("text"))):
+                out[at + f[0]] = True
+            at += p.num_rows
+        return pd.Series(out)
+
+    return holds
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL, min_words: int = MIN_WORDS, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """``docs`` without the contaminated ones. Rows are judged where they are read; nothing is shuffled."""
+    spark = docs.sparkSession
+    for rows in _blocks(benchmark, item_id_col, item_text_col):
+        block = spark.sparkContext.broadcast(Block(rows, similarity, recall, min_words))
+
+        docs = docs.filter(~_holds(block)(F.col(text_col).cast("string")))
+    return docs

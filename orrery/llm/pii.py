@@ -20,6 +20,7 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -198,3 +199,28 @@ def redact(text: str, spans: list[tuple[int, int, int]]) -> str:
             out += [text[at:start], f"<{KINDS[kind].upper()}>"]
             at = end
     return "".join(out) + text[at:]
+
+
+def sanitised(docs: DataFrame, keep, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with known personal data replaced by its kind and revealing terms generalised.
+
+    Known forms are found in the row itself; terms come by id, so a row without one keeps them.
+    """
+    scanned = keep(scan(docs, id_col, text_col), "pii-scan")
+    terms = term_spans(docs, scanned, keep, id_col, text_col)
+    per = terms.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("_terms")).withColumnRenamed("doc_id", "_id")
+
+    @F.pandas_udf("string")
+    def redacted(text: pd.Series, terms: pd.Series) -> pd.Series:
+        out = []
+        for t, more in zip(text, terms):
+            if t is None:
+                out.append(None)
+                continue
+            known = [(s, e, k) for k, s, e in base_spans(t)]
+            more = [] if more is None else [(x["start"], x["end"]) for x in more]
+            out.append(redact(t, known + [(s, e, 4) for s, e in more if not any(a < e and s < b for a, b, _ in known)]))
+        return pd.Series(out, dtype=object)
+
+    joined = docs.join(per, docs[id_col] == per["_id"], "left")
+    return joined.withColumn(text_col, redacted(F.col(text_col).cast("string"), "_terms")).select(*docs.columns)

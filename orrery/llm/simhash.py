@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 
 from . import text as tx
 from .components import components
+from .ids import with_key
 from .work import keep
 
 MAX_BITS = 4
@@ -278,3 +279,12 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     return marked.join(rooted.join(ids, "root").select("fp", "component_id"), "fp")
+
+
+def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with the first document of each group alone."""
+    docs_, repeated = with_key(docs, "_key", id_col, text_col)
+    docs_ = docs_.dropDuplicates(["_key"]) if repeated else docs_
+    found = groups(docs_, "_key", text_col)
+    first = found.filter("doc_id = component_id").select(F.col("doc_id").alias("_key"))
+    return docs_.join(first, "_key", "left_semi").select(*docs.columns)

@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as tx
+from .ids import with_key
 from .work import keep
 
 WINDOW = 20
@@ -93,15 +94,9 @@ def _unpack(column: pa.Array) -> list[bytes]:
 
 
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(key, doc_id, text) with keys in the order of documents; the key is doc_id where that
-    tells all texts apart."""
+    """(key, doc_id, text) with keys in the order of documents."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    ids = docs.groupBy("doc_id").count().agg(F.max("count"), F.sum(F.col("doc_id").isNull().cast("int"))).first()
-    if (ids[0] or 0) <= 1 and not ids[1]:
-        return docs.select(F.col("doc_id").alias("key"), "doc_id", "text")
-    marked = docs.withColumn("_t", F.xxhash64("text"))
-    order = keep(marked.select(F.col("doc_id").alias("_d"), F.col("_t").alias("_u")).distinct().orderBy(F.asc_nulls_first("_d"), "_u").withColumn("key", F.monotonically_increasing_id()), "order")
-    return marked.join(order, marked["doc_id"].eqNullSafe(order["_d"]) & (marked["_t"] == order["_u"])).select("key", "doc_id", "text")
+    return with_key(docs, "key")[0].select("key", "doc_id", "text")
 
 
 def _anchors(docs: DataFrame) -> DataFrame:
