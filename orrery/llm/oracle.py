@@ -1,5 +1,7 @@
 """DuckDB SQL for those queries of this subpackage that SQL can express."""
 
+from . import licenses
+
 SQL: dict[str, str] = {}
 
 SQL["op2_chat_format"] = r"""
@@ -40,3 +42,45 @@ kept AS (
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(body, '')) AS kept_sha256
 FROM d LEFT JOIN kept ON d.doc_id = kept.doc_id
 """
+
+_LOW = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_SPLIT = r"list_filter(string_split_regex({}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
+_BIGRAMS = "SELECT {0}, w[i] || ' ' || w[i + 1] AS gram, count(*) AS k FROM {1}, unnest(range(1, len(w))) AS t(i) GROUP BY ALL"
+
+
+def _quoted(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+SQL["op3_license_scan"] = f"""
+WITH templates(name, number, body) AS (VALUES {", ".join(f"({_quoted(name)}, {i}, {_quoted(t)})" for name in sorted(licenses.TEMPLATES) for i, t in enumerate(licenses.TEMPLATES[name][1]))}),
+template_words AS (SELECT name, number, {_SPLIT.format(_LOW.format("body"))} AS w FROM templates),
+template_grams AS ({_BIGRAMS.format("name, number", "template_words")}),
+lines AS (
+  SELECT doc_id, i - 1 AS line, {_SPLIT.format(_LOW.format("l[i]"))} AS w
+  FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents), unnest(range(1, len(l) + 1)) AS t(i)
+),
+worded AS (
+  SELECT *, line - row_number() OVER (PARTITION BY doc_id ORDER BY line) AS part FROM lines WHERE len(w) > 0
+),
+units AS (
+  SELECT doc_id, 'line' AS unit, line AS start_line, line + 1 AS end_line, w FROM worded
+  UNION ALL
+  SELECT doc_id, 'paragraph', min(line), max(line) + 1, flatten(list(w ORDER BY line)) FROM worded GROUP BY doc_id, part HAVING count(*) > 1
+  UNION ALL
+  SELECT doc_id, 'text', min(line), max(line) + 1, flatten(list(w ORDER BY line)) FROM worded GROUP BY doc_id HAVING count(DISTINCT part) > 1
+),
+unit_grams AS ({_BIGRAMS.format("doc_id, unit, start_line, end_line, len(w) - 1 AS n", "units")}),
+shared AS (
+  SELECT doc_id, unit, start_line, end_line, name, number, n, sum(least(u.k, t.k)) AS common
+  FROM unit_grams u JOIN template_grams t USING (gram) GROUP BY ALL
+),
+scored AS (
+  SELECT doc_id, unit, start_line, end_line, name, 2.0::DOUBLE * common / (n + (SELECT sum(k) FROM template_grams g WHERE g.name = s.name AND g.number = s.number)) AS dice
+  FROM shared s
+),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY doc_id, unit, start_line, end_line ORDER BY dice DESC, name) AS rn FROM scored WHERE dice >= {licenses.THRESHOLD}
+)
+SELECT doc_id, name AS license, unit, start_line, end_line, round(dice, 6) AS dice FROM ranked WHERE rn = 1
+"""

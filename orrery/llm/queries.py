@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, lm, packing, pii, quality, secrets, simhash, substrings
+from . import chat_format, decontaminate, licenses, lm, packing, pii, quality, secrets, simhash, substrings
 from .work import keep
 
 
@@ -31,6 +31,11 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.read_back(chat_format.format_turns(rows.unionByName(more)))
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(_documents(spark, sf_dir))
+    return found.select("doc_id", "license", "unit", "start_line", "end_line", F.round("dice", 6).alias("dice"))
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = substrings.remove_duplicates(_documents(spark, sf_dir))
     return left.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -82,4 +87,4 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_chat_format, op4_substring_dedup, op5_secret_scan, op6_quality_rules, op7_pii, op8_packing, op9_lm_score, op10_decontaminate)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_chat_format, op3_license_scan, op4_substring_dedup, op5_secret_scan, op6_quality_rules, op7_pii, op8_packing, op9_lm_score, op10_decontaminate)}
