@@ -15,7 +15,10 @@ import bisect
 import os
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import chain, filterfalse
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -25,8 +28,8 @@ from . import text as tx
 
 CAPACITY = 4096
 END_ID = 1
-#: Words whose ids a task remembers; the memory is emptied when full.
-REMEMBERED = 250_000
+#: Words whose ids a worker remembers in one generation.
+REMEMBERED = 400_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -37,33 +40,72 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 
 
 class WordTokenizer:
-    """Ids of texts by a tokenizer whose splits never cross white space.
+    """Ids of texts by a tokenizer that lower-cases and whose splits never cross white space.
 
     Each word between white space is encoded once and remembered as the bytes of its ids, so a
-    text costs one lookup a word.
+    text costs one lookup a word. New words of letters alone go to the tokenizer many at a time in
+    one text, and are told apart again by the tokens that end a word.
     """
 
+    TOGETHER = 4096
+
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.inner = Tokenizer.from_file(path)
         self.inner.encode_special_tokens = True  # their strings in a text are ordinary text
+        vocabulary = self.inner.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.known: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+        self.marks = {m: self._ids(m.decode()) for m in (b".", b",")}
+
+    def _ids(self, text: str) -> bytes:
+        return np.array(self.inner.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        words = [t.split() for t in texts]
-        new = set().union(*words).difference(self.known)
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
-            new = set().union(*words)
-        if new:
-            new = list(new)
-            for w, e in zip(new, self.inner.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)):
-                self.known[w] = b"".join(i.to_bytes(4, "little") for i in e.ids)
+        words = [t.lower().split() for t in texts]  # bytes.lower changes A-Z alone
+        new = set(filterfalse(self.known.__contains__, chain.from_iterable(words)))
+        if self.known and len(self.known) + len(new) > REMEMBERED:
+            self.known, self.old = {}, self.known
+            new = set(chain.from_iterable(words))
+        if self.old:
+            self.known.update((w, self.old[w]) for w in new if w in self.old)
+            new.difference_update(self.known)
+        # a full stop or comma after a letter is a token of its own
+        stems = {w: w[:-1] if w[-1:] in self.marks and w[-2:-1].isalpha() else w for w in new}
+        self._learn(set(stems.values()).difference(self.known))
+        for w, stem in stems.items():
+            if len(stem) < len(w):
+                self.known[w] = self.known[stem] + self.marks[w[-1:]]
         return [b"".join(map(self.known.__getitem__, w)) for w in words]
 
+    def _learn(self, words: set[bytes]) -> None:
+        texts = [w.decode() for w in words]
+        plain = [t for t in texts if t.isalpha()]
+        for at in range(0, len(plain), self.TOGETHER):
+            part = plain[at : at + self.TOGETHER]
+            ids = np.array(self.inner.encode(" ".join(part), add_special_tokens=False).ids, dtype="<u4")
+            cut = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+            if len(cut) != len(part):
+                raise ValueError("this tokenizer doesn't make words of letters end in one token each")
+            data, lo = ids.tobytes(), 0
+            for t, hi in zip(part, cut):
+                self.known[t.encode()] = data[4 * lo : 4 * hi]
+                lo = hi
+        other = [t for t in texts if not t.isalpha()]
+        for t, e in zip(other, self.inner.encode_batch_fast(other, add_special_tokens=False)):
+            self.known[t.encode()] = np.array(e.ids, dtype="<u4").tobytes()
+
+
+@lru_cache(maxsize=1)
+def _tokenizer(path: str) -> WordTokenizer:
+    """One for all tasks of a Python worker."""
+    return WordTokenizer(path)
+
 
 def tokenize(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece of at most ``capacity`` tokens of each document, end token included."""
@@ -71,7 +113,7 @@ def tokenize(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY,
     end = END_ID.to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = WordTokenizer(path)
+        tok = _tokenizer(path)
         for b in batches:
             for p in tx.pieces(b, limit=1 << 20):
                 rows = []

@@ -6,13 +6,16 @@ import pytest
 from orrery.llm import packing
 
 
-def test_remembered_words_give_the_tokenizers_ids():
+@pytest.mark.parametrize("remembered", [400_000, 5])
+def test_remembered_words_give_the_tokenizers_ids(remembered, monkeypatch):
+    monkeypatch.setattr(packing, "REMEMBERED", remembered)
     from tokenizers import Tokenizer
 
     plain = Tokenizer.from_file(packing.tokenizer_path())
+    plain.encode_special_tokens = True
     tok = packing.WordTokenizer(packing.tokenizer_path())
-    texts = ["", "Hello, world's  end\n\n9 don't Á ﬁ \x1c x\x1fy", "naïve café 東京 3,14 ''s", "a b ́x ΣΑΣ ς", "x" * 5000]
-    for t, ids in zip(texts, tok.encode([t.encode() for t in texts])):
+    texts = ["", "Hello, world's  end\n\n9 don't Á ﬁ \x1c x\x1fy", "naïve café 東京 3,14 ''s", "a b ́x ΣΑΣ ς", "x" * 5000, "Don't. end., é. É, ß. İ, 3. it's, a.b. <|endoftext|> x<|endoftext|>. K. »,"]
+    for t, ids in zip(texts * 2, [tok.encode([t.encode()])[0] for t in texts * 2]):
         want = plain.encode(t, add_special_tokens=False).ids
         assert [int.from_bytes(ids[i : i + 4], "little") for i in range(0, len(ids), 4)] == want
 
