@@ -113,8 +113,9 @@ def _context(text: str, found: list[tuple[int, int, int]], i: int) -> dict:
     left = text[max(0, start - reach) : start].encode().split()[-CONTEXT_WORDS:]
     right = text[end : end + reach].encode().split()[:CONTEXT_WORDS]
     others = {w for k, s, e in found for w in text[s:e].encode().split()}
-    words = [w.lower() for w in left + right if w not in others and not any(c in b"0123456789@" for c in w)]
-    return {"entity": _entity(kind, text[start:end]), "context": _hash(b" ".join(words)), "terms": sorted(set(_word_hash(words).tolist())) if words else []}
+    around = [w.lower() for w in left + right if w not in others]
+    words = [w for w in around if not any(c in b"0123456789@" for c in w)]
+    return {"entity": _entity(kind, text[start:end]), "context": _hash(b" ".join(around)), "terms": sorted(set(_word_hash(words).tolist())) if words else []}
 
 
 #: Bits of the filter that a second pass over the texts tests words with: 2 MiB at any size of corpus.
@@ -137,6 +138,40 @@ def _filter_of(terms: DataFrame) -> np.ndarray:
     return bitmap
 
 
+def _hits(p: pa.RecordBatch, bits: np.ndarray) -> tuple[tx.Words, np.ndarray, np.ndarray, np.ndarray]:
+    """Words of a piece that may be among the terms of a filter: their numbers, hashes and texts."""
+    w = tx.Words(p.column("text"), lower=True)
+    h = w.hashes()
+    at = (h >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+    hit = np.flatnonzero(bits[at >> 3] >> (at & 7).astype(np.uint8) & 1)
+    return w, hit, h[hit].view(np.int64), np.searchsorted(w.first, hit, side="right") - 1
+
+
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+
+
+def document_counts(docs: DataFrame, terms: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(term, df): how many texts have each of the terms. Texts are counted where they are read, so
+    a term costs one row a piece however common it is."""
+    bitmap = docs.sparkSession.sparkContext.broadcast(_filter_of(terms).tobytes())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.frombuffer(bitmap.value, dtype=np.uint8)
+        for b in batches:
+            for p in tx.pieces(b):
+                _, _, term, doc = _hits(p, bits)
+                order = np.lexsort((doc, term))
+                term, doc = term[order], doc[order]
+                new = np.ones(len(term), dtype=bool)
+                new[1:] = (term[1:] != term[:-1]) | (doc[1:] != doc[:-1])
+                term, n = np.unique(term[new], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(term), pa.array(n)], names=["term", "n"])
+
+    counts = _texts(docs, id_col, text_col).mapInArrow(run, "term long, n long")
+    return counts.groupBy("term").agg(F.sum("n").alias("df"))
+
+
 def occurrences(docs: DataFrame, terms: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Where the terms occur in the texts: (doc_id, term, start, end), in code points."""
     bitmap = docs.sparkSession.sparkContext.broadcast(_filter_of(terms).tobytes())
@@ -145,28 +180,22 @@ def occurrences(docs: DataFrame, terms: DataFrame, id_col: str = "doc_id", text_
         bits = np.frombuffer(bitmap.value, dtype=np.uint8)
         for b in batches:
             for p in tx.pieces(b):
-                w = tx.Words(p.column("text"), lower=True)
-                h = w.hashes()
-                at = (h >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
-                hit = np.flatnonzero(bits[at >> 3] >> (at & 7).astype(np.uint8) & 1)
-                doc = np.searchsorted(w.first, hit, side="right") - 1
+                w, hit, term, doc = _hits(p, bits)
                 points = np.concatenate([[0], np.cumsum((w.buf[: w.size] & 0xC0) != 0x80)])
                 base = points[w.off[doc]]
                 yield pa.RecordBatch.from_arrays(
-                    [p.column("doc_id").take(pa.array(doc)), pa.array(h[hit].view(np.int64)), pa.array(points[w.start[hit]] - base), pa.array(points[w.end[hit]] - base)], names=["doc_id", "term", "start", "end"]
+                    [p.column("doc_id").take(pa.array(doc)), pa.array(term), pa.array(points[w.start[hit]] - base), pa.array(points[w.end[hit]] - base)], names=["doc_id", "term", "start", "end"]
                 )
 
-    cols = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    hits = cols.mapInArrow(run, "doc_id long, term long, start long, end long")
+    hits = _texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, term long, start long, end long")
     return hits.join(terms.select("term").distinct(), "term", "left_semi")
 
 
-def revealing(pairs: DataFrame, seen: DataFrame, n_docs: int, mentions: DataFrame, min_share: float = 0.5, min_bits: float = 4.0) -> DataFrame:
+def revealing(pairs: DataFrame, held: DataFrame, n_docs: int, mentions: DataFrame, min_share: float = 0.5, min_bits: float = 4.0) -> DataFrame:
     """Terms whose disclosure of some entity is over both thresholds.
 
-    ``mentions`` has how many documents hold each entity.
+    ``held`` has how many documents hold each term (df), ``mentions`` each entity (entity_df).
     """
-    held = seen.select("term", "doc_id").distinct().groupBy("term").agg(F.count("*").alias("df"))
     share = F.least(F.lit(1.0), F.col("together") / F.col("df"))
     bits = F.log2(share / (F.col("entity_df") / F.lit(max(n_docs, 1))))
     return pairs.join(held, "term").join(mentions, "entity").withColumns({"share": share, "bits": bits}).filter((F.col("share") >= min_share) & (F.col("bits") >= min_bits))
@@ -175,10 +204,10 @@ def revealing(pairs: DataFrame, seen: DataFrame, n_docs: int, mentions: DataFram
 def term_spans(docs: DataFrame, scanned: DataFrame, keep, id_col: str = "doc_id", text_col: str = "text", min_contexts: int = 3) -> DataFrame:
     """Spans (doc_id, start, end) of revealing terms; ``keep`` writes a table down."""
     pairs = keep(candidate_terms(scanned, min_contexts), "pii-pairs")
-    seen = keep(occurrences(docs, pairs, id_col, text_col), "pii-seen")
+    held = document_counts(docs, pairs, id_col, text_col)
     mentions = scanned.select("doc_id", F.explode(F.array_distinct("spans.entity")).alias("entity")).groupBy("entity").agg(F.count("*").alias("entity_df"))
-    bad = revealing(pairs, seen, scanned.count(), mentions).select("term").distinct()
-    return seen.join(bad, "term", "left_semi").select("doc_id", "start", "end").distinct()
+    bad = keep(revealing(pairs, held, scanned.count(), mentions).select("term").distinct(), "pii-terms")
+    return occurrences(docs, bad, id_col, text_col).select("doc_id", "start", "end").distinct()
 
 
 def report(docs: DataFrame, keep, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
