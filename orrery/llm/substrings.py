@@ -30,7 +30,6 @@ from pyspark.sql import functions as F
 
 from . import text as tx
 from .ids import with_key
-from .work import keep
 
 WINDOW = 20
 GRAM = 8
@@ -232,13 +231,13 @@ def factors(starts: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(s[np.concatenate([[0], cut + 1])].tolist(), (s[np.concatenate([cut, [len(s) - 1]])] + WINDOW).tolist()))
 
 
-def duplicate_spans(docs: DataFrame) -> DataFrame:
+def duplicate_spans(docs: DataFrame, packed: DataFrame) -> DataFrame:
     """(key, starts): the first words of all windows of a document that start earlier somewhere.
 
-    ``docs`` has (key, doc_id, text).
+    ``docs`` has (key, doc_id, text), ``packed`` the same compressed.
     """
     repeated = _repeated(_anchors(docs)).groupBy("key").agg(F.collect_set("anchor").alias("anchors"))
-    candidates = _compress(docs).join(repeated, "key").select("key", "packed", "anchors")
+    candidates = packed.join(repeated, "key").select("key", "doc_id", "packed", "anchors")
     return _later(_phrases(candidates)).groupBy("key").agg(F.collect_set("start").alias("starts"))
 
 
@@ -246,7 +245,10 @@ def remove_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """One row per document: doc_id, n_words, n_removed, the spans (word ranges) and the text left,
     its words joined by one space."""
     docs = keyed(docs, id_col, text_col)
-    spans = keep(duplicate_spans(docs), "spans")
+    # one DataFrame for both joins, with the columns and the filter of either: Spark then shuffles
+    # the texts once
+    packed = _compress(docs).filter("key IS NOT NULL")
+    spans = duplicate_spans(docs, packed)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
@@ -266,5 +268,5 @@ def remove_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                 found.append([{"start": lo, "end": hi} for lo, hi in ranges])
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(found, span), pa.array(left, pa.string())], names=["doc_id", "n_words", "n_removed", "spans", "kept_text"])
 
-    joined = _compress(docs).join(spans, "key", "left").select("doc_id", "packed", "starts")
+    joined = packed.join(spans, "key", "left").select("key", "doc_id", "packed", "starts")
     return joined.mapInArrow(run, "doc_id long, n_words long, n_removed long, spans array<struct<start:long,end:long>>, kept_text string")
