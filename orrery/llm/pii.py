@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as tx
+from .ids import fresh
 
 KINDS = ["email", "ip", "card", "phone", "term"]
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -237,7 +238,8 @@ def sanitised(docs: DataFrame, keep, id_col: str = "doc_id", text_col: str = "te
     """
     scanned = keep(scan(docs, id_col, text_col), "pii-scan")
     terms = term_spans(docs, scanned, keep, id_col, text_col)
-    per = terms.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("_terms")).withColumnRenamed("doc_id", "_id")
+    at, found = fresh(docs, "_id"), fresh(docs, "_terms")
+    per = terms.groupBy(F.col("doc_id").alias(at)).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias(found))
 
     @F.pandas_udf("string")
     def redacted(text: pd.Series, terms: pd.Series) -> pd.Series:
@@ -251,5 +253,5 @@ def sanitised(docs: DataFrame, keep, id_col: str = "doc_id", text_col: str = "te
             out.append(redact(t, known + [(s, e, 4) for s, e in more if not any(a < e and s < b for a, b, _ in known)]))
         return pd.Series(out, dtype=object)
 
-    joined = docs.join(per, docs[id_col] == per["_id"], "left")
-    return joined.withColumn(text_col, redacted(F.col(text_col).cast("string"), "_terms")).select(*docs.columns)
+    joined = docs.join(per, F.col(id_col) == F.col(at), "left")
+    return joined.withColumn(text_col, redacted(F.col(text_col).cast("string"), found)).select(*docs.columns)

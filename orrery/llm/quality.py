@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import text as tx
+from .ids import fresh
 
 GOOD, BAD, ABSTAIN = 1, -1, 0
 _SYMBOL = np.zeros(256, dtype=bool)
@@ -166,6 +167,7 @@ def judge(docs: DataFrame, feature_col: str, threshold: float = 0.5, into: tuple
     codes = np.array([r[0] for r in seen], dtype=np.int64)
     patterns = np.stack([codes // 3 ** (N_RULES - 1 - i) % 3 - 1 for i in range(N_RULES)], axis=1) if len(codes) else np.zeros((0, N_RULES), np.int64)
     post = fit(patterns, np.array([r[1] for r in seen])) if len(codes) else np.zeros(0)
-    table = docs.sparkSession.createDataFrame([(int(c), float(p)) for c, p in zip(codes, post)], "_code int, _p double")
-    joined = docs.withColumn("_code", code).join(F.broadcast(table), "_code", "left").drop("_code")
-    return joined.withColumns({into[0]: F.col("_p"), into[1]: ~base_failed(f) & (F.col("_p") >= threshold)}).drop("_p")
+    c, p = fresh(docs, "_code"), fresh(docs, "_p")
+    table = docs.sparkSession.createDataFrame([(int(x), float(y)) for x, y in zip(codes, post)], f"{c} int, {p} double")
+    joined = docs.withColumn(c, code).join(F.broadcast(table), c, "left").drop(c)
+    return joined.withColumns({into[0]: F.col(p), into[1]: ~base_failed(f) & (F.col(p) >= threshold)}).drop(p)

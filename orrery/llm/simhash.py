@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from . import text as tx
 from .components import components
-from .ids import with_key
+from .ids import fresh, with_key
 from .work import keep
 
 MAX_BITS = 4
@@ -283,8 +283,9 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
 def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with the first document of each group alone."""
-    docs_, repeated = with_key(docs, "_key", id_col, text_col)
-    docs_ = docs_.dropDuplicates(["_key"]) if repeated else docs_
-    found = groups(docs_, "_key", text_col)
-    first = found.filter("doc_id = component_id").select(F.col("doc_id").alias("_key"))
-    return docs_.join(first, "_key", "left_semi").select(*docs.columns)
+    key = fresh(docs, "_key")
+    keyed, repeated = with_key(docs, key, id_col, text_col)
+    keyed = keyed.dropDuplicates([key]) if repeated else keyed
+    found = groups(keyed, key, text_col)
+    first = found.filter("doc_id = component_id").select(F.col("doc_id").alias(key))
+    return keyed.join(first, key, "left_semi").select(*docs.columns)
