@@ -30,10 +30,10 @@ def lid(neighbours: DataFrame, k: int = 20) -> DataFrame:
     0 < d_i < d_k; infinite where no ratio is left, NaN with fewer than two neighbours."""
     near = neighbours.filter(F.col("rank") <= k)
     far = near.withColumn("_far", F.max("distance").over(W.partitionBy("query_id")))
-    ratio = F.col("distance") / F.col("_far")
-    log = F.when((F.col("_far") > 0) & (ratio > 0) & (ratio < 1), F.log(ratio))
+    ratio = F.when(F.col("_far") > 0, F.col("distance") / F.nullif("_far", F.lit(0.0)))
+    log = F.when((ratio > 0) & (ratio < 1), F.log(ratio))
     got = far.groupBy("query_id").agg(F.count("*").alias("_k"), F.count(log).alias("_n"), F.sum(log).alias("_s"))
-    value = F.when(F.col("_k") < 2, float("nan")).when((F.col("_n") == 0) | (F.col("_s") == 0), INFINITE).otherwise(-F.col("_n") / F.col("_s"))
+    value = F.when(F.col("_k") < 2, float("nan")).when((F.col("_n") == 0) | (F.col("_s") == 0), INFINITE).otherwise(-F.col("_n") / F.nullif("_s", F.lit(0.0)))
     return got.select("query_id", _round(value).alias("lid"))
 
 
