@@ -185,6 +185,17 @@ _PARTS = f"""parts AS (
   ) WHERE r = 1)"""
 SQL["centroid_assignment"] = f"WITH {_VECTORS}, {_PARTS} SELECT id AS vec_id, part FROM parts"
 SQL["partition_imbalance"] = f"WITH {_VECTORS}, {_PARTS}, counts AS (SELECT i, count(part) AS c FROM unnest(range(16)) AS t(i) LEFT JOIN parts ON part = i GROUP BY i) {_SPREAD}"
+SQL["index_footprint"] = """
+WITH s AS (SELECT count(*) AS n, max(len(embedding)) AS d FROM embeddings), l AS (
+  SELECT 'flat' AS layout, n * d * 4 AS stored_bytes, 0 AS other_bytes, n * d * 4 AS flat FROM s
+  UNION ALL SELECT 'graph', n * d * 4, n * (40 * 4 + 5), n * d * 4 FROM s
+  UNION ALL SELECT 'inverted lists of product codes', n * 8, 64 * d * 4 + n * 4 + 8 * 256 * (d // 8) * 4, n * d * 4 FROM s
+  UNION ALL SELECT 'scalar 8 bit', n * d, d * 8, n * d * 4 FROM s
+  UNION ALL SELECT 'scalar 4 bit', n * CAST(ceil(d / 2) AS BIGINT), d * 8, n * d * 4 FROM s
+  UNION ALL SELECT 'sign bits', n * CAST(ceil(d / 8) AS BIGINT), d * d * 4, n * d * 4 FROM s
+)
+SELECT layout, CAST(stored_bytes AS BIGINT) AS stored_bytes, CAST(other_bytes AS BIGINT) AS other_bytes, round((stored_bytes + other_bytes) / flat, 6) AS share_of_flat FROM l
+"""
 SQL["ivf_search"] = f"""
 WITH {_VECTORS}, {_PARTS},
 probe AS (

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .functions import distance as D
 from .operators import diagnostics as dx
 from .operators import evaluation as ev
-from .operators import graph, knn, partitioned, quantize, retrieval
+from .operators import footprint, graph, knn, partitioned, quantize, retrieval
 from .operators import predicates as P
 from .plans import router
 from .schema import VectorTable
@@ -348,6 +348,19 @@ def partition_imbalance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dx.count_spread(dx.sizes(parts, 16))
 
 
+@_query
+def index_footprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return footprint.footprint(_vectors(spark, sf_dir).rows)
+
+
+@_query
+def cluster_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of each of sixteen spherical k-means clusters."""
+    base = _vectors(spark, sf_dir)
+    centroids = partitioned.centroids_of(base, 16, spherical=True)
+    return dx.sizes(partitioned.assign(base, partitioned.nearest(centroids, metric="cosine")), 16)
+
+
 def _first(base: VectorTable, n: int):  # noqa: ANN202
     import numpy as np
 

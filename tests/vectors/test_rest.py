@@ -107,3 +107,17 @@ def test_upsert_stream(spark, tmp_path):
     assert table.reclaim(spark, keep=1) == before
     counts = upsert.windowed_counts(spark.createDataFrame([("2024-01-01 00:10:00", "a"), ("2024-01-01 00:50:00", "a"), ("2024-01-01 01:10:00", "a")], "t string, op string").select(F.to_timestamp("t").alias("ts"), "op"))
     assert sorted(r.n for r in counts.collect()) == [1, 2]
+
+
+def test_command_line(spark, tmp_path, capsys):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(300, 8))
+    (tmp_path / "v.jsonl").write_text("\n".join(json.dumps({"id": i, "vec": v.tolist()}) for i, v in enumerate(x)))
+    from orrery import cli
+
+    cli.main(["build", str(tmp_path / "v.jsonl"), "--out", str(tmp_path / "index")])
+    cli.main(["search", str(tmp_path / "index"), "--query", json.dumps(x[7].tolist()), "-k", "3"])
+    lines = capsys.readouterr().out.strip().split("\n")
+    assert lines[1].split("\t")[0] == "7" and len(lines) == 4
+    cos = x @ x[7] / np.linalg.norm(x, axis=1) / np.linalg.norm(x[7])
+    assert [int(r.split("\t")[0]) for r in lines[1:]] == np.argsort(-cos)[:3].tolist()
