@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..functions import distance as D
 from ..schema import VectorTable
 from . import knn
+from .ranks import ranked
 
 INFINITE = float("inf")
 
@@ -64,9 +65,7 @@ def _mu(neighbours: DataFrame) -> DataFrame:
 def two_nn(neighbours: DataFrame, discard: float = 0.1) -> DataFrame:
     """TwoNN dimension: slope through the origin of -ln(1 - F) on ln(mu), F = i / n, without the
     largest ``discard`` of the ratios, F from 0.9999 and mu under 1.0001."""
-    n = F.count("*").over(W.partitionBy(F.lit(0)))
-    ranked = _mu(neighbours).select("mu", F.row_number().over(W.partitionBy(F.lit(0)).orderBy("mu")).alias("_i"), n.alias("_n"))
-    used = ranked.filter((F.col("_i") <= F.floor(F.col("_n") * (1 - discard))) & (F.col("_i") / F.col("_n") < 0.9999) & (F.col("mu") >= 1.0001))
+    used = ranked(_mu(neighbours), "mu", "query_id", "_i", "_n").filter((F.col("_i") <= F.floor(F.col("_n") * (1 - discard))) & (F.col("_i") / F.col("_n") < 0.9999) & (F.col("mu") >= 1.0001))
     x, y = F.log("mu"), -F.log(1 - F.col("_i") / F.col("_n"))
     return used.agg(F.count("*").alias("n_used"), _round(F.sum(x * y) / F.sum(x * x)).alias("dimension"))
 

@@ -6,7 +6,8 @@ also one that nothing was found for.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..errors import VectorError
@@ -61,14 +62,14 @@ def reciprocal_rank(queries: DataFrame, relevant: DataFrame, result: DataFrame)
     return queries.select("query_id").distinct().join(first, "query_id", "left").select("query_id", F.coalesce(1 / F.col("_r"), F.lit(0.0)).alias("reciprocal_rank"))
 
 
-def _at(values: Column, n: Column, p: float) -> Column:
-    return F.element_at(values, F.least(F.floor(n * p) + 1, n).cast("int"))
-
-
 def summary(values: DataFrame, column: str) -> DataFrame:
     """Mean, least, most, population deviation and the 50th, 95th and 99th percentile by index
-    floor(n * p), of one number per query of the stated set."""
-    v, n = F.array_sort(F.collect_list(column)), F.count(column)
-    got = values.agg(F.avg(column).alias("mean"), F.min(column).alias("least"), F.max(column).alias("most"), F.stddev_pop(column).alias("deviation"), v.alias("_v"), n.alias("n"))
-    pick = [_at(F.col("_v"), F.col("n"), p).alias(f"p{round(p * 100)}") for p in (0.5, 0.95, 0.99)]
-    return got.select("n", *[F.round(c, 6).alias(c) for c in ("mean", "least", "most", "deviation")], *[F.round(p, 6).alias(f"p{x}") for p, x in zip(pick, (50, 95, 99))])
+    floor(n * p). Values are counted before they are put in order, a row for each different one."""
+    counts = values.groupBy(F.col(column).alias("v")).agg(F.count("*").alias("m")).filter("v IS NOT NULL")
+    every = W.partitionBy(F.lit(0))
+    upto = counts.select("v", "m", F.sum("m").over(every.orderBy("v")).alias("upto"), F.sum("m").over(every).alias("n"))
+    at = lambda p: F.round(F.coalesce(F.min(F.when(F.col("upto") > F.floor(F.col("n") * p), F.col("v"))), F.max("v")), 6)
+    mean = F.sum(F.col("v") * F.col("m")) / F.max("n")
+    spread = F.sqrt(F.greatest(F.sum(F.col("v") * F.col("v") * F.col("m")) / F.max("n") - mean * mean, F.lit(0.0)))
+    figures = {"mean": mean, "least": F.min("v"), "most": F.max("v"), "deviation": spread}
+    return upto.agg(F.max("n").alias("n"), *[F.round(c, 6).alias(name) for name, c in figures.items()], at(0.5).alias("p50"), at(0.95).alias("p95"), at(0.99).alias("p99"))

@@ -293,12 +293,13 @@ def tree_knn(base: VectorTable, queries: VectorTable, k: int, depth: int = 4, sh
         bound = lambda q: np.maximum(D.kernel("l2", q, mean) - radius[None, :], 0)
     else:
         bound = lambda q: np.sqrt((np.maximum(np.maximum(lo[None] - q[:, None], q[:, None] - hi[None]), 0) ** 2).sum(axis=2))
-    own = probe_search(indexed, queries, lambda q: parts[np.argsort(bound(q), axis=1, kind="stable")[:, :1]], k, "l2")
-    kth = {r["query_id"]: (r["d"], r["n"]) for r in own.groupBy("query_id").agg(F.max("distance").alias("d"), F.count("*").alias("n")).toLocalIterator()}
-    limits = {tuple(r["vector"]): kth.get(r["id"], (np.inf, 0)) for r in queries.rows.toLocalIterator()}
-
-    def probes(q: np.ndarray) -> np.ndarray:
-        far = np.array([d if n >= k else np.inf for d, n in (limits.get(tuple(x), (np.inf, 0)) for x in q.tolist())])
-        return np.where(bound(q) <= far[:, None] + 1e-6, parts[None, :], -1)
-
-    return probe_search(indexed, queries, probes, k, "l2")
+    out = spark.createDataFrame([], knn.RESULT)
+    for ids, q in knn._blocks(queries.rows, lo.shape[1]):
+        block = VectorTable(spark.createDataFrame([(int(i), x.tolist()) for i, x in zip(ids, q)], "vec_id long, embedding array<double>"))
+        near = bound(q)
+        own = probe_search(indexed, block, lambda _, near=near: parts[np.argsort(near, axis=1, kind="stable")[:, :1]], k, "l2")
+        kth = {r["query_id"]: r["d"] for r in own.groupBy("query_id").agg(F.max("distance").alias("d"), F.count("*").alias("n")).filter(F.col("n") >= k).collect()}
+        far = np.array([kth.get(i, np.inf) for i in ids.tolist()])
+        probes = np.where(near <= far[:, None] + 1e-6, parts[None, :], -1)
+        out = out.union(probe_search(indexed, block, lambda _, probes=probes: probes, k, "l2").select("query_id", "doc_id", "distance"))
+    return knn.top_k(out, k)
