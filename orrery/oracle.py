@@ -217,6 +217,10 @@ pairs AS (SELECT query_id, doc_id, round({_DISTANCE["l2"].format("b.x", "a.x")},
 _LOG = """log AS (SELECT user_id AS id, event_id AS seq, CASE event_type WHEN 'error' THEN 'delete' WHEN 'signup' THEN 'insert' ELSE 'update' END AS op, value FROM events),
 last AS (SELECT * FROM log QUALIFY row_number() OVER (PARTITION BY id ORDER BY seq DESC) = 1)"""
 SQL["live_rows"] = f"WITH {_LOG} SELECT id, seq, op, value FROM last WHERE op <> 'delete'"
+SQL["streamed_live_rows"] = SQL["live_rows"]
+SQL["hourly_changes"] = """
+SELECT date_trunc('hour', ts) AS window_start, CASE event_type WHEN 'error' THEN 'delete' WHEN 'signup' THEN 'insert' ELSE 'update' END AS op, count(*) AS n FROM events GROUP BY ALL
+"""
 SQL["tombstones"] = f"WITH {_LOG} SELECT id, seq FROM last WHERE op = 'delete'"
 SQL["merged_read"] = f"WITH {_LOG} SELECT id, seq, value FROM last WHERE op <> 'delete'"
 SQL["buffer_state"] = f"""

@@ -5,6 +5,8 @@ Searches take as their stated queries the rows whose id is divisible by 50, agai
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,7 +19,8 @@ from .operators import footprint, graph, knn, partitioned, quantize, retrieval
 from .operators import predicates as P
 from .plans import router
 from .schema import VectorTable
-from .streaming import changes
+from .sources.versions import VersionedTable
+from .streaming import changes, upsert
 
 K = 10
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -324,6 +327,19 @@ def duplicate_fraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dx.duplicate_fraction(rows)
 
 
+@_query
+def spectral_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n, edge = dx.spectral_outliers(_vectors(spark, sf_dir).rows)
+    return spark.createDataFrame([(n, round(edge, 6))], "n_outliers long, edge double")
+
+
+@_query
+def hourly_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Changes of each kind an hour of event time (late rows matter to a stream alone)."""
+    events = _table(spark, sf_dir, "events")
+    return upsert.windowed_counts(_changes(events, "ts"))
+
+
 @_query
 def neighbour_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dx.neighbour_gaps(_near(spark, sf_dir)[1])
@@ -422,9 +438,13 @@ def graph_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _changes(_table(spark, sf_dir, "events"))
+
+
+def _changes(events: DataFrame, *more: str) -> DataFrame:
     """Events as changes: errors delete, sign-ups insert, the rest updates."""
     op = F.when(F.col("event_type") == "error", changes.DELETE).when(F.col("event_type") == "signup", changes.INSERT).otherwise(changes.UPDATE)
-    return _table(spark, sf_dir, "events").select(F.col("user_id").alias("id"), F.col("event_id").alias("seq"), op.alias("op"), "value")
+    return events.select(F.col("user_id").alias("id"), F.col("event_id").alias("seq"), op.alias("op"), "value", *more)
 
 
 @_query
@@ -437,6 +457,24 @@ def tombstones(spark: SparkSession, sf_dir: str) -> DataFrame:
     return changes.tombstones(_log(spark, sf_dir))
 
 
+@_query
+def streamed_live_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The live rows again, by a stream: events arrive in four files, each a micro-batch that
+    upserts a versioned table."""
+    at = f"{_shared(spark)}/stream-{uuid.uuid4().hex}"
+    events = _table(spark, sf_dir, "events")
+    events.repartitionByRange(4, "event_id").write.parquet(f"{at}/arrivals")
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/arrivals")
+    table = VersionedTable(f"{at}/table")
+    upsert.upsert_stream(_changes(stream), table, f"{at}/checkpoint").awaitTermination()
+    return upsert.live(table, spark)
+
+
+def _shared(spark: SparkSession) -> str:
+    """The folder that all executors share; one of our own where none is set, as in tests."""
+    return (spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='spark-orrery-')}").rstrip("/")
+
+
 @_query
 def merged_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first half of the log compacted, the rest on top."""
