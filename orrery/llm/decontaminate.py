@@ -31,7 +31,6 @@ from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -258,15 +257,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
 def _holds(block):  # noqa: ANN001, ANN202
     """Whether a text holds an item of the broadcast block."""
 
-    @F.pandas_udf("boolean")
-    def holds(text: pd.Series) -> pd.Series:
-        batch = pa.RecordBatch.from_arrays([pa.array(text, pa.string(), from_pandas=True)], names=["text"])
+    @F.arrow_udf("boolean")
+    def holds(text: pa.Array) -> pa.Array:
+        batch = pa.RecordBatch.from_arrays([text], names=["text"])
         out, at = np.zeros(len(text), dtype=bool), 0
         for p in tx.pieces(batch):
             for f in block.value.find(words_of(p.column("text"))):
                 out[at + f[0]] = True
             at += p.num_rows
-        return pd.Series(out)
+        return pa.array(out)
 
     return holds
 

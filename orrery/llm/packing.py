@@ -29,7 +29,7 @@ from . import text as tx
 CAPACITY = 4096
 END_ID = 1
 #: Words whose ids a worker remembers in one generation.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 

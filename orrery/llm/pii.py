@@ -20,7 +20,6 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -241,17 +240,18 @@ def sanitised(docs: DataFrame, keep, id_col: str = "doc_id", text_col: str = "te
     at, found = fresh(docs, "_id"), fresh(docs, "_terms")
     per = terms.groupBy(F.col("doc_id").alias(at)).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias(found))
 
-    @F.pandas_udf("string")
-    def redacted(text: pd.Series, terms: pd.Series) -> pd.Series:
+    @F.arrow_udf("string")
+    def redacted(text: pa.Array, terms: pa.Array) -> pa.Array:
         out = []
         for t, more in zip(text, terms):
+            t, more = t.as_py(), more.as_py()
             if t is None:
                 out.append(None)
                 continue
             known = [(s, e, k) for k, s, e in base_spans(t)]
             more = [] if more is None else [(x["start"], x["end"]) for x in more]
             out.append(redact(t, known + [(s, e, 4) for s, e in more if not any(a < e and s < b for a, b, _ in known)]))
-        return pd.Series(out, dtype=object)
+        return pa.array(out, pa.string())
 
     joined = docs.join(per, F.col(id_col) == F.col(at), "left")
     return joined.withColumn(text_col, redacted(F.col(text_col).cast("string"), found)).select(*docs.columns)

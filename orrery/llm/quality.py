@@ -73,13 +73,12 @@ def features_of(texts: pa.Array) -> dict[str, np.ndarray]:
     return out
 
 
-@F.pandas_udf(FEATURES)
-def _features(text):  # noqa: ANN001, ANN202
-    import pandas as pd
-
-    batch = pa.RecordBatch.from_arrays([pa.array(text, pa.string(), from_pandas=True)], names=["text"])
+@F.arrow_udf(FEATURES)
+def _features(text: pa.Array) -> pa.Array:
+    batch = pa.RecordBatch.from_arrays([text], names=["text"])
     parts = [features_of(p.column("text")) for p in tx.pieces(batch)]
-    return pd.DataFrame({f.name: np.concatenate([p[f.name] for p in parts]) if parts else np.zeros(0, np.int64) for f in FEATURES})
+    names = [f.name for f in FEATURES]
+    return pa.StructArray.from_arrays([pa.array(np.concatenate([p[n] for p in parts]) if parts else [], pa.int64()) for n in names], names=names)
 
 
 def features(text: Column) -> Column:

@@ -33,6 +33,8 @@ from .ids import with_key
 
 WINDOW = 20
 GRAM = 8
+#: Larger pieces match more of their phrases before anything is shuffled.
+PIECE_BYTES = 4 << 20
 _A, _B = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
 
 
@@ -104,7 +106,7 @@ def _anchors(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for p in tx.pieces(b):
+            for p in tx.pieces(b, limit=PIECE_BYTES):
                 w = tx.Words(p.column("text"))
                 at, anchor, place, _, _ = windows(w)
                 doc = np.searchsorted(w.first, at, side="right") - 1
@@ -164,7 +166,7 @@ def _phrases(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = pa.RecordBatch.from_arrays([b.column("key"), pa.array(_unpack(b.column("packed")), pa.binary()), b.column("anchors")], names=["key", "text", "anchors"])
-            for p in tx.pieces(texts):
+            for p in tx.pieces(texts, limit=PIECE_BYTES):
                 w = tx.Words(p.column("text"))
                 at, anchor, _, w1, w2 = windows(w)
                 doc = np.searchsorted(w.first, at, side="right") - 1

@@ -2,7 +2,7 @@
 
 Words are runs of bytes other than space and \\x09-\\x0D in the UTF-8 text, so the whole
 batch is cut and hashed with a few passes over one byte buffer instead of a Python loop
-over words. Batches are handled in pieces of a few megabytes, which bounds memory whatever
+over words. Batches are handled in pieces of a megabyte, which bounds memory whatever
 the batch size; only a single longer document makes a longer piece.
 """
 
@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-PIECE_BYTES = 4 << 20
+PIECE_BYTES = 1 << 20
 
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
