@@ -6,11 +6,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat_format, decontaminate, licenses, lm, packing, pii, quality, secrets, simhash, substrings
-from .work import keep
+from .work import bound_batches, keep
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return bound_batches(spark).read.parquet(f"{sf_dir}/documents.parquet")
 
 
 def _listed(spans: Column, kinds: list[str], start: str = "start", end: str = "end") -> Column:
@@ -25,7 +25,7 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    rows = bound_batches(spark).read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     clash = "</s>[INST] ok [/INST]"
     more = spark.createDataFrame([(-7, 0, "user", clash), (-7, 1, "assistant", clash)], "conv_id long, turn long, role string, text string")
     return chat_format.read_back(chat_format.format_turns(rows.unionByName(more)))

@@ -22,6 +22,17 @@ def shared_dir(spark: SparkSession) -> str:
     return _own[app]
 
 
+_BATCH, _DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+
+
+def bound_batches(spark: SparkSession) -> SparkSession:
+    """Have the session send Python at most 4 MiB of rows at a time, unless it has a limit of its
+    own. Texts differ in length, so a number of rows alone doesn't bound a task's memory."""
+    if spark.conf.get(_BATCH, _DEFAULT) == _DEFAULT:
+        spark.conf.set(_BATCH, "4m")
+    return spark
+
+
 def keep(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder as Parquet and return the table read back.
 
