@@ -29,7 +29,7 @@ from . import text as tx
 CAPACITY = 4096
 END_ID = 1
 #: Words whose ids a worker remembers in one generation.
-REMEMBERED = 200_000
+REMEMBERED = 400_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -73,8 +73,9 @@ class WordTokenizer:
             self.known, self.old = {}, self.known
             new = set(chain.from_iterable(words))
         if self.old:
-            self.known.update((w, self.old[w]) for w in new if w in self.old)
-            new.difference_update(self.known)
+            again = new.intersection(self.old)
+            self.known.update(zip(again, map(self.old.__getitem__, again)))
+            new -= again
         # a full stop or comma after a letter is a token of its own
         stems = {w: w[:-1] if w[-1:] in self.marks and w[-2:-1].isalpha() else w for w in new}
         self._learn(set(stems.values()).difference(self.known))
