@@ -34,7 +34,7 @@ from . import text as tx
 from .work import keep
 
 A = 0.1
-BLOCK_BYTES = 24 << 20
+BLOCK_BYTES = 12 << 20
 SLICE_TOKENS = 2_000_000
 BUCKETS = 40
 _END, _BEGIN, _BY = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F), np.uint64(0xA0761D6478BD642F)
