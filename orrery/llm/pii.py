@@ -2,12 +2,13 @@
 
 ``scan`` finds e-mail addresses, IP addresses, card and phone numbers. The information-theoretic
 part then treats each value found as a protected entity and asks how much a term reveals it:
-for a term t seen near entity e, P(e | t) is estimated as the independent contexts that hold both
-over the documents that hold t, and the disclosure is log2(P(e | t) / P(e)) bits. Terms over
-both thresholds are reported wherever they occur, to be generalised.
+for a term t in documents with entity e, P(e | t) is estimated as the independent documents that
+hold both over those that hold t, and the disclosure is log2(P(e | t) / P(e)) bits. Terms over
+both thresholds are reported wherever they occur, to be generalised. A term is a word anywhere in
+the text, without the punctuation round it.
 
-Copies of a sentence are no independent evidence, so a context counts once however many
-documents repeat it.
+Copies of a document are no independent evidence: all counts are of distinct texts, known forms
+left out, so a term needs three different documents with the entity.
 
 Defined results: null text is empty; a null doc_id has its spans like any other row; repeated
 rows each get theirs; an empty table gives an empty result; other columns are dropped.
@@ -36,7 +37,10 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _NOT_DIGIT = re.compile(r"[^0-9]")
 
 SPANS = "array<struct<kind:int,start:long,end:long,entity:string>>"
-CONTEXT_WORDS = 8
+_NO_TERM, _PUNCT, _LATIN = (np.zeros(256, dtype=bool) for _ in range(3))
+_NO_TERM[list(b"0123456789@")] = True
+_PUNCT[[c for c in range(0x21, 0x7F) if not chr(c).isalnum()]] = True
+_LATIN[[0xA1, 0xAB, 0xB7, 0xBB, 0xBF]] = True  # second bytes of inverted marks, middle dot and guillemets
 
 
 def luhn(digits: str) -> bool:
@@ -76,100 +80,144 @@ def _entity(kind: int, value: str) -> str:
     return f"{kind}:{hashlib.sha256(plain.encode()).hexdigest()[:24]}"
 
 
-def _hash(term: bytes) -> int:
-    return int.from_bytes(hashlib.blake2b(term, digest_size=8).digest(), "little", signed=True)
+class Pieces:
+    """Known forms, terms and context of each text of a piece.
 
+    A text's context is a hash of its words without those of known forms, so that copies share it
+    whatever address they give. Terms are words without digits or @.
+    """
 
-def _word_hash(words: list[bytes]) -> np.ndarray:
-    return tx.Words(pa.array(words, pa.binary()), lower=True).hashes().view(np.int64)
+    def __init__(self, texts: pa.Array):
+        self.words = w = term_words(texts)
+        self.spans = []
+        known = np.zeros(len(w.start), dtype=bool)
+        for i, t in enumerate(texts.cast(pa.string())):
+            t = t.as_py() or ""
+            found = base_spans(t)
+            self.spans.append(found)
+            for _, s, e in found:
+                lo = w.off[i] + len(t[:s].encode())
+                hi = lo + len(t[s:e].encode())
+                known[np.searchsorted(w.end, lo, side="right") : np.searchsorted(w.start, hi)] = True
+        self.hash, self.doc = w.hashes(), w.doc_of_word()
+        marks = np.concatenate([[0], np.cumsum(_NO_TERM[w.buf[: w.size]])])
+        self.term = ~known & (marks[w.end] == marks[w.start])
+        free = np.concatenate([[0], np.cumsum(~known)])
+        place = (free[:-1] - free[w.first[self.doc]]).astype(np.uint64)
+        each = np.where(known, np.uint64(0), tx.mix(self.hash + place * np.uint64(0x9E3779B97F4A7C15)))
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(each, dtype=np.uint64)])
+        self.context = (total[w.first[1:]] - total[w.first[:-1]]).view(np.int64)
+
+
+def term_words(texts: pa.Array) -> tx.Words:
+    """The lower-cased words without the punctuation round them; those of punctuation alone are left out."""
+    w = tx.Words(texts, lower=True)
+    while True:
+        a, b, c = (w.buf[np.minimum(w.start + i, w.size)] for i in range(3))
+        skip = _PUNCT[a] + 2 * ((a == 0xC2) & _LATIN[b]) + 3 * ((a == 0xE2) & (b == 0x80) & (c >= 0x90) & (c <= 0xBA))
+        skip[w.start >= w.end] = 0
+        if not skip.any():
+            break
+        w.start = w.start + skip
+    while True:
+        a, b, c = (w.buf[np.maximum(w.end - i, 0)] for i in (1, 2, 3))
+        skip = _PUNCT[a] + 2 * ((b == 0xC2) & _LATIN[a]) + 3 * ((c == 0xE2) & (b == 0x80) & (a >= 0x90) & (a <= 0xBA))
+        skip[w.start >= w.end] = 0
+        if not skip.any():
+            break
+        w.end = w.end - skip
+    some = w.start < w.end
+    w.start, w.end = w.start[some], w.end[some]
+    w.first = np.searchsorted(w.start, w.off)
+    return w
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: its spans, and per span the context it was seen in.
-
-    ``near`` has for each mention the entity, a hash of its context (the words on either side,
-    without the mention) and the hashes of the terms there.
-    """
+    """One row per document: its spans, its context, and where it has spans its distinct terms."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         span = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int64()), ("end", pa.int64()), ("entity", pa.string())]))
-        near = pa.list_(pa.struct([("entity", pa.string()), ("context", pa.int64()), ("terms", pa.list_(pa.int64()))]))
         for b in batches:
-            spans, nears = [], []
-            for t in b.column("text"):
-                t = t.as_py() or ""
-                found = base_spans(t)
-                spans.append([{"kind": k, "start": s, "end": e, "entity": _entity(k, t[s:e])} for k, s, e in found])
-                nears.append([_context(t, found, i) for i in range(len(found))])
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(spans, span), pa.array(nears, near)], names=["doc_id", "spans", "near"])
-
-    cols = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return cols.mapInArrow(run, f"doc_id long, spans {SPANS}, near array<struct<entity:string,context:long,terms:array<long>>>")
-
+            for p in tx.pieces(b):
+                x = Pieces(p.column("text"))
+                spans, terms = [], []
+                for i, (t, found) in enumerate(zip(p.column("text"), x.spans)):
+                    t = t.as_py() or ""
+                    spans.append([{"kind": k, "start": s, "end": e, "entity": _entity(k, t[s:e])} for k, s, e in found])
+                    mine = slice(x.words.first[i], x.words.first[i + 1])
+                    terms.append(np.unique(x.hash[mine][x.term[mine]]).view(np.int64) if found else [])
+                yield pa.RecordBatch.from_arrays([p.column("doc_id"), pa.array(spans, span), pa.array(x.context), pa.array(terms, pa.list_(pa.int64()))], names=["doc_id", "spans", "context", "terms"])
 
-def _context(text: str, found: list[tuple[int, int, int]], i: int) -> dict:
-    kind, start, end = found[i]
-    reach = 40 * CONTEXT_WORDS
-    left = text[max(0, start - reach) : start].encode().split()[-CONTEXT_WORDS:]
-    right = text[end : end + reach].encode().split()[:CONTEXT_WORDS]
-    others = {w for k, s, e in found for w in text[s:e].encode().split()}
-    around = [w.lower() for w in left + right if w not in others]
-    words = [w for w in around if not any(c in b"0123456789@" for c in w)]
-    return {"entity": _entity(kind, text[start:end]), "context": _hash(b" ".join(around)), "terms": sorted(set(_word_hash(words).tolist())) if words else []}
+    return _texts(docs, id_col, text_col).mapInArrow(run, f"doc_id long, spans {SPANS}, context long, terms array<long>")
 
 
 #: Bits of the filter that a second pass over the texts tests words with: 2 MiB at any size of corpus.
 FILTER_BITS = 24
 
 
+def mentions_of(scanned: DataFrame) -> DataFrame:
+    """(entity, entity_df): in how many independent documents each entity is."""
+    return scanned.select("context", F.explode("spans.entity").alias("entity")).distinct().groupBy("entity").agg(F.count("*").alias("entity_df"))
+
+
 def candidate_terms(scanned: DataFrame, min_contexts: int = 3) -> DataFrame:
-    """Pairs of term and entity seen together in enough independent contexts."""
-    near = scanned.select(F.explode("near").alias("n")).select("n.entity", "n.context", F.explode("n.terms").alias("term"))
-    return near.distinct().groupBy("term", "entity").agg(F.count("*").alias("together")).filter(F.col("together") >= min_contexts)
+    """Pairs of term and entity that enough independent documents hold together."""
+    often = mentions_of(scanned).filter(F.col("entity_df") >= min_contexts).select("entity")
+    near = scanned.select("context", "terms", F.explode(F.array_distinct("spans.entity")).alias("entity")).join(often, "entity", "left_semi")
+    once = near.dropDuplicates(["entity", "context"]).select("entity", F.explode("terms").alias("term"))
+    return once.groupBy("term", "entity").agg(F.count("*").alias("together")).filter(F.col("together") >= min_contexts)
 
 
-def _filter_of(terms: DataFrame) -> np.ndarray:
-    """A bitmap of fixed size over the top bits of the terms' hashes."""
-    at = F.shiftrightunsigned(F.col("term"), 64 - FILTER_BITS)
-    words = terms.select(at.alias("at")).distinct().groupBy(F.shiftright("at", 3).alias("byte")).agg(F.sum(F.pow(F.lit(2.0), F.col("at") % 8)).cast("int").alias("bits"))
+def _filter_of(hashes: DataFrame, col: str = "term") -> np.ndarray:
+    """A bitmap of fixed size over the top bits of hashes."""
+    at = F.shiftrightunsigned(F.col(col), 64 - FILTER_BITS)
+    words = hashes.select(at.alias("at")).distinct().groupBy(F.shiftright("at", 3).alias("byte")).agg(F.sum(F.pow(F.lit(2.0), F.col("at") % 8)).cast("int").alias("bits"))
     bitmap = np.zeros(1 << (FILTER_BITS - 3), dtype=np.uint8)
     for row in words.toLocalIterator():  # at most 2 ** (FILTER_BITS - 3) rows
         bitmap[row[0]] = row[1]
     return bitmap
 
 
-def _hits(p: pa.RecordBatch, bits: np.ndarray) -> tuple[tx.Words, np.ndarray, np.ndarray, np.ndarray]:
-    """Words of a piece that may be among the terms of a filter: their numbers, hashes and texts."""
-    w = tx.Words(p.column("text"), lower=True)
-    h = w.hashes()
-    at = (h >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
-    hit = np.flatnonzero(bits[at >> 3] >> (at & 7).astype(np.uint8) & 1)
-    return w, hit, h[hit].view(np.int64), np.searchsorted(w.first, hit, side="right") - 1
+def _maybe(h: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Which hashes may be in a filter."""
+    at = (h.view(np.uint64) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+    return (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
-def document_counts(docs: DataFrame, terms: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(term, df): how many texts have each of the terms. Texts are counted where they are read, so
-    a term costs one row a piece however common it is."""
-    bitmap = docs.sparkSession.sparkContext.broadcast(_filter_of(terms).tobytes())
+def document_counts(docs: DataFrame, terms: DataFrame, scanned: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(term, df): how many independent documents have each of the terms. Texts are counted where
+    they are read, so a term costs one row a piece however common it is; only those whose context
+    may be another's too are told apart by it."""
+    spark = docs.sparkSession
+    bitmap = spark.sparkContext.broadcast(_filter_of(terms).tobytes())
+    copied = scanned.groupBy("context").count().filter("count > 1")
+    copies = spark.sparkContext.broadcast(_filter_of(copied, "context").tobytes())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.frombuffer(bitmap.value, dtype=np.uint8)
+        bits, twice = np.frombuffer(bitmap.value, dtype=np.uint8), np.frombuffer(copies.value, dtype=np.uint8)
         for b in batches:
             for p in tx.pieces(b):
-                _, _, term, doc = _hits(p, bits)
-                order = np.lexsort((doc, term))
-                term, doc = term[order], doc[order]
+                x = Pieces(p.column("text"))
+                hit = np.flatnonzero(x.term & _maybe(x.hash, bits))
+                term, context = x.hash[hit].view(np.int64), x.context[x.doc[hit]]
+                order = np.lexsort((context, term))
+                term, context = term[order], context[order]
                 new = np.ones(len(term), dtype=bool)
-                new[1:] = (term[1:] != term[:-1]) | (doc[1:] != doc[:-1])
-                term, n = np.unique(term[new], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(term), pa.array(n)], names=["term", "n"])
+                new[1:] = (term[1:] != term[:-1]) | (context[1:] != context[:-1])
+                term, context = term[new], context[new]
+                told = _maybe(context, twice)
+                once, n = np.unique(term[~told], return_counts=True)
+                n = np.concatenate([n, np.ones(told.sum(), n.dtype)])
+                context = pa.array(np.concatenate([np.zeros(len(once), np.int64), context[told]]), mask=np.arange(len(n)) < len(once))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([once, term[told]])), context, pa.array(n)], names=["term", "context", "n"])
 
-    counts = _texts(docs, id_col, text_col).mapInArrow(run, "term long, n long")
-    return counts.groupBy("term").agg(F.sum("n").alias("df"))
+    counts = _texts(docs, id_col, text_col).mapInArrow(run, "term long, context long, n long")
+    each = counts.groupBy("term", "context").agg(F.when(F.col("context").isNull(), F.sum("n")).otherwise(1).alias("n"))
+    return each.groupBy("term").agg(F.sum("n").alias("df"))
 
 
 def occurrences(docs: DataFrame, terms: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -180,7 +228,10 @@ def occurrences(docs: DataFrame, terms: DataFrame, id_col: str = "doc_id", text_
         bits = np.frombuffer(bitmap.value, dtype=np.uint8)
         for b in batches:
             for p in tx.pieces(b):
-                w, hit, term, doc = _hits(p, bits)
+                w = term_words(p.column("text"))
+                h = w.hashes()
+                hit = np.flatnonzero(_maybe(h, bits))
+                term, doc = h[hit].view(np.int64), w.doc_of_word()[hit]
                 points = np.concatenate([[0], np.cumsum((w.buf[: w.size] & 0xC0) != 0x80)])
                 base = points[w.off[doc]]
                 yield pa.RecordBatch.from_arrays(
@@ -194,7 +245,8 @@ def occurrences(docs: DataFrame, terms: DataFrame, id_col: str = "doc_id", text_
 def revealing(pairs: DataFrame, held: DataFrame, n_docs: int, mentions: DataFrame, min_share: float = 0.5, min_bits: float = 4.0) -> DataFrame:
     """Terms whose disclosure of some entity is over both thresholds.
 
-    ``held`` has how many documents hold each term (df), ``mentions`` each entity (entity_df).
+    ``held`` has how many independent documents hold each term (df), ``mentions`` each entity
+    (entity_df), ``n_docs`` is their number: all counts are of distinct contexts.
     """
     share = F.least(F.lit(1.0), F.col("together") / F.col("df"))
     bits = F.log2(share / (F.col("entity_df") / F.lit(max(n_docs, 1))))
@@ -204,9 +256,8 @@ def revealing(pairs: DataFrame, held: DataFrame, n_docs: int, mentions: DataFram
 def term_spans(docs: DataFrame, scanned: DataFrame, keep, id_col: str = "doc_id", text_col: str = "text", min_contexts: int = 3) -> DataFrame:
     """Spans (doc_id, start, end) of revealing terms; ``keep`` writes a table down."""
     pairs = keep(candidate_terms(scanned, min_contexts), "pii-pairs")
-    held = document_counts(docs, pairs, id_col, text_col)
-    mentions = scanned.select("doc_id", F.explode(F.array_distinct("spans.entity")).alias("entity")).groupBy("entity").agg(F.count("*").alias("entity_df"))
-    bad = keep(revealing(pairs, held, scanned.count(), mentions).select("term").distinct(), "pii-terms")
+    held = document_counts(docs, pairs, scanned, id_col, text_col)
+    bad = keep(revealing(pairs, held, scanned.select("context").distinct().count(), mentions_of(scanned)).select("term").distinct(), "pii-terms")
     return occurrences(docs, bad, id_col, text_col).select("doc_id", "start", "end").distinct()
 
 

@@ -52,3 +52,15 @@ def test_copies_are_no_evidence(spark):
     rows = [(i, "the very same words with Secretname and x@y.example.com in all copies") for i in range(20)] + [(99, "words")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert not any(r.terms for r in pii.report(df, keep).collect())
+
+
+def marked_words(df, spark):
+    return {r.doc_id: {df[r.doc_id][t["start"] : t["end"]] for t in r.terms} for r in pii.report(spark.createDataFrame(list(df.items()), "doc_id long, text string").repartition(3), keep).collect()}
+
+
+def test_copies_count_once_in_both_parts(spark):
+    texts = {i: f"Marlowe x@y.example.com letter {i} plain words here" for i in range(3)}
+    texts |= {100 + i: texts[0] for i in range(50)}
+    texts |= {1000 + i: f"letter {i} of plain words here" for i in range(300)}
+    got = marked_words(texts, spark)
+    assert got[0] == got[2] == got[120] == {"Marlowe"} and not got[1000]
