@@ -64,3 +64,12 @@ def test_copies_count_once_in_both_parts(spark):
     texts |= {1000 + i: f"letter {i} of plain words here" for i in range(300)}
     got = marked_words(texts, spark)
     assert got[0] == got[2] == got[120] == {"Marlowe"} and not got[1000]
+
+
+def test_terms_anywhere_in_the_text_without_punctuation(spark):
+    filler = lambda i: " ".join(f"w{i}x{j}" for j in range(200))
+    forms = ["Quillfeather,", "(quillfeather)", "«Quillfeather»", "“Quillfeather”…"]
+    texts = {i: f"Dear {f} {filler(i)} +1 (319) 555-5132" for i, f in enumerate(forms)}
+    texts |= {50: "nothing but quillfeather."} | {1000 + i: f"Dear reader {i}" for i in range(300)}
+    got = marked_words(texts, spark)
+    assert {w.lower() for i in (0, 1, 2, 3, 50) for w in got[i]} == {"quillfeather"} and all(got[i] for i in (0, 1, 2, 3, 50))
