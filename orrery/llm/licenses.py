@@ -6,6 +6,12 @@ Dice = 2 * shared / (bigrams of the unit + bigrams of the template). Dice of ``t
 needs sizes within a factor of (2 - threshold) / threshold, so units and templates of other sizes
 are never compared, and a posting list of the templates' bigrams leaves those that share one.
 
+Beside these units any run of words is compared, wherever it begins or ends in lines, sentences
+and paragraphs (unit ``run``). A nearest run begins and ends with a bigram of its template and has
+as many of them as the least fitting size, which the posting list finds. Of overlapping runs the
+nearest stands; one that overlaps a unit found is left out where that has the same licence or is
+as near.
+
 Normalised: lower-case A-Z, everything but letters, digits and non-ASCII characters as white
 space. Of several templates over the threshold a unit goes to the nearest, of equal ones to the
 first by name.
@@ -16,9 +22,11 @@ rows of their own; an empty table gives an empty result; other columns are dropp
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
-from itertools import pairwise
+from itertools import accumulate, pairwise
+from math import ceil
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -116,7 +124,55 @@ class Matcher:
                 look("paragraph", a, b, [w for x in lines[a:b] for w in x])
         if len(parts) > 1 and sum(map(len, lines)) <= longest:
             look("text", parts[0][0], parts[-1][1], [w for x in lines for w in x])
-        return found
+        return found + self.runs(lines, found)
+
+    def windows(self, words: list[bytes]) -> list[tuple[float, str, int, int]]:
+        """(dice, license, first word, last word + 1): for each place where a run over the threshold
+        begins, the nearest one."""
+        at: dict[int, list[int]] = {}
+        grams = list(pairwise(words))
+        for p, g in enumerate(grams):
+            for i in self.posting.get(g, ()):
+                at.setdefault(i, []).append(p)
+        out = []
+        for i, places in at.items():
+            m, bag = self.sizes[i], self.bags[i]
+            least = self.threshold / (2 - self.threshold) * m
+            most, need = m * m / least + 1e-9, max(1, ceil(least - 1e-9))
+            for j in range(len(places) - need + 1):
+                a = places[j]
+                if places[j + need - 1] - a + 1 > most:
+                    continue
+                seen, shared, best = Counter(), 0, (0.0, 0)
+                for p in places[j:]:
+                    n = p - a + 1
+                    if n > most:
+                        break
+                    seen[grams[p]] += 1
+                    shared += seen[grams[p]] <= bag[grams[p]]
+                    best = max(best, (2 * shared / (n + m), -p))
+                if best[0] >= self.threshold:
+                    out.append((best[0], self.names[i], a, 2 - best[1]))
+        return out
+
+    def runs(self, lines: list[list[bytes]], found: list[tuple[str, str, int, int, float]]) -> list[tuple[str, str, int, int, float]]:
+        """Runs of words that match, in the form of ``scan``, beside the units found."""
+        first = [0, *accumulate(map(len, lines))]
+        taken: dict[int, tuple[float, set[str]]] = {}
+
+        def take(name: str, a: int, b: int, dice: float) -> None:
+            for w in range(a, b):
+                d, names = taken.get(w, (0.0, set()))
+                taken[w] = (max(d, dice), names | {name})
+
+        for name, _, a, b, dice in found:
+            take(name, first[a], first[b], dice)
+        out = []
+        for dice, name, a, b in sorted(self.windows([w for x in lines for w in x]), key=lambda r: (-r[0], r[1], r[2], r[3])):
+            if not any(w in taken and (taken[w][0] >= dice or name in taken[w][1]) for w in range(a, b)):
+                take(name, a, b, dice)
+                out.append((a, (name, "run", bisect_right(first, a) - 1, bisect_right(first, b - 1), dice)))
+        return [row for _, row in sorted(out)]
 
 
 def scan(docs: DataFrame, templates: dict[str, tuple[bool, list[str]]] = TEMPLATES, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -53,3 +53,14 @@ def test_scan_matches_brute_force(spark):
     assert licenses.scan(df.limit(0)).count() == 0
     per = {r.doc_id: r for r in licenses.documents(df, licenses.scan(df)).collect()}
     assert per[4].licenses == ["MIT"] and per[4].permissive and per[11].permissive is False and per[3].licenses is None
+
+
+def test_notices_inside_lines_and_across_paragraphs():
+    m = licenses.Matcher(licenses.TEMPLATES, licenses.THRESHOLD)
+    inside = "Copyright 2020 X. Released under the MIT License. See LICENSE for details"
+    assert m.scan(inside.encode()) == [("MIT", "run", 0, 1, 1.0)]
+    prose = "some other words " * 200
+    assert m.scan((prose + inside + prose).encode()) == [("MIT", "run", 0, 1, 1.0)]
+    bsd = licenses.TEMPLATES["BSD-2-Clause"][1][1].replace(" 1. ", "\n\n1. ").replace(" 2. ", "\n\n2. ")
+    assert m.scan(f"Title\n\n{prose}\n\n{bsd}\n\n{prose}".encode()) == [("BSD-2-Clause", "run", 4, 9, 1.0)]
+    assert m.scan(f"{inside} {MIT[1]} {prose} Licensed under CC BY-NC 4.0.".encode()) == [("MIT", "run", 0, 1, 1.0)] * 2 + [("CC-BY-NC-4.0", "run", 0, 1, 1.0)]
