@@ -103,7 +103,7 @@ def rules(f: Column) -> list[Column]:
         _vote((mean >= 3) & (mean <= 10), (mean < 2.5) | (mean > 14)),
         _vote(f["alnum_chars"] >= 0.85 * f["word_chars"], f["alnum_chars"] < 0.75 * f["word_chars"]),
         _vote(f["n_letter_words"] >= 0.8 * n, f["n_letter_words"] < 0.6 * n),
-        _vote(f["n_distinct_words"] >= 0.3 * n, (f["n_distinct_words"] < 0.15 * n) & (f["n_words"] <= 5000)),
+        _vote(f["n_distinct_words"] >= 0.3 * n, f["n_distinct_words"] < F.least(0.15 * n, F.sqrt(112.5 * n))),  # vocabularies grow as a power
     ]
 
 

@@ -55,3 +55,11 @@ def test_judge(spark):
     assert len(judged) == len(rows)
     assert kept >= {None, *range(300)} and not kept & {5000, 5001, 5002, *range(1000, 1030), *range(2000, 2030)}
     assert quality.judge(df.limit(0).select(quality.features(F.col("text")).alias("f")), "f").count() == 0
+
+
+def test_one_bound_on_distinct_words_at_every_length(spark):
+    sizes = [(5000, 200), (5001, 200), (100_000, 200), (100_000, 20_000), (1000, 140), (1000, 160)]
+    empty = {f.name: 0 for f in quality.FEATURES}
+    df = spark.createDataFrame([(i, {**empty, "n_words": n, "n_distinct_words": k}) for i, (n, k) in enumerate(sizes)], quality.T.StructType([quality.T.StructField("i", quality.T.LongType()), quality.T.StructField("f", quality.FEATURES)]))
+    votes = [r[0] for r in df.orderBy("i").select(quality.rules(F.col("f"))[7]).collect()]
+    assert votes == [quality.BAD, quality.BAD, quality.BAD, quality.ABSTAIN, quality.BAD, quality.ABSTAIN]
