@@ -416,10 +416,11 @@ def _approximate(name: str, f: Callable[[VectorTable, VectorTable], DataFrame])
 
 
 _approximate("scalar8_quantised_search", lambda b, q: quantize.scalar_knn(b, q, K, bits=8))
-_approximate("projected_search", lambda b, q: quantize.projected_knn(b, q, K))
+_approximate("projected_search", lambda b, q: quantize.projected_knn(b, q, K, pool=20))
 _approximate("binary_search", lambda b, q: quantize.binary_knn(b, q, K, pool=20))
 _approximate("product_quantised_search", lambda b, q: quantize.product_knn(b, q, K, codes=64))
 _approximate("rotated_product_search", lambda b, q: quantize.product_knn(b, q, K, codes=64, turns=3))
+_approximate("ivf_fitted_search", lambda b, q: partitioned.ivf_knn(b, q, K, partitioned.centroids_of(b, 16), 14))
 _approximate("ivf_product_search", lambda b, q: partitioned.ivf_product_knn(b, q, K, partitioned.centroids_of(b, 16), 12, codes=64))
 _approximate("ivf_inner_product_search", lambda b, q: partitioned.ivf_product_knn(b, q, K, partitioned.centroids_of(b, 16), 14, codes=64, metric="inner_product"))
 _approximate("ivf_rabitq_search", lambda b, q: partitioned.ivf_rabitq_knn(b, q, K, partitioned.centroids_of(b, 16), 14, pool=20))
