@@ -2,22 +2,61 @@ import random
 import zlib
 from collections import defaultdict
 
+import pyarrow as pa
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from orrery.llm import packing
 
 
-@pytest.mark.parametrize("remembered", [400_000, 5])
-def test_remembered_words_give_the_tokenizers_ids(remembered, monkeypatch):
-    monkeypatch.setattr(packing, "REMEMBERED", remembered)
+TEXTS = [
+    "", "Hello, world's  end\n\n9 don't Á ﬁ \x1c x\x1fy", "naïve café 東京 3,14 ''s", "a b ́x ΣΑΣ ς", "x" * 5000, "Don't. end., é. É, ß. İ, 3. it's, a.b. <|endoftext|> x<|endoftext|>. K. »,",
+    "İstanbul İSTANBUL, ǅ ŉ x<|startoftext|>y <|ENDOFTEXT|> e\u0301 \u0301 \u00a0 a\u00a0b \u3000 \u200b", "<|startoftext|>", "a'S, 's. 'LL.", " . , ., a, 1.",
+]
+
+
+def plain_ids(text):
     from tokenizers import Tokenizer
 
-    plain = Tokenizer.from_file(packing.tokenizer_path())
-    plain.encode_special_tokens = True
+    global _plain
+    _plain = globals().get("_plain") or Tokenizer.from_file(packing.tokenizer_path())
+    return _plain.encode(text, add_special_tokens=False).ids + [packing.END_ID]
+
+
+def ids_of(tok, texts):
+    ids, begin = tok.encode(pa.array([t.encode() for t in texts], pa.binary()))
+    return [ids[i:j].tolist() for i, j in zip(begin[:-1], begin[1:])]
+
+
+@pytest.mark.parametrize("slots", [1 << 19, 8, 64])
+def test_ids_are_the_tokenizers(slots, monkeypatch):
+    monkeypatch.setattr(packing.WordTokenizer, "SLOTS", slots)
+    monkeypatch.setattr(packing.WordTokenizer, "IDS", 40 * slots)
     tok = packing.WordTokenizer(packing.tokenizer_path())
-    texts = ["", "Hello, world's  end\n\n9 don't Á ﬁ \x1c x\x1fy", "naïve café 東京 3,14 ''s", "a b ́x ΣΑΣ ς", "x" * 5000, "Don't. end., é. É, ß. İ, 3. it's, a.b. <|endoftext|> x<|endoftext|>. K. »,"]
-    for t, ids in zip(texts * 2, [tok.encode([t.encode()])[0] for t in texts * 2]):
-        want = plain.encode(t, add_special_tokens=False).ids
-        assert [int.from_bytes(ids[i : i + 4], "little") for i in range(0, len(ids), 4)] == want
+    for texts in (TEXTS, TEXTS[::-1], TEXTS[3:4], TEXTS * 2, [], ["end"]):
+        assert ids_of(tok, texts) == [plain_ids(t) for t in texts]
+
+
+PARTS = ["İ", "ß", "Σ", "\u0301", "\u0327", "東", "가", "<|endoftext|>", "<|startoftext|>", "<|", "'s", "'", ".", ",", " ", "\n", "\u00a0", "\x1c", "é", "A", "z", "9", "٣", "🙂", "\u200d", "…"]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(PARTS), max_size=12).map("".join), max_size=4))
+def test_ids_of_any_text(texts):
+    global _tok
+    _tok = globals().get("_tok") or packing.WordTokenizer(packing.tokenizer_path())
+    assert ids_of(_tok, texts) == [plain_ids(t) for t in texts]
+
+
+def test_long_text_in_parts(spark, monkeypatch):
+    text = "İ word, " * 200_000  # over a megabyte
+    assert b"".join(packing._parts(text.encode())) == text.encode() and len(packing._parts(text.encode())) > 1
+    got = packing.tokenize(spark.createDataFrame([(1, text)], "doc_id long, text string")).orderBy("piece").collect()
+    want = plain_ids(text)
+    assert sum(r.length for r in got) == len(want)
+    for r in got:
+        part = want[r.start : r.start + r.length]
+        assert r.ids_crc32 == zlib.crc32(b"".join(i.to_bytes(4, "little") for i in part)) and r.start == 4096 * r.piece
 
 
 @pytest.mark.parametrize("seed", range(5))
