@@ -1,8 +1,8 @@
 """Exact nearest neighbours.
 
 ``knn_join`` takes a stated query set and answers it from all rows of the base. Queries go out in
-blocks of a bounded size: a block is broadcast, each task multiplies its rows with it and keeps
-its own k best per query, and a window takes the k best of those. The base is never shuffled and
+blocks of a bounded size: a block is broadcast, each task multiplies its rows with it, a tile at
+a time, and keeps its own k best per query, and a window takes the k best of those. The base is never shuffled and
 no task holds more than a batch of it.
 
 Results are (query_id, doc_id, distance, rank): distances rounded to six places, ranks from 1 in
@@ -66,28 +66,75 @@ def _blocks(queries: DataFrame, dimension: int) -> Iterator[tuple[np.ndarray, np
         yield np.array(ids), np.array(vectors, dtype=np.float64)
 
 
+#: Distances that a task computes at a time: 8 MiB a matrix, whatever the batch and the block.
+TILE_ROWS, TILE_QUERIES = 1024, 1024
+
+
+class Nearest:
+    """The k nearest rows so far of each query of a block.
+
+    Distances of a tile of rows and queries come by matrix product. That form loses digits where
+    norms are large against the distance, so for L2 it only bounds them: a pair that may be among
+    the k best is computed again from the differences of its coordinates.
+    """
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, k: int, metric: str, exclude_self: bool = False):
+        self.ids, self.vectors, self.k, self.metric, self.exclude_self = ids, vectors, k, metric, exclude_self
+        self.distance = np.full((len(ids), k), np.inf)
+        self.row = np.full((len(ids), k), np.iinfo(np.int64).max)
+
+    def see(self, rows: np.ndarray, x: np.ndarray) -> None:
+        for i in range(0, len(rows), TILE_ROWS):
+            for j in range(0, len(self.ids), TILE_QUERIES):
+                self._tile(rows[i : i + TILE_ROWS], x[i : i + TILE_ROWS].astype(np.float64), slice(j, j + TILE_QUERIES))
+
+    def _tile(self, rows: np.ndarray, x: np.ndarray, part: slice) -> None:
+        q = self.vectors[part]
+        about = D.kernel(self.metric, q, x)
+        if self.exclude_self:
+            about[self.ids[part][:, None] == rows[None, :]] = np.inf
+        slack = np.full((len(q), 1), 1e-9)
+        if self.metric in ("l2", "l2_squared"):
+            off = 1e-15 * (16 + x.shape[1]) * ((q * q).sum(axis=1)[:, None] + (x * x).sum(axis=1).max())
+            slack = slack + (off if self.metric == "l2_squared" else np.sqrt(off))
+        limit = self.distance[part, -1:]
+        if len(rows) >= self.k:
+            limit = np.minimum(limit, np.partition(about, self.k - 1, axis=1)[:, self.k - 1 : self.k])
+        which, at = np.nonzero((about <= limit + 2 * slack + 10.0**-PLACES) & (about < np.inf))
+        found = np.empty(len(at))
+        for lo in range(0, len(at), 1 << 14):
+            w, r = which[lo : lo + (1 << 14)], at[lo : lo + (1 << 14)]
+            if self.metric in ("l2", "l2_squared"):
+                square = ((x[r] - q[w]) ** 2).sum(axis=1)
+                found[lo : lo + (1 << 14)] = square if self.metric == "l2_squared" else np.sqrt(square)
+            else:
+                found[lo : lo + (1 << 14)] = about[w, r]
+        # what is kept and what is found, in order of query, distance and id; the first k stand
+        n = len(q)
+        who = np.concatenate([np.repeat(np.arange(n), self.k), which])
+        dist = np.concatenate([self.distance[part].ravel(), np.round(found, PLACES) + 0.0])
+        id_ = np.concatenate([self.row[part].ravel(), rows[at]])
+        order = np.lexsort((id_, dist, who))
+        rank = np.arange(len(order)) - np.searchsorted(who[order], np.arange(n))[who[order]]
+        top = order[rank < self.k]
+        self.distance[part], self.row[part] = dist[top].reshape(n, self.k), id_[top].reshape(n, self.k)
+
+    def result(self) -> pa.RecordBatch:
+        there = np.isfinite(self.distance)
+        ids = np.broadcast_to(self.ids[:, None], there.shape)[there]
+        return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(self.row[there]), pa.array(self.distance[there])], names=["query_id", "doc_id", "distance"])
+
+
 def nearest_of_block(base: DataFrame, ids: np.ndarray, vectors: np.ndarray, k: int, metric: str, exclude_self: bool = False) -> DataFrame:
     """Each task's k nearest rows of ``base`` (id, vector) to each query of one block."""
     shared = base.sparkSession.sparkContext.broadcast((ids, vectors))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        qids, q = shared.value
-        kept = [(np.zeros(0, np.int64), np.zeros(0)) for _ in qids]
+        nearest = Nearest(*shared.value, k, metric, exclude_self)
         for b in batches:
-            if not b.num_rows:
-                continue
-            rows = b.column("id").to_numpy(zero_copy_only=False)
-            d = np.round(D.kernel(metric, _matrix(b.column("vector")), q), PLACES) + 0.0
-            for j, qid in enumerate(qids):
-                mine, dist = rows, d[:, j]
-                if exclude_self:
-                    mine, dist = mine[mine != qid], dist[mine != qid]
-                mine, dist = np.concatenate([kept[j][0], mine]), np.concatenate([kept[j][1], dist])
-                best = _best(mine, dist, k)
-                kept[j] = (mine[best], dist[best])
-        n = [len(x[0]) for x in kept]
-        if sum(n):
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qids, n)), pa.array(np.concatenate([x[0] for x in kept])), pa.array(np.concatenate([x[1] for x in kept]))], names=["query_id", "doc_id", "distance"])
+            if b.num_rows:
+                nearest.see(b.column("id").to_numpy(zero_copy_only=False), _matrix(b.column("vector")))
+        yield nearest.result()
 
     return base.select("id", "vector").mapInArrow(run, RESULT)
 

@@ -1,7 +1,7 @@
 """Attribute predicates as Columns.
 
-A row passes only where its attribute is there and of the value's kind: null is false, also
-under ``negate``, and numbers never equal strings.
+A row passes only where its attribute is there and of the value's kind: null is false, and numbers
+never equal strings. ``negate`` passes exactly the rows that its predicate doesn't, null ones too.
 """
 
 from __future__ import annotations
@@ -72,6 +72,7 @@ def has_label(field: str, label: str) -> Predicate:
 
 
 def negate(predicate: Predicate) -> Predicate:
+    """The rows that the predicate doesn't pass, those without the attribute among them."""
     return lambda df: ~predicate(df)
 
 

@@ -36,6 +36,11 @@ def _knn(metric: str, where: str = "true", k: int = K) -> str:
 for _metric in ("l2", "l2_squared", "cosine", "cosine_normalised", "angular", "inner_product"):
     SQL[f"knn_{_metric}"] = _knn(_metric)
 SQL["knn_single_query"] = f"WITH {_VECTORS} SELECT doc_id, distance FROM ({_pairs('cosine', 'a.id = 0')}) ORDER BY distance, doc_id LIMIT {K}"
+SQL["knn_unscaled"] = f"""
+WITH v AS (SELECT o_orderkey AS id, o_totalprice AS x, CAST(o_custkey AS DOUBLE) AS y FROM orders),
+pairs AS (SELECT a.id AS query_id, b.id AS doc_id, round(sqrt((b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y)), 6) + 0.0 AS distance FROM v a, v b WHERE a.id % 50 = 0)
+{_ranked("SELECT * FROM pairs")}
+"""
 SQL["knn_custom_distance"] = _knn("l1")
 SQL["knn_filtered_equals"] = _knn("cosine", "b.label = 3")
 SQL["knn_filtered_tree"] = _knn("l2", "(b.label IN (1, 2) OR (b.label >= 7 AND b.label < 9))")

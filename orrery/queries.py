@@ -62,6 +62,14 @@ for _metric in D.METRICS:
     QUERIES[f"knn_{_metric}"] = _knn
 
 
+@_query
+def knn_unscaled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nearest orders by price and customer, columns of very different norms."""
+    orders = _table(spark, sf_dir, "orders")
+    base = VectorTable(orders.select("o_orderkey", F.array(F.col("o_totalprice"), F.col("o_custkey").cast("double")).alias("v")), "o_orderkey", "v")
+    return _ranked(knn.knn_join(base, _asked(base), K, "l2"))
+
+
 @_query
 def knn_single_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = _vectors(spark, sf_dir)

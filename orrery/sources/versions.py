@@ -29,17 +29,16 @@ class VersionedTable:
         whole = lambda n: fs.exists(jvm.org.apache.hadoop.fs.Path(f"{self.path}/{n}/_SUCCESS"))
         return sorted(int(n[2:]) for n in names if n.startswith("v=") and whole(n))
 
-    def has(self, version: int) -> bool:
-        return version in self.versions(SparkSession.active())
-
     def publish(self, df: DataFrame, version: int | None = None) -> int:
         """Write ``df`` as a version (the next one, unless told) and make it the current one."""
-        spark = df.sparkSession
-        jvm, fs = self._fs(spark)
         if version is None:
-            version = max(self.versions(spark), default=-1) + 1
-        at = f"{self.path}/v={version}"
-        df.write.mode("overwrite").parquet(at)
+            version = max(self.versions(df.sparkSession), default=-1) + 1
+        df.write.mode("overwrite").parquet(f"{self.path}/v={version}")
+        return self.point(df.sparkSession, version)
+
+    def point(self, spark: SparkSession, version: int) -> int:
+        """Make a version that was written whole the current one."""
+        jvm, fs = self._fs(spark)
         pointer, new = (jvm.org.apache.hadoop.fs.Path(f"{self.path}/{n}") for n in ("CURRENT", f".CURRENT-{uuid.uuid4().hex}"))
         out = fs.create(new, True)
         out.write(bytearray(str(version).encode()))

@@ -11,13 +11,20 @@ from . import changes
 
 
 def apply_batch(table: VersionedTable, batch: DataFrame, batch_id: int) -> None:
-    """Publish the version that the batch leads to. A batch that was published already is left
-    alone, so one that is replayed after a failure changes nothing; an older seq never replaces a
-    newer one, as the table keeps seqs and deletes."""
-    if table.has(batch_id):
+    """Publish the version that the batch leads to; an older seq never replaces a newer one, as the
+    table keeps seqs and deletes.
+
+    A batch may come again after a failure. If the table is at it or past it, nothing is left to do;
+    if its version was written whole and the pointer hasn't moved, only the pointer moves now.
+    """
+    spark = batch.sparkSession
+    now = table.pointer(spark)
+    if now is not None and now >= batch_id:
         return
-    main = table.current(batch.sparkSession)
-    log = batch if main is None else main.unionByName(batch)
+    if batch_id in table.versions(spark):
+        table.point(spark, batch_id)
+        return
+    log = batch if now is None else table.read(spark, now).unionByName(batch)
     table.publish(changes.latest(log), batch_id)
 
 

@@ -147,3 +147,20 @@ def test_empty_base(spark, data):
     none = VectorTable(asked.df.limit(0))
     for f in (lambda: knn.knn_join(none, asked, 3), lambda: partitioned.tree_knn(asked, none, 3), lambda: graphs.search(graphs.build(asked), none, 3)):
         assert f().count() == 0
+
+
+@pytest.mark.parametrize("metric", ["l2", "l2_squared", "cosine", "inner_product"])
+def test_nearest_at_large_norms(metric):
+    rng = np.random.default_rng(4)
+    x = np.concatenate([1e4 + rng.normal(size=(3000, 3)) * 1e-4, rng.normal(size=(50, 3)), [[1e4, 1e4, 1e4 + 1e-5]], np.zeros((2, 3)), np.full((5, 3), 1e4)])
+    ids, q = rng.permutation(len(x)), x[::97]
+    nearest = knn.Nearest(np.arange(len(q)), q, 7, metric)
+    for lo in range(0, len(x), 800):
+        nearest.see(ids[lo : lo + 800], x[lo : lo + 800])
+    for j in range(len(q)):
+        d = np.sqrt(((x - q[j]) ** 2).sum(axis=1)) if metric == "l2" else ((x - q[j]) ** 2).sum(axis=1) if metric == "l2_squared" else D.kernel(metric, x, q[j : j + 1])[:, 0]
+        d = np.round(d, 6) + 0.0
+        order = np.lexsort((ids, d))[:7]
+        if metric == "l2":
+            assert nearest.row[j].tolist() == ids[order].tolist()
+        assert np.allclose(nearest.distance[j], d[order], atol=2e-6, rtol=1e-12)

@@ -109,6 +109,22 @@ def test_upsert_stream(spark, tmp_path):
     assert sorted(r.n for r in counts.collect()) == [1, 2]
 
 
+def test_upsert_after_a_crash(spark, tmp_path):
+    schema = "id long, seq long, op string, value double"
+    table = VersionedTable(str(tmp_path / "table"))
+    batch = lambda i: spark.createDataFrame([(i, i, "insert", float(i))], schema)
+    upsert.apply_batch(table, batch(1), 0)
+    real, table.point = table.point, lambda *_: (_ for _ in ()).throw(RuntimeError("lost"))
+    with pytest.raises(RuntimeError):
+        upsert.apply_batch(table, batch(2), 1)  # written, but the pointer hasn't moved
+    table.point = real
+    assert {r.id for r in upsert.live(table, spark).collect()} == {1}
+    upsert.apply_batch(table, batch(2), 1)
+    upsert.apply_batch(table, batch(3), 2)
+    upsert.apply_batch(table, batch(9), 1)  # long past
+    assert {r.id for r in upsert.live(table, spark).collect()} == {1, 2, 3}
+
+
 def test_command_line(spark, tmp_path, capsys):
     rng = np.random.default_rng(3)
     x = rng.normal(size=(300, 8))
