@@ -10,8 +10,10 @@ the text, without the punctuation round it.
 Copies of a document are no independent evidence: all counts are of distinct texts, known forms
 left out, so a term needs three different documents with the entity.
 
-Defined results: null text is empty; a null doc_id has its spans like any other row; repeated
-rows each get theirs; an empty table gives an empty result; other columns are dropped.
+Defined results: null text is empty; a null doc_id has its spans like any other row; rows that
+share a doc_id each get those of their own text; a very long text is handled whole, by itself;
+terms of equal disclosure are all reported; an empty table gives an empty result; ``scan`` and
+``report`` drop other columns, ``sanitised`` keeps them.
 """
 
 from __future__ import annotations
@@ -27,6 +29,7 @@ from pyspark.sql import functions as F
 
 from . import text as tx
 from .ids import fresh
+from .work import lean
 
 KINDS = ["email", "ip", "card", "phone", "term"]
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -135,6 +138,7 @@ def term_words(texts: pa.Array) -> tx.Words:
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: its spans, its context, and where it has spans its distinct terms."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         span = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int64()), ("end", pa.int64()), ("entity", pa.string())]))
         for b in batches:
@@ -151,8 +155,26 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     return _texts(docs, id_col, text_col).mapInArrow(run, f"doc_id long, spans {SPANS}, context long, terms array<long>")
 
 
-#: Bits of the filter that a second pass over the texts tests words with: 2 MiB at any size of corpus.
-FILTER_BITS = 24
+#: Hashes that are broadcast at most, 8 MiB; beyond it tasks take every hash for one of them, and a
+#: join on the hash decides.
+MOST = 1 << 20
+
+
+def broadcast_set(hashes: DataFrame, col: str):  # noqa: ANN201
+    """The distinct hashes of a column for tasks to test words with, or None where there are more
+    than ``MOST``."""
+    distinct = hashes.select(F.col(col).alias("h")).distinct().limit(MOST + 1).toArrow()["h"].to_numpy()
+    return hashes.sparkSession.sparkContext.broadcast(np.sort(distinct).tobytes()) if len(distinct) <= MOST else None
+
+
+def _within(h: np.ndarray, shared) -> np.ndarray:  # noqa: ANN001
+    """Which hashes (signed) are in a broadcast set; all where there is none."""
+    if shared is None:
+        return np.ones(len(h), dtype=bool)
+    known = np.frombuffer(shared.value, dtype=np.int64)
+    if not len(known):
+        return np.zeros(len(h), dtype=bool)
+    return known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h
 
 
 def mentions_of(scanned: DataFrame) -> DataFrame:
@@ -168,22 +190,6 @@ def candidate_terms(scanned: DataFrame, min_contexts: int = 3) -> DataFrame:
     return once.groupBy("term", "entity").agg(F.count("*").alias("together")).filter(F.col("together") >= min_contexts)
 
 
-def _filter_of(hashes: DataFrame, col: str = "term") -> np.ndarray:
-    """A bitmap of fixed size over the top bits of hashes."""
-    at = F.shiftrightunsigned(F.col(col), 64 - FILTER_BITS)
-    words = hashes.select(at.alias("at")).distinct().groupBy(F.shiftright("at", 3).alias("byte")).agg(F.sum(F.pow(F.lit(2.0), F.col("at") % 8)).cast("int").alias("bits"))
-    bitmap = np.zeros(1 << (FILTER_BITS - 3), dtype=np.uint8)
-    for row in words.toLocalIterator():  # at most 2 ** (FILTER_BITS - 3) rows
-        bitmap[row[0]] = row[1]
-    return bitmap
-
-
-def _maybe(h: np.ndarray, bits: np.ndarray) -> np.ndarray:
-    """Which hashes may be in a filter."""
-    at = (h.view(np.uint64) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
-    return (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
-
-
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
@@ -191,84 +197,132 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def document_counts(docs: DataFrame, terms: DataFrame, scanned: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(term, df): how many independent documents have each of the terms. Texts are counted where
     they are read, so a term costs one row a piece however common it is; only those whose context
-    may be another's too are told apart by it."""
-    spark = docs.sparkSession
-    bitmap = spark.sparkContext.broadcast(_filter_of(terms).tobytes())
-    copied = scanned.groupBy("context").count().filter("count > 1")
-    copies = spark.sparkContext.broadcast(_filter_of(copied, "context").tobytes())
+    is another's too are told apart by it."""
+    wanted = broadcast_set(terms, "term")
+    copied = broadcast_set(scanned.groupBy("context").count().filter("count > 1"), "context")
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, twice = np.frombuffer(bitmap.value, dtype=np.uint8), np.frombuffer(copies.value, dtype=np.uint8)
         for b in batches:
             for p in tx.pieces(b):
                 x = Pieces(p.column("text"))
-                hit = np.flatnonzero(x.term & _maybe(x.hash, bits))
-                term, context = x.hash[hit].view(np.int64), x.context[x.doc[hit]]
+                at = np.flatnonzero(x.term)
+                at = at[_within(x.hash[at].view(np.int64), wanted)]
+                term, context = x.hash[at].view(np.int64), x.context[x.doc[at]]
                 order = np.lexsort((context, term))
                 term, context = term[order], context[order]
                 new = np.ones(len(term), dtype=bool)
                 new[1:] = (term[1:] != term[:-1]) | (context[1:] != context[:-1])
                 term, context = term[new], context[new]
-                told = _maybe(context, twice)
+                told = _within(context, copied)
                 once, n = np.unique(term[~told], return_counts=True)
                 n = np.concatenate([n, np.ones(told.sum(), n.dtype)])
                 context = pa.array(np.concatenate([np.zeros(len(once), np.int64), context[told]]), mask=np.arange(len(n)) < len(once))
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([once, term[told]])), context, pa.array(n)], names=["term", "context", "n"])
 
     counts = _texts(docs, id_col, text_col).mapInArrow(run, "term long, context long, n long")
+    if wanted is None:
+        counts = counts.join(terms.select("term").distinct(), "term", "left_semi")
     each = counts.groupBy("term", "context").agg(F.when(F.col("context").isNull(), F.sum("n")).otherwise(1).alias("n"))
     return each.groupBy("term").agg(F.sum("n").alias("df"))
 
 
-def occurrences(docs: DataFrame, terms: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Where the terms occur in the texts: (doc_id, term, start, end), in code points."""
-    bitmap = docs.sparkSession.sparkContext.broadcast(_filter_of(terms).tobytes())
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.frombuffer(bitmap.value, dtype=np.uint8)
-        for b in batches:
-            for p in tx.pieces(b):
-                w = term_words(p.column("text"))
-                h = w.hashes()
-                hit = np.flatnonzero(_maybe(h, bits))
-                term, doc = h[hit].view(np.int64), w.doc_of_word()[hit]
-                points = np.concatenate([[0], np.cumsum((w.buf[: w.size] & 0xC0) != 0x80)])
-                base = points[w.off[doc]]
-                yield pa.RecordBatch.from_arrays(
-                    [p.column("doc_id").take(pa.array(doc)), pa.array(term), pa.array(points[w.start[hit]] - base), pa.array(points[w.end[hit]] - base)], names=["doc_id", "term", "start", "end"]
-                )
-
-    hits = _texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, term long, start long, end long")
-    return hits.join(terms.select("term").distinct(), "term", "left_semi")
-
-
 def revealing(pairs: DataFrame, held: DataFrame, n_docs: int, mentions: DataFrame, min_share: float = 0.5, min_bits: float = 4.0) -> DataFrame:
     """Terms whose disclosure of some entity is over both thresholds.
 
     ``held`` has how many independent documents hold each term (df), ``mentions`` each entity
     (entity_df), ``n_docs`` is their number: all counts are of distinct contexts.
     """
-    share = F.least(F.lit(1.0), F.col("together") / F.col("df"))
+    share = F.col("together") / F.col("df")
     bits = F.log2(share / (F.col("entity_df") / F.lit(max(n_docs, 1))))
     return pairs.join(held, "term").join(mentions, "entity").withColumns({"share": share, "bits": bits}).filter((F.col("share") >= min_share) & (F.col("bits") >= min_bits))
 
 
-def term_spans(docs: DataFrame, scanned: DataFrame, keep, id_col: str = "doc_id", text_col: str = "text", min_contexts: int = 3) -> DataFrame:
-    """Spans (doc_id, start, end) of revealing terms; ``keep`` writes a table down."""
+def revealing_terms(docs: DataFrame, keep, id_col: str = "doc_id", text_col: str = "text", min_contexts: int = 3) -> DataFrame:
+    """(term) of all terms over the thresholds, as hashes; ``keep`` writes a table down."""
+    scanned = keep(scan(docs, id_col, text_col), "pii-scan")
     pairs = keep(candidate_terms(scanned, min_contexts), "pii-pairs")
     held = document_counts(docs, pairs, scanned, id_col, text_col)
-    bad = keep(revealing(pairs, held, scanned.select("context").distinct().count(), mentions_of(scanned)).select("term").distinct(), "pii-terms")
-    return occurrences(docs, bad, id_col, text_col).select("doc_id", "start", "end").distinct()
+    return keep(revealing(pairs, held, scanned.select("context").distinct().count(), mentions_of(scanned)).select("term").distinct(), "pii-terms")
+
+
+def _term_places(texts: pa.Array, shared) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:  # noqa: ANN001
+    """Text, hash, start and end (in code points) of each word that may be in the set."""
+    w = term_words(texts)
+    h = w.hashes().view(np.int64)
+    at = np.flatnonzero(_within(h, shared))
+    doc = w.doc_of_word()[at]
+    points = np.concatenate([[0], np.cumsum((w.buf[: w.size] & 0xC0) != 0x80)])
+    base = points[w.off[doc]]
+    return doc, h[at], points[w.start[at]] - base, points[w.end[at]] - base
+
+
+PLACES = "array<struct<start:long,end:long>>"
+
+
+def with_places(docs: DataFrame, terms: DataFrame, into: str, text_col: str = "text") -> DataFrame:
+    """``docs`` with the places of the terms in each text, found in the row itself.
+
+    Where there are too many terms to broadcast, each distinct text is looked up once, by a join on
+    the words, and rows take the places of their text, which a 128-bit hash names.
+    """
+    shared = broadcast_set(terms, "term")
+    if shared is not None:
+
+        @F.arrow_udf(PLACES)
+        def places(text: pa.Array) -> pa.Array:
+            out = []
+            for p in tx.pieces(pa.RecordBatch.from_arrays([text], names=["text"])):
+                doc, _, start, end = _term_places(p.column("text"), shared)
+                offsets = np.searchsorted(doc, np.arange(p.num_rows + 1)).astype(np.int32)
+                out.append(pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([pa.array(start), pa.array(end)], names=["start", "end"])))
+            return pa.concat_arrays(out) if out else pa.array([], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
+
+        return docs.withColumn(into, places(F.col(text_col).cast("string")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for p in tx.pieces(b):
+                doc, term, start, end = _term_places(p.column("text"), None)
+                yield pa.RecordBatch.from_arrays([p.column("body").take(pa.array(doc)), pa.array(term), pa.array(start), pa.array(end)], names=["body", "term", "start", "end"])
+
+    body, part, other = fresh(docs, "_body"), fresh(docs, "_part"), fresh(docs, "_place")
+    texts = docs.select(F.md5(F.col(text_col).cast("string")).alias("body"), F.col(text_col).cast("string").alias("text")).filter("text IS NOT NULL").dropDuplicates(["body"])
+    hits = texts.mapInArrow(run, "body string, term long, start long, end long").join(terms.select("term").distinct(), "term", "left_semi")
+    per = hits.groupBy("body").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias(into))
+    # copies of one text are dealt over parts, and so are its places
+    per = per.select(F.col("body").alias(other), into, F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias(part + "_"))
+    left = docs.withColumns({body: F.md5(F.col(text_col).cast("string")), part: F.pmod(F.monotonically_increasing_id(), F.lit(PARTS)).cast("int")})
+    joined = left.join(per, (F.col(body) == F.col(other)) & (F.col(part) == F.col(part + "_")), "left").drop(body, part, other, part + "_")
+    return joined.withColumn(into, F.coalesce(into, F.array().cast(PLACES)))
+
+
+#: Parts that the copies of one text are dealt over.
+PARTS = 16
+
+
+def _free(known: list[tuple[int, int, int]], places: list[dict]) -> list[tuple[int, int]]:
+    return [(x["start"], x["end"]) for x in places if not any(s < x["end"] and x["start"] < e for _, s, e in known)]
 
 
 def report(docs: DataFrame, keep, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Each document with its known spans and the spans of revealing terms outside them."""
-    scanned = keep(scan(docs, id_col, text_col), "pii-scan")
-    terms = term_spans(docs, scanned, keep, id_col, text_col)
-    per = terms.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("terms"))
-    joined = scanned.select("doc_id", "spans").join(per, "doc_id", "left")
-    free = lambda t: ~F.exists("spans", lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"]))
-    return joined.withColumn("terms", F.filter(F.coalesce("terms", F.array().cast("array<struct<start:long,end:long>>")), free))
+    terms = revealing_terms(docs, keep, id_col, text_col)
+
+    @lean
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        span = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int64()), ("end", pa.int64()), ("entity", pa.string())]))
+        place = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+        for b in batches:
+            spans, free = [], []
+            for t, places in zip(b.column("text"), b.column("places")):
+                t = t.as_py() or ""
+                known = base_spans(t)
+                spans.append([{"kind": k, "start": s, "end": e, "entity": _entity(k, t[s:e])} for k, s, e in known])
+                free.append([{"start": s, "end": e} for s, e in _free(known, places.as_py() or [])])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(spans, span), pa.array(free, place)], names=["doc_id", "spans", "terms"])
+
+    return with_places(_texts(docs, id_col, text_col), terms, "places").mapInArrow(run, f"doc_id long, spans {SPANS}, terms {PLACES}")
 
 
 def redact(text: str, spans: list[tuple[int, int, int]]) -> str:
@@ -282,27 +336,21 @@ def redact(text: str, spans: list[tuple[int, int, int]]) -> str:
 
 
 def sanitised(docs: DataFrame, keep, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with known personal data replaced by its kind and revealing terms generalised.
-
-    Known forms are found in the row itself; terms come by id, so a row without one keeps them.
-    """
-    scanned = keep(scan(docs, id_col, text_col), "pii-scan")
-    terms = term_spans(docs, scanned, keep, id_col, text_col)
-    at, found = fresh(docs, "_id"), fresh(docs, "_terms")
-    per = terms.groupBy(F.col("doc_id").alias(at)).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias(found))
+    """``docs`` with known personal data replaced by its kind and revealing terms generalised, each
+    row by what its own text holds."""
+    found = fresh(docs, "_places")
+    placed = with_places(docs, revealing_terms(docs, keep, id_col, text_col), found, text_col)
 
     @F.arrow_udf("string")
-    def redacted(text: pa.Array, terms: pa.Array) -> pa.Array:
+    def redacted(text: pa.Array, places: pa.Array) -> pa.Array:
         out = []
-        for t, more in zip(text, terms):
-            t, more = t.as_py(), more.as_py()
+        for t, more in zip(text, places):
+            t = t.as_py()
             if t is None:
                 out.append(None)
                 continue
-            known = [(s, e, k) for k, s, e in base_spans(t)]
-            more = [] if more is None else [(x["start"], x["end"]) for x in more]
-            out.append(redact(t, known + [(s, e, 4) for s, e in more if not any(a < e and s < b for a, b, _ in known)]))
+            known = base_spans(t)
+            out.append(redact(t, [(s, e, k) for k, s, e in known] + [(s, e, 4) for s, e in _free(known, more.as_py() or [])]))
         return pa.array(out, pa.string())
 
-    joined = docs.join(per, F.col(id_col) == F.col(at), "left")
-    return joined.withColumn(text_col, redacted(F.col(text_col).cast("string"), found)).select(*docs.columns)
+    return placed.withColumn(text_col, redacted(F.col(text_col).cast("string"), found)).select(*docs.columns)

@@ -72,6 +72,7 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select(
         "doc_id", *[count(i).alias(f"n_{k}") for i, k in enumerate(pii.KINDS[:4])],
         F.sha2(_listed(base, pii.KINDS), 256).alias("base_sha256"), _listed(F.concat(base, terms), pii.KINDS).alias("spans"),
+        F.size(F.concat(base, terms)).cast("long").alias("n_spans"),
     )
 
 

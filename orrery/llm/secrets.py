@@ -2,14 +2,19 @@
 
 ``scan`` finds candidates in every text: three known forms (assigned, access key, hex run) and
 a general one, long tokens of letters and digits of high entropy. ``ownership`` counts, for the
-hash of each candidate value, the distinct repositories and owners that hold it; a value that
-many of them hold is a copied example, one that a single owner holds looks live. The known
-forms are always reported, with that class; a general candidate is reported only where its
-owners say that it is live.
-
-Secret values leave the scan only as hashes. Defined results: null text is empty, a null owner
-or repository counts as one of its own, repeated rows don't raise counts of distinct owners,
-an empty table gives an empty result, other columns are dropped.
+hash of each candidate value, the distinct repositories, owners and texts that hold it. A value
+that several repositories or owners hold, or that stands in many different texts of one, is a
+widely copied example; one that a single owner holds in a few texts looks live. The known forms are
+always reported, with that class; a general candidate is reported only where its ownership says
+that it is live.
+
+Secret values leave the scan only as hashes. What ownership says goes back to a row by its text, so
+a row gets the spans of its own text whatever its id.
+
+Defined results: null text is empty; rows without an owner (or repository) count as one owner, told
+apart from any name, the empty one included; repeated rows and copies of a text raise no count of
+uses; candidates of one value have one class; very long texts are handled whole; an empty table
+gives an empty result; other columns are dropped.
 """
 
 from __future__ import annotations
@@ -20,10 +25,13 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .work import lean
+
 KINDS = ["assign", "access", "hex", "general"]
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 _WORDS = ("passw", "secret", "token", "api")
@@ -33,7 +41,12 @@ _GENERAL = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}")
 _DIGIT, _LETTER = re.compile(r"[0-9]"), re.compile(r"[A-Za-z]")
 MIN_BITS = 3.2
 
-SCANNED = "doc_id long, repo string, owner string, spans array<struct<kind:int,start:long,end:long,value:string>>"
+#: A live value stands in at most so many repositories, owners and different texts.
+MAX_REPOS, MAX_OWNERS, MAX_USES = 1, 1, 10
+#: Parts that the copies of one text are dealt over.
+PARTS = 16
+
+SCANNED = "doc_id long, repo string, owner string, body string, part int, spans array<struct<kind:int,start:long,end:long,value:string>>"
 
 
 def entropy(s: str) -> float:
@@ -61,44 +74,60 @@ def general_spans(text: str, known: list[tuple[int, int, int, str]]) -> list[tup
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col: str = "source", owner_col: str = "source") -> DataFrame:
-    """One row per document with its candidate spans; their values are SHA-256 prefixes."""
+    """One row per document with its candidate spans; their values are SHA-256 prefixes. ``body``
+    names the text of a row with spans, ``part`` deals the rows of one text out."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int64()), ("end", pa.int64()), ("value", pa.string())]))
+        made = 0
         for b in batches:
-            spans = []
+            spans, bodies = [], []
             for t in b.column("text"):
                 t = t.as_py() or ""
                 known = base_spans(t)
-                spans.append([{"kind": k, "start": s, "end": e, "value": hashlib.sha256(v.encode()).hexdigest()[:32]} for k, s, e, v in known + general_spans(t, known)])
-            kind = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int64()), ("end", pa.int64()), ("value", pa.string())]))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("repo"), b.column("owner"), pa.array(spans, kind)], names=["doc_id", "repo", "owner", "spans"])
+                found = known + general_spans(t, known)
+                bodies.append(hashlib.blake2b(t.encode(), digest_size=16).hexdigest() if found else None)
+                spans.append([{"kind": k, "start": s, "end": e, "value": hashlib.sha256(v.encode()).hexdigest()[:32]} for k, s, e, v in found])
+            part = pa.array((np.arange(made, made + b.num_rows) % PARTS).astype(np.int32))
+            made += b.num_rows
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("repo"), b.column("owner"), pa.array(bodies, pa.string()), part, pa.array(spans, kind)], names=["doc_id", "repo", "owner", "body", "part", "spans"])
 
     cols = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(repo_col).cast("string").alias("repo"), F.col(owner_col).cast("string").alias("owner"), F.col(text_col).cast("string").alias("text"))
     return cols.mapInArrow(run, SCANNED)
 
 
 def ownership(scanned: DataFrame) -> DataFrame:
-    """Distinct repositories and owners of each candidate value."""
-    each = scanned.select("doc_id", F.coalesce("repo", F.lit("")).alias("repo"), F.coalesce("owner", F.lit("")).alias("owner"), F.explode("spans.value").alias("value"))
-    # one row per value and owner before counting, so a value on a third of all rows comes to few
-    holders = each.groupBy("value", "repo", "owner").agg(F.count("*").alias("n"))
-    return holders.groupBy("value").agg(F.countDistinct("repo").alias("n_repos"), F.countDistinct("owner").alias("n_owners"), F.sum("n").alias("n_uses"))
+    """Distinct repositories, owners and texts of each candidate value."""
+    texts = scanned.filter("body IS NOT NULL").groupBy("body", "repo", "owner").agg(F.any_value(F.array_distinct("spans.value")).alias("values"))
+    # a row per text and holder, so copies count once; then per holder, so a value on a third of
+    # all rows comes to few before it meets in one place
+    holders = texts.select("repo", "owner", F.explode("values").alias("value")).groupBy("value", "repo", "owner").agg(F.count("*").alias("n"))
+    named = lambda c: F.countDistinct(c) + F.max(F.col(c).isNull().cast("int"))
+    return holders.groupBy("value").agg(named("repo").alias("n_repos"), named("owner").alias("n_owners"), F.sum("n").alias("n_uses"))
+
+
+def live_values(scanned: DataFrame, max_repos: int = MAX_REPOS, max_owners: int = MAX_OWNERS, max_uses: int = MAX_USES) -> DataFrame:
+    """(value) of those that ownership says are live."""
+    return ownership(scanned).filter((F.col("n_repos") <= max_repos) & (F.col("n_owners") <= max_owners) & (F.col("n_uses") <= max_uses)).select("value")
 
 
-def classify(scanned: DataFrame, max_live_owners: int = 1) -> DataFrame:
-    """Each candidate span with its counts and class, ``live`` or ``example``."""
-    spans = scanned.select("doc_id", F.explode("spans").alias("s")).select("doc_id", "s.*")
-    joined = spans.join(ownership(scanned), "value")
-    return joined.withColumn("class", F.when(F.col("n_owners") <= max_live_owners, "live").otherwise("example"))
+def classify(scanned: DataFrame, **bounds: int) -> DataFrame:
+    """Each candidate span of each different text with its class, ``live`` or ``example``."""
+    texts = scanned.filter("body IS NOT NULL").groupBy("body").agg(F.any_value("spans").alias("spans"))
+    spans = texts.select("body", F.explode("spans").alias("s")).select("body", "s.*")
+    live = live_values(scanned, **bounds).withColumn("class", F.lit("live"))
+    return spans.join(live, "value", "left").withColumn("class", F.coalesce("class", F.lit("example")))
 
 
-def report(scanned: DataFrame, max_live_owners: int = 1) -> DataFrame:
+def report(scanned: DataFrame, **bounds: int) -> DataFrame:
     """Each document with its known spans (``base``), the live general ones (``added``), and how
-    many of its spans are live. Added spans come by doc_id: a row without one has known spans only."""
-    live = classify(scanned, max_live_owners).filter(F.col("class") == "live")
+    many of its spans are live. ``scanned`` is read three times: write it down first."""
+    live = classify(scanned, **bounds).filter(F.col("class") == "live")
     added = F.collect_set(F.when(F.col("kind") == 3, F.struct("start", "end", "kind")))
-    per = live.groupBy("doc_id").agg(F.array_sort(added).alias("added"), F.count("*").alias("n_live"))
+    per = live.groupBy("body").agg(F.array_sort(added).alias("added"), F.count("*").alias("n_live"))
+    per = per.select("body", "added", "n_live", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part"))
     base = F.transform(F.filter("spans", lambda s: s["kind"] < 3), lambda s: F.struct(s["start"], s["end"], s["kind"]))
     none = F.array().cast("array<struct<start:long,end:long,kind:int>>")
-    joined = scanned.withColumn("base", base).select("doc_id", "base").join(per, "doc_id", "left")
-    return joined.withColumns({"added": F.coalesce("added", none), "n_live": F.coalesce("n_live", F.lit(0))})
+    joined = scanned.withColumn("base", base).select("doc_id", "body", "part", "base").join(per, ["body", "part"], "left")
+    return joined.select("doc_id", "base", F.coalesce("added", none).alias("added"), F.coalesce("n_live", F.lit(0)).alias("n_live"))

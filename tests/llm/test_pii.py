@@ -1,5 +1,9 @@
+import math
+import random
 import re
 
+import numpy as np
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from orrery.llm import pii
@@ -54,6 +58,54 @@ def test_copies_are_no_evidence(spark):
     assert not any(r.terms for r in pii.report(df, keep).collect())
 
 
+def test_rows_that_share_an_id_keep_their_text(spark):
+    rows = [(7, "falcon-nine seen", "x"), (7, "KEEP THIS TEXT WHOLE", "x"), (None, "the falcon-nine", None), (None, None, "y"), (None, "falcon-nine seen", "x")]
+    rows += [(i, f"falcon-nine writes x@y.example.com as {i}", "z") for i in range(4)] + [(100 + i, f"plain words as {i}", "z") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _places string").repartition(5)
+    for most in (pii.MOST, 0):  # beyond the bound of what is broadcast the result is the same
+        before, pii.MOST = pii.MOST, most
+        try:
+            got = pii.sanitised(df, keep)
+            assert got.columns == df.columns
+            texts = sorted(((r.doc_id, r.text) for r in got.collect() if r.doc_id is None or r.doc_id < 10), key=str)
+            spans = sorted((str(r.doc_id), [tuple(t) for t in r.terms]) for r in pii.report(df, keep).collect() if r.doc_id in (None, 7))
+        finally:
+            pii.MOST = before
+        assert texts == sorted([(7, "<TERM> seen"), (7, "KEEP THIS TEXT WHOLE"), (None, "the <TERM>"), (None, None), (None, "<TERM> seen")] + [(i, f"<TERM> <TERM> <EMAIL> as {i}") for i in range(4)], key=str)
+        assert spans == sorted([("7", [(0, 11)]), ("7", []), ("None", [(4, 15)]), ("None", []), ("None", [(0, 11)])])
+
+
+def test_disclosure_by_plain_counting(spark):
+    rng = random.Random(5)
+    names = ["ann", "bob", "cy", "dee"]
+    rows = []
+    for i in range(150):
+        words = [rng.choice([*names, "of", "to", "at"]) for _ in range(rng.randint(1, 5))] + [f"w{rng.randint(0, 4)}"]
+        entity = rng.choice(["p@x.example", "q@x.example", None, None])
+        if "ann" in words and rng.random() < 0.8:
+            entity = "r@x.example"
+        rows.append((i, " ".join([*words, *([entity] if entity else [])])))
+    rows += [(1000 + i, t) for i, (_, t) in enumerate(rows[:40])]
+    found = {}
+    for _, t in rows:  # one document for each context
+        words = [w for w in t.split() if "@" not in w]
+        found.setdefault(tuple(words), set()).update(w for w in t.split() if "@" in w)
+    terms = {w for c in found for w in c if not any(x.isdigit() for x in w)}
+    want = set()
+    for t in terms:
+        for e in {e for s in found.values() for e in s}:
+            both, df = sum(t in c and e in s for c, s in found.items()), sum(t in c for c in found)
+            share = both / df
+            if both >= 2 and share >= 0.4 and math.log2(share / (sum(e in s for s in found.values()) / len(found))) >= 0.5:
+                want.add(t)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    scanned = keep(pii.scan(docs), "t")
+    pairs = keep(pii.candidate_terms(scanned, 2), "t")
+    bad = pii.revealing(pairs, pii.document_counts(docs, pairs, scanned), scanned.select("context").distinct().count(), pii.mentions_of(scanned), 0.4, 0.5)
+    hashes = dict(zip(sorted(terms), pii.term_words(pa.array([" ".join(sorted(terms)).encode()], pa.binary())).hashes().view(np.int64).tolist()))
+    assert want and {r.term for r in bad.collect()} == {hashes[t] for t in want}
+
+
 def marked_words(df, spark):
     return {r.doc_id: {df[r.doc_id][t["start"] : t["end"]] for t in r.terms} for r in pii.report(spark.createDataFrame(list(df.items()), "doc_id long, text string").repartition(3), keep).collect()}
 

@@ -29,6 +29,7 @@ def test_ownership(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
     scanned = secrets.scan(df)
     got = {r.doc_id: r for r in secrets.report(scanned).collect()}
+    body = {r.doc_id: r.body for r in scanned.collect()}
     assert len(got) == len(rows)
     assert all(not got[i].added and got[i].n_live == 0 for i in range(4))
     assert [(r.start, r.end) for r in got[11].added] == []  # also held by the owner without a name
@@ -36,6 +37,44 @@ def test_ownership(spark):
     one = {r.doc_id: r for r in secrets.report(secrets.scan(df.filter("doc_id IS NOT NULL"))).collect()}
     assert [(r.start, r.end) for r in one[11].added] == [(3, 25)]
     assert [(r.start, r.end) for r in one[10].added] == [(5, 27)] and one[10].n_live == 2
-    kinds = {(r.doc_id, r.kind): r["class"] for r in secrets.classify(scanned).collect()}
-    assert kinds[0, 3] == "example" and kinds[14, 0] == "example" and kinds[10, 1] == "live"
+    kinds = {(r.body, r.kind): r["class"] for r in secrets.classify(scanned).collect()}
+    assert kinds[body[0], 3] == "example" and kinds[body[14], 0] == "example" and kinds[body[10], 1] == "live"
     assert secrets.report(secrets.scan(df.limit(0))).count() == 0
+
+
+def spans_of(spark, rows, **bounds):
+    scanned = secrets.scan(spark.createDataFrame(rows, "doc_id long, text string, source string, spans int").repartition(3), **bounds)
+    return sorted(((r.doc_id, len(r.base), [(x.start, x.end) for x in r.added], r.n_live) for r in secrets.report(scanned).collect()), key=str)
+
+
+LIVE = "Hj5dF8sGa2Kp6Qw9Er3Ty7"
+
+
+def test_rows_that_share_an_id_get_their_own_spans(spark):
+    rows = [(7, f"see {LIVE}", "a", 1), (7, "KEEP THIS TEXT WHOLE", "a", 1), (None, f"é {LIVE} {LIVE}", "a", 1), (None, f"see {LIVE}", "a", 1), (8, f"see {LIVE}", "a", 2)]
+    assert spans_of(spark, rows) == sorted([(7, 0, [(4, 26)], 1), (7, 0, [], 0), (None, 0, [(2, 24), (25, 47)], 2), (None, 0, [(4, 26)], 1), (8, 0, [(4, 26)], 1)], key=str)
+
+
+def test_owners_uses_and_copies(spark):
+    text = lambda i: f"number {i} holds {LIVE} " + "x " * 50_000 * (i == 0)
+    n = lambda rows: sum(bool(x[2]) for x in spans_of(spark, rows))
+    assert n([(i, text(i), "a", 0) for i in range(10)]) == 10
+    assert n([(i, text(i), "a", 0) for i in range(11)]) == 0  # in too many texts of one source
+    assert n([(i, text(1), "a", 0) for i in range(500)]) == 500  # copies of one text
+    assert n([(1, text(1), "a", 0), (2, text(2), "b", 0)]) == 0
+    assert n([(1, text(1), None, 0), (2, text(2), "", 0)]) == 0  # no owner isn't the owner of no name
+    assert n([(1, text(1), None, 0), (2, text(2), None, 0)]) == 2
+
+
+@settings(max_examples=25, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 3), st.integers(0, 5), st.sampled_from(["a", "b", "", None])), max_size=12))
+def test_classes_by_plain_counting(spark, rows):
+    values = [f"Ab{i}dE5fG6hI7jK8lM9nO0" for i in range(4)]
+    docs = [(i, f"text {t} has {values[v]}", o, 0) for i, (v, t, o) in enumerate(rows)]
+    want = []
+    for i, text, _, _ in docs:
+        v = rows[i][0]
+        holders, texts = {o for w, _, o in rows if w == v}, {(t, o) for w, t, o in rows if w == v}
+        want.append((i, bool(len(holders) == 1 and len(texts) <= 2)))
+    scanned = secrets.scan(spark.createDataFrame(docs, "doc_id long, text string, source string, spans int"))
+    assert sorted((r.doc_id, bool(r.added)) for r in secrets.report(scanned, max_uses=2).collect()) == want
