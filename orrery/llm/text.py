@@ -24,6 +24,10 @@ LOWER[0x41:0x5B] += 0x20
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
+#: What a shingle's hash so far is multiplied by.
+TIMES = _M2
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """Bijective 64-bit finaliser (xor-shift and multiply)."""
     h = h ^ (h >> np.uint64(32))
@@ -112,7 +116,7 @@ def shingle_hashes(h: np.ndarray, n: int) -> np.ndarray:
         return np.zeros(0, dtype=np.uint64)
     out = h[:m].copy()
     for i in range(1, n):
-        out = mix(out * _M2 + h[i : i + m])
+        out = mix(out * TIMES + h[i : i + m])
     return out
 
 
