@@ -6,8 +6,9 @@ labels, and a document is kept when the posterior probability that it is good re
 threshold. The corpus reaches the driver only as counts per vote pattern, at most
 3 ** N_RULES rows whatever its size.
 
-Defined results: null text has no words and is rejected by the base rule; repeated rows
-count as often as they occur; an empty table gives an empty result; columns of the input are
+Defined results: null text has no words and is rejected by the base rule; null ids are like any
+other; repeated rows count as often as they occur; documents of one vote pattern, and those at the
+threshold, have one verdict; a very long text is one piece of work; an empty table gives an empty result; columns of the input are
 kept by ``judge`` and never clash, as features come in one struct column that the caller names.
 """
 
@@ -114,21 +115,24 @@ def base_failed(f: Column) -> Column:
     return (f["n_words"] < 50) | (100 * f["n_repeat_words"] > 50 * f["n_words"])
 
 
-def fit(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200, tolerance: float = 1e-9) -> np.ndarray:
-    """Posterior probability of good for each vote pattern.
+#: What each accuracy is worth before any vote is seen, in votes that were right and wrong: rules
+#: seldom flag good documents, and of bad ones a rule may catch a few or most. A hundred votes don't
+#: hold an accuracy against a corpus; they say which of the two classes is the good one.
+PRIOR_GOOD, PRIOR_BAD = (98, 2), (2, 2)
+
+
+def fit(patterns: np.ndarray, counts: np.ndarray, rounds: int = 1000, tolerance: float = 1e-10) -> tuple[np.ndarray, dict]:
+    """Posterior probability of good for each vote pattern, and what was estimated.
 
     ``patterns`` is (patterns, rules) of votes, ``counts`` how many documents have each. The
     model: a document is good with probability ``prior``; a rule that votes on it is right with
-    its own accuracy for good and for bad documents; an abstention says nothing. Rules seldom
-    flag good documents, which their accuracy there, 0.98 at least, states. A rule flags
-    one kind of bad document and misses the others, so its accuracy on bad ones may be low, but
-    it is held above its rate of false alarms, which settles which class is the good one. A
-    Beta(8, 2) prior for good and a Beta(2, 2) prior for bad documents keep rules that seldom
-    vote from running to 0 or 1.
+    its own accuracy for good and for bad documents; an abstention says nothing. All of these are
+    estimated by expectation-maximisation, from the accuracies that the Beta priors expect.
     """
     v, c = np.asarray(patterns, dtype=np.int64), np.asarray(counts, dtype=np.float64)
     up, down = v == GOOD, v == BAD
-    right_good, right_bad, prior, last = np.full(v.shape[1], 0.98), np.full(v.shape[1], 0.5), 0.8, -np.inf
+    right_good, right_bad = (np.full(v.shape[1], r / (r + w)) for r, w in (PRIOR_GOOD, PRIOR_BAD))
+    prior, last = 0.8, -np.inf
     post = np.zeros(len(v))
     for _ in range(rounds):
         lg = np.log(prior) + up @ np.log(right_good) + down @ np.log1p(-right_good)
@@ -137,14 +141,14 @@ def fit(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200, tolerance:
         total = top + np.log(np.exp(lg - top) + np.exp(lb - top))
         post = np.exp(lg - total)
         g, b = c * post, c * (1 - post)
-        prior = np.clip((g.sum() + 1) / (c.sum() + 2), 0.01, 0.99)
-        right_good = np.clip((g @ up + 8) / (g @ (up | down) + 10), 0.98, 0.998)
-        right_bad = np.clip((b @ down + 2) / (b @ (up | down) + 4), 2 * (1 - right_good), 0.998)
+        prior = (g.sum() + 1) / (c.sum() + 2)
+        right_good = (g @ up + PRIOR_GOOD[0]) / (g @ (up | down) + sum(PRIOR_GOOD))
+        right_bad = (b @ down + PRIOR_BAD[0]) / (b @ (up | down) + sum(PRIOR_BAD))
         now = float(c @ total)
-        if now - last < tolerance * max(1.0, abs(now)):
+        if abs(now - last) < tolerance * max(1.0, abs(now)):
             break
         last = now
-    return post
+    return post, {"prior": prior, "right_good": right_good, "right_bad": right_bad}
 
 
 def _code(votes: list[Column]) -> Column:
@@ -165,7 +169,7 @@ def judge(docs: DataFrame, feature_col: str, threshold: float = 0.5, into: tuple
     seen = docs.select(code.alias("code")).groupBy("code").count().collect()  # at most 3 ** N_RULES rows
     codes = np.array([r[0] for r in seen], dtype=np.int64)
     patterns = np.stack([codes // 3 ** (N_RULES - 1 - i) % 3 - 1 for i in range(N_RULES)], axis=1) if len(codes) else np.zeros((0, N_RULES), np.int64)
-    post = fit(patterns, np.array([r[1] for r in seen])) if len(codes) else np.zeros(0)
+    post = fit(patterns, np.array([r[1] for r in seen]))[0] if len(codes) else np.zeros(0)
     c, p = fresh(docs, "_code"), fresh(docs, "_p")
     table = docs.sparkSession.createDataFrame([(int(x), float(y)) for x, y in zip(codes, post)], f"{c} int, {p} double")
     joined = docs.withColumn(c, code).join(F.broadcast(table), c, "left").drop(c)

@@ -1,6 +1,7 @@
 import random
 
 import corpus_pipeline as cp
+import pyarrow as pa
 from orrery.llm import decontaminate, packing, pii, quality, simhash
 from pyspark.sql import functions as F
 
@@ -38,7 +39,7 @@ def test_pipeline_against_plain_steps(spark, tmp_path):
     assert got[105].text == texts[105].replace("a.b@c.example.com", "<EMAIL>") and got[105].n_chars == len(got[105].text)
     assert all(got[i].text == texts[i] for i in got if i != 105) and stage.columns == docs.columns
     tok = packing.WordTokenizer(packing.tokenizer_path())
-    want = sum(len(x) // 4 + 1 for x in tok.encode([r.text.encode() for r in got.values()]))
+    want = len(tok.encode(pa.array([r.text.encode() for r in got.values()], pa.binary()))[0])
     packed = cp.run(spark, str(tmp_path)).collect()
     assert {r.doc_id for r in packed} == set(got)
     assert sum(r.length for r in packed) == want

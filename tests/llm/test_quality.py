@@ -40,8 +40,28 @@ def test_em_recovers_planted_classes():
         flagged = np.where(good, rng.random(20_000) < 0.005, rng.random(20_000) < 0.45)
         votes[flagged, j] = -1
     patterns, which, n = np.unique(votes, axis=0, return_inverse=True, return_counts=True)
-    kept = quality.fit(patterns, n)[which.ravel()] >= 0.5
+    post, found = quality.fit(patterns, n)
+    kept = post[which.ravel()] >= 0.5
     assert (kept == good).mean() > 0.98
+    assert abs(found["prior"] - 0.85) < 0.01
+    assert np.allclose(found["right_good"], 0.994, atol=0.003) and np.allclose(found["right_bad"], 0.45 / (0.45 + 0.8 * 0.55), atol=0.03)
+
+
+def test_accuracies_are_those_of_the_votes():
+    """Rules of very different accuracy, poor ones too, are told apart; a plain likelihood agrees."""
+    rng = np.random.default_rng(7)
+    n, right_good, right_bad = 60_000, np.array([0.99, 0.97, 0.9, 0.8, 0.95, 0.99, 0.7, 0.98]), np.array([0.6, 0.9, 0.2, 0.5, 0.75, 0.3, 0.8, 0.55])
+    good = rng.random(n) < 0.7
+    right = rng.random((n, 8)) < np.where(good[:, None], right_good, right_bad)
+    votes = np.where(right == good[:, None], 1, -1) * (rng.random((n, 8)) > 0.1)
+    patterns, which, count = np.unique(votes, axis=0, return_inverse=True, return_counts=True)
+    post, found = quality.fit(patterns, count)
+    assert np.allclose(found["right_good"], right_good, atol=0.03) and np.allclose(found["right_bad"], right_bad, atol=0.05)
+    for i in rng.choice(len(patterns), 30):  # Bayes' rule, a rule at a time
+        g, b = found["prior"], 1 - found["prior"]
+        for v, x, y in zip(patterns[i], found["right_good"], found["right_bad"]):
+            g, b = (g * x, b * (1 - y)) if v == 1 else (g * (1 - x), b * y) if v == -1 else (g, b)
+        assert abs(g / (g + b) - post[i]) < 1e-5
 
 
 def test_judge(spark):
