@@ -1,22 +1,27 @@
 """Duplicate substrings by relative Lempel-Ziv factors over an index of the whole corpus.
 
-Every window of ``WINDOW`` words of every text is a possible phrase of the reference. The index
-is spread over blocks by the phrase's hash, each phrase with the earliest place it starts at, and
-every document is factored against all blocks: a factor runs on greedily as long as each next
-window starts earlier too, so factors are at least ``WINDOW`` words long, and looking up every
-window, those that straddle two factors included, checks factor boundaries exactly.
+The reference is the corpus itself, in blocks: the texts of a few megabytes that a task reads
+together. A block's index has the phrases of ``WINDOW`` words that begin at each of its words, with
+the earliest place of each. A document is parsed greedily against its own block's index where it is
+read, and against those of all other blocks that hold one of its phrases: their entries meet spread
+by hash, and each phrase goes back with its earliest place in the corpus as source. A factor begins
+at a word whose phrase has an earlier source and runs on as long as the source's next phrase is the
+text's next phrase; it has a source, a place there and a length of ``WINDOW`` words at least. Where a
+factor ends, the phrases that straddle its end are looked up as well, and one with a source begins
+the next factor there and then, so no duplicate window is lost at a boundary. Words inside factors
+are the duplicate spans.
 
 Only phrases that may repeat get to the index. The smallest hash among a window's
 ``GRAM``-word grams is its anchor; equal windows have equal anchors, and a text has one for about
 every seven words. Anchors that occur once in the corpus rule their windows out.
 
-Within one piece of input, phrases are matched before anything is shuffled, so a passage that
-any number of documents share sends one row per piece, and its anchors are dealt out evenly.
+A passage that any number of documents share sends one row per block and phrase, and its anchors
+are dealt out evenly.
 
 Defined results: null text has no words; repeated rows (equal doc_id and text) stand at one place
 and are no duplicates of each other; rows of one doc_id with other texts go in order of their
-text's hash; a null doc_id comes first; an empty table gives an empty result; other columns are
-dropped.
+text's hash; a null doc_id comes first; equal phrases in one text count from the first on; a very
+long text is a block of its own; an empty table gives an empty result; other columns are dropped.
 """
 
 from __future__ import annotations
@@ -30,6 +35,7 @@ from pyspark.sql import functions as F
 
 from . import text as tx
 from .ids import with_key
+from .work import lean
 
 WINDOW = 20
 GRAM = 8
@@ -100,10 +106,17 @@ def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return with_key(docs, "key")[0].select("key", "doc_id", "text")
 
 
+#: Of an anchor's two low bits one says that it needs no partner to be known to repeat, the other
+#: that its partners repeat too.
+_ALONE, _FIRST = np.uint64(1), np.uint64(2)
+_FLAGS = _ALONE | _FIRST
+
+
 def _anchors(docs: DataFrame) -> DataFrame:
-    """(deal, anchor, key) of each anchor of each text. ``deal`` is the anchor, or where the
-    anchor is known to repeat from the piece alone, something spread out."""
+    """(anchor, key) of each anchor of each text. Of those that repeat within the block one is flagged
+    as the first, the others as alone."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for p in tx.pieces(b, limit=PIECE_BYTES):
@@ -112,57 +125,74 @@ def _anchors(docs: DataFrame) -> DataFrame:
                 doc = np.searchsorted(w.first, at, side="right") - 1
                 new = np.ones(len(at), dtype=bool)
                 new[1:] = place[1:] != place[:-1]
-                anchor, doc, at = anchor[new], doc[new], at[new]
-                _, which, often = np.unique(anchor, return_inverse=True, return_counts=True)
-                first = np.zeros(len(anchor), dtype=bool)
-                first[np.unique(which, return_index=True)[1]] = True
-                spread = (often[which] > 1) & ~first
-                key = p.column("key").to_numpy()[doc]
-                deal = np.where(spread, tx.mix(anchor + at.astype(np.uint64) + key.view(np.uint64) * _B) | np.uint64(1), anchor & ~np.uint64(1))
-                # the first one of a repeated anchor goes twice, so that it is found repeated
-                again = first & (often[which] > 1)
-                take = np.concatenate([np.arange(len(anchor)), np.flatnonzero(again)])
-                yield pa.RecordBatch.from_arrays([pa.array(deal[take].view(np.int64)), pa.array(anchor[take].view(np.int64)), pa.array(key[take])], names=["deal", "anchor", "key"])
+                anchor, doc = anchor[new] & ~_FLAGS, doc[new]
+                _, one, which, often = np.unique(anchor, return_index=True, return_inverse=True, return_counts=True)
+                flag = np.where(often[which] > 1, _ALONE, np.uint64(0))
+                flag[one] = np.where(often > 1, _FIRST, np.uint64(0))
+                yield pa.RecordBatch.from_arrays([pa.array((anchor | flag).view(np.int64)), p.column("key").take(pa.array(doc))], names=["anchor", "key"])
 
-    return docs.mapInArrow(run, "deal long, anchor long, key long")
+    return docs.mapInArrow(run, "anchor long, key long")
 
 
 def _repeated(anchors: DataFrame) -> DataFrame:
     """(key, anchor) of the anchors that occur more than once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None  # last row: it may go on
+        held: tuple[np.ndarray, np.ndarray] | None = None  # last row: it may go on
         told = False
-
-        def out(key: np.ndarray, anchor: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(key), pa.array(anchor)], names=["key", "anchor"])
-
         for b in batches:
             if not b.num_rows:
                 continue
-            deal, anchor, key = (b.column(c).to_numpy() for c in ("deal", "anchor", "key"))
+            marked, key = b.column("anchor").to_numpy().view(np.uint64), b.column("key").to_numpy()
             if held is not None:
-                deal, anchor, key = (np.concatenate(x) for x in zip(held, (deal, anchor, key)))
+                marked, key = (np.concatenate(x) for x in zip(held, (marked, key)))
+            anchor = marked & ~_FLAGS
             same = anchor[1:] == anchor[:-1]
-            hit = deal & 1 == 1
+            hit = marked != anchor
             hit[1:] |= same
             hit[:-1] |= same
             last_hit = bool(hit[-1])
             if held is not None and told:
                 hit[0] = False  # given out with the batch before
-            yield out(key[hit], anchor[hit])
-            held, told = (deal[-1:], anchor[-1:], key[-1:]), last_hit
+            yield pa.RecordBatch.from_arrays([pa.array(key[hit]), pa.array(anchor[hit].view(np.int64))], names=["key", "anchor"])
+            held, told = (marked[-1:], key[-1:]), last_hit
+
+    alone = F.col("anchor").bitwiseAND(F.lit(int(_ALONE))) == 1
+    deal = F.when(alone, F.xxhash64("anchor", "key")).otherwise(F.shiftright("anchor", 2))
+    return anchors.repartition(deal).sortWithinPartitions("anchor").mapInArrow(run, "key long, anchor long")
 
-    return anchors.repartition("deal").sortWithinPartitions("deal", "anchor").mapInArrow(run, "key long, anchor long")
+
+#: Consecutive windows whose sources are consecutive: first word, how many, source's key and word.
+RUN = np.dtype([("start", "<u4"), ("n", "<u4"), ("source", "<i8"), ("at", "<u4")])
+
+
+def _runs(key: np.ndarray, start: np.ndarray, source: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+    """Windows with their sources as packed runs, one entry per key."""
+    order = np.lexsort((at, source, start, key))
+    key, start, source, at = key[order], start[order], source[order], at[order]
+    once = np.ones(len(key), dtype=bool)
+    once[1:] = (key[1:] != key[:-1]) | (start[1:] != start[:-1])
+    key, start, source, at = key[once], start[once], source[once], at[once]
+    head = np.ones(len(key), dtype=bool)
+    head[1:] = (key[1:] != key[:-1]) | (start[1:] != start[:-1] + 1) | (source[1:] != source[:-1]) | (at[1:] != at[:-1] + 1)
+    edge = np.flatnonzero(head)
+    out = np.zeros(len(edge), dtype=RUN)
+    out["start"], out["n"], out["source"], out["at"] = start[edge], np.diff(np.append(edge, len(key))), source[edge], at[edge]
+    owner = key[edge]
+    cut = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]])) if len(owner) else np.zeros(0, np.int64)
+    return owner[cut], [out[i:j].tobytes() for i, j in zip(cut, [*cut[1:], len(out)])]
 
 
 def _phrases(docs: DataFrame) -> DataFrame:
-    """(w1, key, at) of each window whose anchor repeats, earliest of its piece only; the others
-    of the piece, already known to start earlier elsewhere, come with a null ``w1``.
+    """(w1, key, at, runs): the index entries of each block, and with a null ``w1`` the parse of its
+    documents against it.
 
-    ``at`` has 32 more bits of the phrase's hash above the number of the window's first word.
+    An entry is a phrase whose anchor repeats at its earliest place; ``at`` has 32 more bits of the
+    phrase's hash above the number of the window's first word. The other windows have their source
+    within the block, and go as packed runs, a row per document.
     """
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = pa.RecordBatch.from_arrays([b.column("key"), pa.array(_unpack(b.column("packed")), pa.binary()), b.column("anchors")], names=["key", "text", "anchors"])
@@ -174,7 +204,7 @@ def _phrases(docs: DataFrame) -> DataFrame:
                 shared = lists.flatten().to_numpy().view(np.uint64)
                 owner = np.repeat(np.arange(p.num_rows), np.diff(lists.offsets.to_numpy()))
                 mark = lambda a, d: tx.mix(a + d.astype(np.uint64) * _B)
-                pick = np.isin(mark(anchor, doc), mark(shared, owner))
+                pick = np.isin(mark(anchor & ~_FLAGS, doc), mark(shared, owner))
                 at, doc, w1, w2 = at[pick], doc[pick], w1[pick], w2[pick]
                 key = p.column("key").to_numpy()[doc]
                 start = at - w.first[doc]
@@ -187,88 +217,135 @@ def _phrases(docs: DataFrame) -> DataFrame:
                 k, s = key[order], start[order]
                 earliest = (k == k[lead]) & (s == s[lead])
                 packed = (s2 >> np.uint64(32) << np.uint64(32)).view(np.int64) | s
-                yield pa.RecordBatch.from_arrays([pa.array(s1.view(np.int64), mask=~earliest), pa.array(k), pa.array(packed)], names=["w1", "key", "at"])
+                owners, runs = _runs(k[~earliest], s[~earliest], k[lead][~earliest], s[lead][~earliest])
+                n, m = int(earliest.sum()), len(runs)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.concat_arrays([pa.array(s1[earliest].view(np.int64)), pa.nulls(m, pa.int64())]), pa.array(np.concatenate([k[earliest], owners])),
+                        pa.concat_arrays([pa.array(packed[earliest]), pa.nulls(m, pa.int64())]), pa.concat_arrays([pa.nulls(n, pa.binary()), pa.array(runs, pa.binary())]),
+                    ],
+                    names=["w1", "key", "at", "runs"],
+                )
+
+    return docs.mapInArrow(run, "w1 long, key long, at long, runs binary")
+
 
-    return docs.mapInArrow(run, "w1 long, key long, at long")
+#: Windows with a source that a task of ``_sources`` holds before it gives them out.
+HELD = 1 << 20
 
 
-def _later(phrases: DataFrame) -> DataFrame:
-    """(key, start) of the windows whose phrase starts earlier somewhere."""
+def _sources(phrases: DataFrame) -> DataFrame:
+    """(key, runs) of the windows whose phrase starts earlier somewhere."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lead = None  # the earliest place of the phrase that the last batch ended in
+        found: list[np.ndarray] = []
+
+        def out() -> pa.RecordBatch:
+            all_ = np.concatenate(found)
+            found.clear()
+            owners, runs = _runs(*all_.T)
+            return pa.RecordBatch.from_arrays([pa.array(owners), pa.array(runs, pa.binary())], names=["key", "runs"])
+
         for b in batches:
             if not b.num_rows:
                 continue
             known = b.column("w1").is_null().to_numpy(zero_copy_only=False)
-            w1 = b.column("w1").fill_null(0).to_numpy()
-            key, at = b.column("key").to_numpy(), b.column("at").to_numpy()
-            w2, start = at >> 32, at & 0xFFFFFFFF
-            here = np.stack([w1, w2, key, start], axis=1)
+            if known.any():
+                yield pa.RecordBatch.from_arrays([b.column(c).filter(pa.array(known)) for c in ("key", "runs")], names=["key", "runs"])
+            if known.all():
+                continue
+            w1, key, at = (b.column(c).filter(pa.array(~known)).to_numpy() for c in ("w1", "key", "at"))
+            here = np.stack([w1, at >> 32, key, at & 0xFFFFFFFF], axis=1)
             if lead is not None:
                 here = np.concatenate([lead[None, :], here])
-                known = np.concatenate([[False], known])
             new = np.ones(len(here), dtype=bool)
             new[1:] = (here[1:, :2] != here[:-1, :2]).any(axis=1)
             first = here[np.maximum.accumulate(np.where(new, np.arange(len(here)), 0))]
-            later = known | (here[:, 2:] != first[:, 2:]).any(axis=1)
-            if lead is not None:
-                later[0] = False
-            lead = first[-1] if not known[-1] else None
-            yield pa.RecordBatch.from_arrays([pa.array(here[later, 2]), pa.array(here[later, 3].astype(np.int32))], names=["key", "start"])
-
-    # nulls need no partner: they are dealt by where they are
-    deal = F.coalesce("w1", F.xxhash64("key", "at"))
+            later = (here[:, 2:] != first[:, 2:]).any(axis=1)
+            lead = first[-1]
+            found.append(np.concatenate([here[later, 2:], first[later, 2:]], axis=1))
+            if sum(map(len, found)) >= HELD:
+                yield out()
+        if found:
+            yield out()
+
+    # parsed runs need no partner: they are dealt by their document
+    deal = F.coalesce("w1", F.xxhash64("key", "runs"))
     sort = [F.asc_nulls_first("w1"), F.shiftright("at", 32), F.col("key"), F.col("at")]
-    return phrases.repartition(deal).sortWithinPartitions(*sort).mapInArrow(run, "key long, start int")
+    return phrases.repartition(deal).sortWithinPartitions(*sort).mapInArrow(run, "key long, runs binary")
 
 
-def factors(starts: np.ndarray) -> list[tuple[int, int]]:
-    """Word ranges of the factors: runs of windows that follow each other, greedily as long as
-    they go on; ranges that overlap or touch count as one."""
-    if not len(starts):
-        return []
-    s = np.unique(starts)
-    cut = np.flatnonzero(np.diff(s) > WINDOW)
-    return list(zip(s[np.concatenate([[0], cut + 1])].tolist(), (s[np.concatenate([cut, [len(s) - 1]])] + WINDOW).tolist()))
+def factors(runs: np.ndarray) -> np.ndarray:
+    """The factors of a document, as runs of windows (``RUN``): each begins at the first word that has
+    a source and isn't in the factor before, or straddles its end, and goes on while the source does."""
+    n = runs["n"].astype(np.int64)
+    step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+    part = np.repeat(runs, n)
+    start, at = part["start"] + step, part["at"] + step
+    _, packed = _runs(np.zeros(len(part), np.int64), start, part["source"], at)
+    return np.frombuffer(b"".join(packed), dtype=RUN)
 
 
-def duplicate_spans(docs: DataFrame, packed: DataFrame) -> DataFrame:
-    """(key, starts): the first words of all windows of a document that start earlier somewhere.
+def spans(found: np.ndarray) -> list[tuple[int, int]]:
+    """Word ranges that factors cover; ranges that overlap or touch are one."""
+    out: list[tuple[int, int]] = []
+    for lo, hi in zip(found["start"].tolist(), (found["start"].astype(np.int64) + found["n"] + WINDOW - 1).tolist()):
+        if out and lo <= out[-1][1]:
+            out[-1] = (out[-1][0], max(hi, out[-1][1]))
+        else:
+            out.append((lo, hi))
+    return out
+
+
+def sources(docs: DataFrame, packed: DataFrame) -> DataFrame:
+    """(key, runs): the windows of a document that start earlier somewhere, with where.
 
     ``docs`` has (key, doc_id, text), ``packed`` the same compressed.
     """
     repeated = _repeated(_anchors(docs)).groupBy("key").agg(F.collect_set("anchor").alias("anchors"))
     candidates = packed.join(repeated, "key").select("key", "doc_id", "packed", "anchors")
-    return _later(_phrases(candidates)).groupBy("key").agg(F.collect_set("start").alias("starts"))
+    return _sources(_phrases(candidates)).groupBy("key").agg(F.collect_list("runs").alias("runs"))
+
+
+FACTORS = "array<struct<start:long,length:long,source:long,source_start:long>>"
 
 
 def remove_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_words, n_removed, the spans (word ranges) and the text left,
-    its words joined by one space."""
+    """One row per document: doc_id, n_words, n_removed, its factors, the spans (word ranges) and the
+    text left, its words joined by one space. A factor's source is a doc_id, or where doc_ids repeat
+    or lack the number of the source in the order of documents."""
     docs = keyed(docs, id_col, text_col)
     # one DataFrame for both joins, with the columns and the filter of either: Spark then shuffles
     # the texts once
     packed = _compress(docs).filter("key IS NOT NULL")
-    spans = duplicate_spans(docs, packed)
+    found = sources(docs, packed)
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+        factor = pa.list_(pa.struct([(n, pa.int64()) for n in ("start", "length", "source", "source_start")]))
         for b in batches:
-            left, counts, removed, found = [], [], [], []
-            for t, starts in zip(_unpack(b.column("packed")), b.column("starts")):
+            left, counts, removed, cut, copied = [], [], [], [], []
+            for t, runs in zip(_unpack(b.column("packed")), b.column("runs")):
                 w = t.split()
-                ranges = factors(np.array(starts.values)) if starts.is_valid else []
+                mine = factors(np.frombuffer(b"".join(runs.as_py() or ()), dtype=RUN))
+                ranges = spans(mine)
                 out, at = [], 0
                 for lo, hi in ranges:
                     out += w[at:lo]
                     at = hi
                 out += w[at:]
-                left.append(b" ".join(out).decode())
+                left.append(b" ".join(out).decode(errors="replace"))
                 counts.append(len(w))
                 removed.append(len(w) - len(out))
-                found.append([{"start": lo, "end": hi} for lo, hi in ranges])
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(found, span), pa.array(left, pa.string())], names=["doc_id", "n_words", "n_removed", "spans", "kept_text"])
-
-    joined = packed.join(spans, "key", "left").select("key", "doc_id", "packed", "starts")
-    return joined.mapInArrow(run, "doc_id long, n_words long, n_removed long, spans array<struct<start:long,end:long>>, kept_text string")
+                cut.append([{"start": lo, "end": hi} for lo, hi in ranges])
+                copied.append([{"start": s, "length": n + WINDOW - 1, "source": k, "source_start": a} for s, n, k, a in mine.tolist()])
+            yield pa.RecordBatch.from_arrays(
+                [b.column("doc_id"), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(copied, factor), pa.array(cut, span), pa.array(left, pa.string())],
+                names=["doc_id", "n_words", "n_removed", "factors", "spans", "kept_text"],
+            )
+
+    joined = packed.join(found, "key", "left").select("key", "doc_id", "packed", "runs")
+    return joined.mapInArrow(run, f"doc_id long, n_words long, n_removed long, factors {FACTORS}, spans array<struct<start:long,end:long>>, kept_text string")

@@ -53,3 +53,31 @@ def test_edge_cases(spark):
     got = sorted(((r.doc_id, r.n_words, r.n_removed) for r in substrings.remove_duplicates(df).collect()), key=str)
     assert got == sorted([(1, 30, 30), (1, 30, 30), (2, 31, 30), (None, 31, 0), (2, 2, 0)], key=str)
     assert substrings.remove_duplicates(df.limit(0)).count() == 0
+
+
+def test_factors_name_their_sources(spark):
+    docs = dict(corpus(3))
+    rows = substrings.remove_duplicates(spark.createDataFrame(list(docs.items()), "doc_id long, text string").repartition(4)).collect()
+    words = {i: (t or "").split() for i, t in docs.items()}
+    n = 0
+    for r in rows:
+        covered = set()
+        for f in r.factors:
+            assert f.length >= substrings.WINDOW and (f.source, f.source_start) < (r.doc_id, f.start)
+            assert words[f.source][f.source_start : f.source_start + f.length] == words[r.doc_id][f.start : f.start + f.length]
+            covered.update(range(f.start, f.start + f.length))
+            n += f.length > substrings.WINDOW
+        assert len(covered) == r.n_removed == sum(s.end - s.start for s in r.spans)
+        starts = [f.start for f in r.factors]
+        assert starts == sorted(set(starts))
+    assert n > 50
+
+
+def test_very_long_and_periodic_texts(spark, monkeypatch):
+    monkeypatch.setattr(substrings, "HELD", 7)
+    rng = random.Random(6)
+    long_ = [f"v{rng.randint(0, 5000)}" for _ in range(300_000)]
+    docs = [(1, " ".join(long_)), (2, " ".join(long_[1000:1050] + ["x"] + long_[250_000:250_030])), (3, "ab " * 100_000), (4, "c " + "ab " * 30)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_text) for r in substrings.remove_duplicates(df).collect()}
+    assert got == brute(docs)
