@@ -230,30 +230,21 @@ def _phrases(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "w1 long, key long, at long, runs binary")
 
 
-#: Windows with a source that a task of ``_sources`` holds before it gives them out.
-HELD = 1 << 20
-
-
 def _sources(phrases: DataFrame) -> DataFrame:
-    """(key, runs) of the windows whose phrase starts earlier somewhere."""
+    """(key, place, source, runs): the windows whose phrase starts earlier somewhere, one a row, with
+    their own first word above the source's in ``place``; and the runs as they came."""
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lead = None  # the earliest place of the phrase that the last batch ended in
-        found: list[np.ndarray] = []
-
-        def out() -> pa.RecordBatch:
-            all_ = np.concatenate(found)
-            found.clear()
-            owners, runs = _runs(*all_.T)
-            return pa.RecordBatch.from_arrays([pa.array(owners), pa.array(runs, pa.binary())], names=["key", "runs"])
-
+        names = ["key", "place", "source", "runs"]
         for b in batches:
             if not b.num_rows:
                 continue
             known = b.column("w1").is_null().to_numpy(zero_copy_only=False)
             if known.any():
-                yield pa.RecordBatch.from_arrays([b.column(c).filter(pa.array(known)) for c in ("key", "runs")], names=["key", "runs"])
+                key, runs = (b.column(c).filter(pa.array(known)) for c in ("key", "runs"))
+                yield pa.RecordBatch.from_arrays([key, pa.nulls(len(key), pa.int64()), pa.nulls(len(key), pa.int64()), runs], names=names)
             if known.all():
                 continue
             w1, key, at = (b.column(c).filter(pa.array(~known)).to_numpy() for c in ("w1", "key", "at"))
@@ -265,16 +256,24 @@ def _sources(phrases: DataFrame) -> DataFrame:
             first = here[np.maximum.accumulate(np.where(new, np.arange(len(here)), 0))]
             later = (here[:, 2:] != first[:, 2:]).any(axis=1)
             lead = first[-1]
-            found.append(np.concatenate([here[later, 2:], first[later, 2:]], axis=1))
-            if sum(map(len, found)) >= HELD:
-                yield out()
-        if found:
-            yield out()
+            key, start, source, at = here[later, 2], here[later, 3], first[later, 2], first[later, 3]
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(start << 32 | at), pa.array(source), pa.nulls(len(key), pa.binary())], names=names)
 
     # parsed runs need no partner: they are dealt by their document
     deal = F.coalesce("w1", F.xxhash64("key", "runs"))
     sort = [F.asc_nulls_first("w1"), F.shiftright("at", 32), F.col("key"), F.col("at")]
-    return phrases.repartition(deal).sortWithinPartitions(*sort).mapInArrow(run, "key long, runs binary")
+    return phrases.repartition(deal).sortWithinPartitions(*sort).mapInArrow(run, "key long, place long, source long, runs binary")
+
+
+def run_table(row_runs: list[bytes] | None, places: pa.Array | None) -> np.ndarray:
+    """What ``sources`` has for a document, as runs (``RUN``)."""
+    own = np.frombuffer(b"".join(row_runs or ()), dtype=RUN)
+    if places is None or not len(places):
+        return own
+    place, source = (places.field(c).to_numpy() for c in ("place", "source"))
+    out = np.zeros(len(place), dtype=RUN)
+    out["start"], out["n"], out["source"], out["at"] = place >> 32, 1, source, place & 0xFFFFFFFF
+    return np.concatenate([own, out])
 
 
 def factors(runs: np.ndarray) -> np.ndarray:
@@ -300,13 +299,13 @@ def spans(found: np.ndarray) -> list[tuple[int, int]]:
 
 
 def sources(docs: DataFrame, packed: DataFrame) -> DataFrame:
-    """(key, runs): the windows of a document that start earlier somewhere, with where.
+    """(key, runs, places): the windows of a document that start earlier somewhere, with where.
 
     ``docs`` has (key, doc_id, text), ``packed`` the same compressed.
     """
     repeated = _repeated(_anchors(docs)).groupBy("key").agg(F.collect_set("anchor").alias("anchors"))
     candidates = packed.join(repeated, "key").select("key", "doc_id", "packed", "anchors")
-    return _sources(_phrases(candidates)).groupBy("key").agg(F.collect_list("runs").alias("runs"))
+    return _sources(_phrases(candidates)).groupBy("key").agg(F.collect_list("runs").alias("runs"), F.collect_list(F.when(F.col("place").isNotNull(), F.struct("place", "source"))).alias("places"))
 
 
 FACTORS = "array<struct<start:long,length:long,source:long,source_start:long>>"
@@ -328,9 +327,9 @@ def remove_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         factor = pa.list_(pa.struct([(n, pa.int64()) for n in ("start", "length", "source", "source_start")]))
         for b in batches:
             left, counts, removed, cut, copied = [], [], [], [], []
-            for t, runs in zip(_unpack(b.column("packed")), b.column("runs")):
+            for t, runs, places in zip(_unpack(b.column("packed")), b.column("runs"), b.column("places")):
                 w = t.split()
-                mine = factors(np.frombuffer(b"".join(runs.as_py() or ()), dtype=RUN))
+                mine = factors(run_table(runs.as_py(), places.values))
                 ranges = spans(mine)
                 out, at = [], 0
                 for lo, hi in ranges:
@@ -347,5 +346,5 @@ def remove_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                 names=["doc_id", "n_words", "n_removed", "factors", "spans", "kept_text"],
             )
 
-    joined = packed.join(found, "key", "left").select("key", "doc_id", "packed", "runs")
+    joined = packed.join(found, "key", "left").select("key", "doc_id", "packed", "runs", "places")
     return joined.mapInArrow(run, f"doc_id long, n_words long, n_removed long, factors {FACTORS}, spans array<struct<start:long,end:long>>, kept_text string")

@@ -73,8 +73,7 @@ def test_factors_name_their_sources(spark):
     assert n > 50
 
 
-def test_very_long_and_periodic_texts(spark, monkeypatch):
-    monkeypatch.setattr(substrings, "HELD", 7)
+def test_very_long_and_periodic_texts(spark):
     rng = random.Random(6)
     long_ = [f"v{rng.randint(0, 5000)}" for _ in range(300_000)]
     docs = [(1, " ".join(long_)), (2, " ".join(long_[1000:1050] + ["x"] + long_[250_000:250_030])), (3, "ab " * 100_000), (4, "c " + "ab " * 30)]
