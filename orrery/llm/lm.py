@@ -1,22 +1,30 @@
 """Language-model scores by deleted interpolation.
 
-A text is its words and one end token. The model mixes maximum-likelihood bigram estimates with
-the smoothed unigram one,
+A text is its words and one end token. The model mixes maximum-likelihood trigram and bigram
+estimates with the smoothed unigram one,
 
-    P(w | h) = m[b] * c(h, w) / c(h) + (1 - m[b]) * (c(w) + A) / (N + A * (V + 1)),
+    P3(w | g h) = m3[b(c(g, h))] * c(g, h, w) / c(g, h) + (1 - m3) * P2(w | h)
+    P2(w | h)   = m2[b(c(h))] * c(h, w) / c(h) + (1 - m2) * P1(w)
+    P1(w)       = (c(w) + A) / (N + A * (V + 1)),
 
-where b buckets the context's count c(h) by powers of two, and the weights m[b] are learned by
-expectation-maximisation on the documents left out of the counts.
+where b buckets a context's count by powers of two (a context never seen has weight 0), and the
+weights m3[b] and m2[b] are learned by expectation-maximisation on the documents left out of the
+counts.
 
-Texts are packed into blocks of a few million tokens. A block asks for the counts of its distinct
-tokens and bigrams; questions meet in slices of the hash space that the number of tokens sets, so
-that each stays of one size, and every block asks once for a key however often it has it. Answers
-go back to the block, which scores its texts. All counts are over the whole corpus and nothing of
-it reaches the driver but sums.
+Texts are packed into blocks of a few megabytes. A block asks for the counts of its distinct tokens,
+bigrams and trigrams; questions meet in slices of the hash space that the number of tokens sets, so
+that each stays of one size, and every block asks once for a key however often it has it. A question
+is the sorted keys of one block in one slice, their differences compressed. There are as many rows
+as blocks times slices, but never more than keys, so that the shuffle stays in proportion to the
+corpus. Answers go back to the block, which scores its texts. All counts are over the whole corpus
+and nothing of it reaches the driver but sums.
+
+Tokens and bigrams are told apart by 64 bits of hash, trigrams by 56.
 
 Defined results: null text is the end token alone; a null doc_id is held out; repeated rows are
-texts of their own; with no training text every count is zero; an empty table gives an empty
-result; other columns are dropped.
+texts of their own; equal texts have equal scores; a very long text is a block of its own; with no
+training text every count is zero; with no held-out text the weights stay at one half; an empty
+table gives an empty result; other columns are dropped.
 """
 
 from __future__ import annotations
@@ -31,13 +39,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import text as tx
-from .work import keep
+from .work import keep, lean
 
 A = 0.1
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 8 << 20
 SLICE_TOKENS = 2_000_000
 BUCKETS = 40
+KINDS = 3  # tokens, bigrams, trigrams
 _END, _BEGIN, _BY = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F), np.uint64(0xA0761D6478BD642F)
+_COARSE = ~np.uint64(0xFF)
 
 BLOCK = "block long, held boolean, ids array<long>, sizes array<long>, packed binary, tokens long"
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
@@ -50,6 +60,7 @@ def held_out(doc_id: Column) -> Column:
 def blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Texts packed into blocks, training and held-out ones apart."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
@@ -82,8 +93,8 @@ def blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     return cols.withColumn("held", held_out(F.col("doc_id"))).mapInArrow(run, BLOCK)
 
 
-def block_tokens(packed: bytes, sizes: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Tokens, bigrams, and where each text begins among them (one more entry than texts)."""
+def block_tokens(packed: bytes, sizes: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Tokens, bigrams, trigrams, and where each text begins among them (one more entry than texts)."""
     import zstandard
 
     data = zstandard.ZstdDecompressor().decompress(packed, max_output_size=sum(sizes)) if sum(sizes) else b""
@@ -100,10 +111,16 @@ def block_tokens(packed: bytes, sizes: list[int]) -> tuple[np.ndarray, np.ndarra
     h, n = np.concatenate(hashes), np.concatenate(counts)
     token = np.insert(h, np.cumsum(n), _END)
     first = np.concatenate([[0], np.cumsum(n + 1)])
-    context = np.empty_like(token)
-    context[1:] = token[:-1]
-    context[first[:-1]] = _BEGIN
-    return token, tx.mix(context * _BY + token), first
+    bigram = tx.mix(_before(token, first, _BEGIN) * _BY + token)
+    return token, bigram, tx.mix(_before(bigram, first, _BEGIN) * _BY + token) & _COARSE, first
+
+
+def _before(x: np.ndarray, first: np.ndarray, begin) -> np.ndarray:  # noqa: ANN001
+    """The entry before each one, ``begin`` where a text begins."""
+    out = np.empty_like(x)
+    out[1:] = x[:-1]
+    out[first[:-1]] = begin
+    return out
 
 
 def _slice(keys: np.ndarray, slices: int) -> np.ndarray:
@@ -112,96 +129,124 @@ def _slice(keys: np.ndarray, slices: int) -> np.ndarray:
 
 
 def questions(packed_blocks: DataFrame, slices: int) -> DataFrame:
-    """(kind, slice, block, keys, counts): the distinct keys of each block in a slice, ascending,
-    with how often training texts have them there. Kind 1 is tokens, 2 bigrams."""
+    """(slice, block, keys, counts): the distinct keys of each block in a slice, ascending, with how
+    often training texts have them there. Slices of tokens come first, then those of bigrams and of
+    trigrams, ``slices`` each."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for block, held, sizes, packed in zip(*(b.column(c).to_pylist() for c in ("block", "held", "sizes", "packed"))):
-                token, bigram, _ = block_tokens(packed, sizes)
-                for kind, keys in ((1, token), (2, bigram)):
-                    keys, n = np.unique(keys, return_counts=True)
-                    n = np.zeros_like(n) if held else n
+                for kind, keys in enumerate(block_tokens(packed, sizes)[:KINDS]):
+                    keys.sort()
+                    new = np.ones(len(keys), dtype=bool)
+                    new[1:] = keys[1:] != keys[:-1]
+                    at = np.flatnonzero(new)
+                    n = np.zeros(len(at), np.int64) if held else np.diff(np.append(at, len(keys)))
+                    keys = keys[at]
                     at = _slice(keys, slices)
                     edge = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
                     ends = np.append(edge[1:], len(keys))
-                    m = len(edge)
                     yield pa.RecordBatch.from_arrays(
                         [
-                            pa.array(np.full(m, kind, np.int32)), pa.array(at[edge]), pa.array(np.full(m, block)),
-                            pa.array([keys[i:j].tobytes() for i, j in zip(edge, ends)], pa.binary()),
+                            pa.array(kind * slices + at[edge]), pa.array(np.full(len(edge), block)),
+                            pa.array([_squeezed(keys[i:j]) for i, j in zip(edge, ends)], pa.binary()),
                             pa.array([_small(n[i:j]) for i, j in zip(edge, ends)], pa.binary()),
                         ],
-                        names=["kind", "slice", "block", "keys", "counts"],
+                        names=["slice", "block", "keys", "counts"],
                     )
 
-    return packed_blocks.select("block", "held", "sizes", "packed").mapInArrow(run, "kind int, slice long, block long, keys binary, counts binary")
+    return packed_blocks.select("block", "held", "sizes", "packed").mapInArrow(run, "slice long, block long, keys binary, counts binary")
+
+
+#: Fewer bytes than this aren't compressed.
+_FEW = 256
 
 
 def _small(n: np.ndarray) -> bytes:
+    """Numbers, compressed where there are many: byte by byte, so that those that are alike meet."""
     import zstandard
 
-    return zstandard.ZstdCompressor(level=1).compress(n.astype("<i8").tobytes())
+    if 8 * len(n) < _FEW:
+        return b"\0" + n.astype("<i8").tobytes()
+    return b"\1" + zstandard.ZstdCompressor(level=1, write_content_size=True).compress(n.astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes())
 
 
 def _large(b: bytes) -> np.ndarray:
     import zstandard
 
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(b), dtype="<i8")
+    if b[:1] == b"\0":
+        return np.frombuffer(b, dtype="<i8", offset=1)
+    return np.ascontiguousarray(np.frombuffer(zstandard.ZstdDecompressor().decompress(b[1:]), np.uint8).reshape(8, -1).T).view("<i8").ravel()
+
+
+def _squeezed(keys: np.ndarray) -> bytes:
+    """Ascending keys as their differences."""
+    return _small(np.diff(keys, prepend=np.uint64(0)).view(np.int64))
+
+
+def _keys(b: bytes) -> np.ndarray:
+    return np.cumsum(_large(b).view(np.uint64), dtype=np.uint64)
 
 
 def answers(asked: DataFrame, slices: int) -> DataFrame:
-    """(kind, slice, block, counts, n_distinct): corpus counts of the keys of each question;
-    ``n_distinct``, on one question of each slice, is how many keys training texts have."""
+    """(slice, block, counts, n_distinct): corpus counts of the keys of each question; ``n_distinct``,
+    on one question of each slice, is how many keys training texts have."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         here, rows = None, []
 
         def close() -> pa.RecordBatch:
-            keys = [np.frombuffer(r[1], dtype=np.uint64) for r in rows]
-            distinct, which = np.unique(np.concatenate(keys), return_inverse=True)
-            total = np.zeros(len(distinct), dtype=np.int64)
-            np.add.at(total, which, np.concatenate([_large(r[2]) for r in rows]))
-            out = np.split(total[which], np.cumsum([len(k) for k in keys])[:-1])
+            keys = [_keys(r[1]) for r in rows]
+            sizes = [len(k) for k in keys]
+            keys = np.concatenate(keys)
+            order = np.argsort(keys, kind="stable")  # runs that are in order are merged
+            keys = keys[order]
+            new = np.ones(len(keys), dtype=bool)
+            new[1:] = keys[1:] != keys[:-1]
+            total = np.add.reduceat(np.concatenate([_large(r[2]) for r in rows])[order], np.flatnonzero(new))
+            each = np.empty(len(keys), dtype=np.int64)
+            each[order] = total[np.cumsum(new) - 1]
+            out = np.split(each, np.cumsum(sizes)[:-1])
             n = [int((total > 0).sum())] + [0] * (len(rows) - 1)
-            kind, part = here
             return pa.RecordBatch.from_arrays(
-                [pa.array([kind] * len(rows), pa.int32()), pa.array([part] * len(rows), pa.int64()), pa.array([r[0] for r in rows], pa.int64()), pa.array([_small(o) for o in out], pa.binary()), pa.array(n, pa.int64())],
-                names=["kind", "slice", "block", "counts", "n_distinct"],
+                [pa.array([here] * len(rows), pa.int64()), pa.array([r[0] for r in rows], pa.int64()), pa.array([_small(o) for o in out], pa.binary()), pa.array(n, pa.int64())],
+                names=["slice", "block", "counts", "n_distinct"],
             )
 
         for b in batches:
-            for kind, part, block, keys, counts in zip(*(b.column(c).to_pylist() for c in ("kind", "slice", "block", "keys", "counts"))):
-                if here != (kind, part):
+            for part, block, keys, counts in zip(*(b.column(c).to_pylist() for c in ("slice", "block", "keys", "counts"))):
+                if here != part:
                     if rows:
                         yield close()
-                    here, rows = (kind, part), []
+                    here, rows = part, []
                 rows.append((block, keys, counts))
         if rows:
             yield close()
 
-    dealt = asked.repartition(2 * slices, "kind", "slice").sortWithinPartitions("kind", "slice", "block")
-    return dealt.mapInArrow(run, "kind int, slice long, block long, counts binary, n_distinct long")
+    dealt = asked.repartition(KINDS * slices, "slice").sortWithinPartitions("slice", "block")
+    return dealt.mapInArrow(run, "slice long, block long, counts binary, n_distinct long")
 
 
-def _counts_of(told: list[dict]) -> dict[int, np.ndarray]:
+def _counts_of(told: list[dict], slices: int) -> list[np.ndarray]:
     """Counts of the block's distinct keys in ascending order, by kind."""
-    told = sorted(told, key=lambda a: (a["kind"], a["slice"]))
-    return {kind: np.concatenate([_large(a["counts"]) for a in told if a["kind"] == kind]) for kind in (1, 2)}
+    told = sorted(told, key=lambda a: a["slice"])
+    return [np.concatenate([_large(a["counts"]) for a in told if a["slice"] // slices == kind]) for kind in range(KINDS)]
 
 
-def token_counts(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """c(w), c(h) and c(h, w) of each token of a block, and where its texts begin."""
-    token, bigram, first = block_tokens(row["packed"], row["sizes"])
-    told = _counts_of(row["told"])
-    keys, which = np.unique(token, return_inverse=True)
-    word = told[1][which]
-    end = word[first[1:] - 1][0]
-    context = np.empty_like(word)
-    context[1:] = word[:-1]
-    context[first[:-1]] = end  # as many training texts begin as end
-    pair = told[2][np.unique(bigram, return_inverse=True)[1]]
-    return word, context, pair, first
+class Counts:
+    """c(w), c(h), c(h, w), c(g, h) and c(g, h, w) of each token of a block, and where its texts begin."""
+
+    def __init__(self, row: dict, slices: int):
+        *keys, self.first = block_tokens(row["packed"], row["sizes"])
+        told = _counts_of(row["told"], slices)
+        self.word, self.pair, self.triple = (n[np.unique(k, return_inverse=True)[1]] for n, k in zip(told, keys))
+        ends = self.word[self.first[1:] - 1][0]  # as many training texts begin as end
+        self.context, self.context2 = _before(self.word, self.first, ends), _before(self.pair, self.first, ends)
+
+    def __iter__(self) -> Iterator[np.ndarray]:
+        return iter((self.word, self.context, self.pair, self.context2, self.triple))
 
 
 def bucket(context: np.ndarray) -> np.ndarray:
@@ -209,61 +254,87 @@ def bucket(context: np.ndarray) -> np.ndarray:
     return np.where(context > 0, np.minimum(np.frexp(context.astype(np.float64))[1], BUCKETS - 1), 0)
 
 
-def _answered(packed_blocks: DataFrame, told: DataFrame) -> DataFrame:
-    per = told.groupBy("block").agg(F.collect_list(F.struct("kind", "slice", "counts")).alias("told"))
-    return packed_blocks.join(per, "block").select("held", "ids", "sizes", "packed", "told")
+COUNTS = ["word", "context", "pair", "context2", "triple"]
+#: Blocks that a task scores, about.
+TASK_BLOCKS = 4
+
+
+def _answered(packed_blocks: DataFrame, told: DataFrame, n_blocks: int) -> DataFrame:
+    parts = max(1, n_blocks // TASK_BLOCKS)
+    per = told.repartition(parts, "block").groupBy("block").agg(F.collect_list(F.struct("slice", "counts")).alias("told"))
+    return packed_blocks.repartition(parts, "block").join(per, "block").select("held", "ids", "sizes", "packed", "told")
 
 
-def held_out_counts(answered: DataFrame) -> DataFrame:
-    """(b, word, context, pair, n): how often held-out tokens have such counts."""
+def held_out_counts(answered: DataFrame, slices: int) -> DataFrame:
+    """(word, context, pair, context2, triple, n): how often held-out tokens have such counts."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for row in b.to_pylist():
-                word, context, pair, _ = token_counts(row)
-                seen, n = np.unique(np.stack([word, context, pair], axis=1)[context > 0], axis=0, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(bucket(seen[:, 1]).astype(np.int32)), *(pa.array(seen[:, i]) for i in range(3)), pa.array(n)], names=["b", "word", "context", "pair", "n"])
+                all_ = np.stack([*Counts(row, slices)], axis=1)
+                order = np.lexsort(all_.T)
+                new = np.ones(len(order), dtype=bool)
+                new[1:] = (all_[order[1:]] != all_[order[:-1]]).any(axis=1)
+                at = np.flatnonzero(new)
+                seen = all_[order[at]]
+                yield pa.RecordBatch.from_arrays([*(pa.array(seen[:, i]) for i in range(len(COUNTS))), pa.array(np.diff(np.append(at, len(order))))], names=[*COUNTS, "n"])
 
-    return answered.filter("held").mapInArrow(run, "b int, word long, context long, pair long, n long")
+    each = answered.filter("held").mapInArrow(run, ", ".join(f"{c} long" for c in [*COUNTS, "n"]))
+    return each.groupBy(*COUNTS).agg(F.sum("n").alias("n"))
 
 
-def learn(counts: DataFrame, n_tokens: int, n_distinct: int, rounds: int = 40, tolerance: float = 1e-4) -> list[float]:
-    """Weights of the bigram estimate by bucket, by expectation-maximisation.
+def _bucket(context: Column) -> Column:
+    """``bucket`` as a Column."""
+    return F.when(context > 0, F.least(F.length(F.bin(context)), F.lit(BUCKETS - 1))).otherwise(0).cast("int")
 
-    A round is one aggregation to at most ``BUCKETS`` rows. Buckets without held-out tokens keep
-    the starting weight of one half.
+
+def learn(counts: DataFrame, n_tokens: int, n_distinct: int, rounds: int = 60, tolerance: float = 1e-4) -> tuple[list[float], list[float]]:
+    """Weights of the trigram and of the bigram estimate by bucket, by expectation-maximisation.
+
+    ``counts`` are read once a round, which is an aggregation to at most ``BUCKETS`` ** 2 rows.
+    Buckets without held-out tokens keep the starting weight of one half.
     """
-    weight = [0.0] + [0.5] * (BUCKETS - 1)
-    high = F.col("pair") / F.col("context")
+    m3, m2 = ([0.0] + [0.5] * (BUCKETS - 1) for _ in range(2))
     low = (F.col("word") + A) / F.lit(n_tokens + A * (n_distinct + 1))
-    ready = counts.select("b", "n", high.alias("high"), low.alias("low"))
+    share = lambda n, of: F.when(F.col(of) > 0, F.col(n) / F.col(of)).otherwise(0.0)
+    ready = counts.select("n", _bucket(F.col("context2")).alias("b3"), _bucket(F.col("context")).alias("b2"), share("triple", "context2").alias("r3"), share("pair", "context").alias("r2"), low.alias("r1"))
+    weight = lambda m, b: F.element_at(F.array(*[F.lit(w) for w in m]), F.col(b) + 1)
     for _ in range(rounds):
-        m = F.element_at(F.array(*[F.lit(w) for w in weight]), F.col("b") + 1)
-        share = m * F.col("high") / (m * F.col("high") + (1 - m) * F.col("low"))
-        got = ready.groupBy("b").agg(F.sum(share * F.col("n")).alias("s"), F.sum("n").alias("n")).collect()
-        new = list(weight)
-        for r in got:
-            new[r["b"]] = min(max(r["s"] / r["n"], 1e-6), 1 - 1e-6)
-        moved = max((abs(a - b) for a, b in zip(new, weight)), default=0.0)
-        weight = new
+        w3, w2 = weight(m3, "b3"), weight(m2, "b2")
+        two, one = (1 - w3) * w2 * F.col("r2"), (1 - w3) * (1 - w2) * F.col("r1")
+        part = ready.select("b3", "b2", "n", (w3 * F.col("r3")).alias("p3"), two.alias("p2"), one.alias("p1")).withColumn("p", F.col("p3") + F.col("p2") + F.col("p1"))
+        got = part.groupBy("b3", "b2").agg(*[F.sum(F.col("n") * F.col(p) / F.col("p")).alias(p) for p in ("p3", "p2", "p1")]).collect()
+        new3, new2 = list(m3), list(m2)
+        for b in range(1, BUCKETS):
+            in3, in2 = [r for r in got if r["b3"] == b], [r for r in got if r["b2"] == b]
+            if all_ := sum(r["p3"] + r["p2"] + r["p1"] for r in in3):
+                new3[b] = min(max(sum(r["p3"] for r in in3) / all_, 1e-6), 1 - 1e-6)
+            if all_ := sum(r["p2"] + r["p1"] for r in in2):
+                new2[b] = min(max(sum(r["p2"] for r in in2) / all_, 1e-6), 1 - 1e-6)
+        moved = max(abs(x - y) for x, y in zip(new3 + new2, m3 + m2))
+        m3, m2 = new3, new2
         if moved < tolerance:
             break
-    return weight
+    return m3, m2
 
 
-def _score(answered: DataFrame, weight: list[float], n_tokens: int, n_distinct: int) -> DataFrame:
+def _score(answered: DataFrame, slices: int, weights: tuple[list[float], list[float]], n_tokens: int, n_distinct: int) -> DataFrame:
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w = np.array(weight)
+        m3, m2 = (np.array(m) for m in weights)
         for b in batches:
             for row in b.to_pylist():
-                word, context, pair, first = token_counts(row)
-                low = (word + A) / (n_tokens + A * (n_distinct + 1))
-                m = w[bucket(context)]
-                p = m * pair / np.maximum(context, 1) + (1 - m) * low
-                at = first[:-1]
+                c = Counts(row, slices)
+                low = (c.word + A) / (n_tokens + A * (n_distinct + 1))
+                w = m2[bucket(c.context)]
+                p = w * c.pair / np.maximum(c.context, 1) + (1 - w) * low
+                w = m3[bucket(c.context2)]
+                p = w * c.triple / np.maximum(c.context2, 1) + (1 - w) * p
+                at = c.first[:-1]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(row["ids"], pa.int64()), pa.array([row["held"]] * len(at)), pa.array(np.diff(first)), pa.array(np.add.reduceat((word > 0).astype(np.int64), at)),
+                        pa.array(row["ids"], pa.int64()), pa.array([row["held"]] * len(at)), pa.array(np.diff(c.first)), pa.array(np.add.reduceat((c.word > 0).astype(np.int64), at)),
                         pa.array(np.add.reduceat(np.log10(low), at)), pa.array(np.add.reduceat(np.log10(p), at)),
                     ],
                     names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"],
@@ -275,10 +346,16 @@ def _score(answered: DataFrame, weight: list[float], n_tokens: int, n_distinct:
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Each document's log10 probability under the model and under the unigram base."""
     packed = keep(blocks(docs, id_col, text_col), "lm-blocks")
-    train, every = packed.agg(F.sum(F.when(~F.col("held"), F.col("tokens"))), F.sum("tokens")).first()
+    train, every, n, n_held = packed.agg(F.sum(F.when(~F.col("held"), F.col("tokens"))), F.sum("tokens"), F.count("*"), F.count(F.when(F.col("held"), 1))).first()
     slices = max(4, math.ceil((every or 0) / SLICE_TOKENS))
     told = keep(answers(questions(packed, slices), slices), "lm-answers")
-    distinct = told.filter("kind = 1").agg(F.sum("n_distinct")).first()[0] or 0
-    held = keep(held_out_counts(_answered(packed.filter("held"), told)), "lm-held")
-    weight = learn(held, train or 0, distinct)
-    return _score(_answered(packed, told), weight, train or 0, distinct).withColumn("train_tokens", F.lit(train or 0).cast("long"))
+    distinct = told.filter(F.col("slice") < slices).agg(F.sum("n_distinct")).first()[0] or 0
+    held_blocks = packed.filter("held")
+    held_told = told.join(F.broadcast(held_blocks.select("block")), "block") if n_held <= MOST else told.join(held_blocks.select("block"), "block")
+    held = keep(held_out_counts(_answered(held_blocks, held_told, n_held), slices), "lm-held")
+    weights = learn(held, train or 0, distinct)
+    return _score(_answered(packed, told, n), slices, weights, train or 0, distinct).withColumn("train_tokens", F.lit(train or 0).cast("long"))
+
+
+#: Block numbers that are broadcast at most.
+MOST = 1 << 20
