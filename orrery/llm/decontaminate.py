@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as tx
-from .work import lean
+from .work import lean, trim
 
 SIMILARITY = 0.8
 RECALL = 0.99
@@ -383,6 +383,7 @@ def _holds(block):  # noqa: ANN001, ANN202
             for f in block.value.find(words_of(p.column("text"))):
                 out[at + f[0]] = True
             at += p.num_rows
+        trim()
         return pa.array(out)
 
     return holds

@@ -42,7 +42,7 @@ from . import text as tx
 from .work import keep, lean
 
 A = 0.1
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 6 << 20
 SLICE_TOKENS = 2_000_000
 BUCKETS = 40
 KINDS = 3  # tokens, bigrams, trigrams

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from . import text as tx
 from .ids import fresh
-from .work import lean
+from .work import lean, trim
 
 KINDS = ["email", "ip", "card", "phone", "term"]
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -276,6 +276,7 @@ def with_places(docs: DataFrame, terms: DataFrame, into: str, text_col: str = "t
                 doc, _, start, end = _term_places(p.column("text"), shared)
                 offsets = np.searchsorted(doc, np.arange(p.num_rows + 1)).astype(np.int32)
                 out.append(pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([pa.array(start), pa.array(end)], names=["start", "end"])))
+            trim()
             return pa.concat_arrays(out) if out else pa.array([], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
 
         return docs.withColumn(into, places(F.col(text_col).cast("string")))

@@ -24,6 +24,7 @@ from pyspark.sql import types as T
 
 from . import text as tx
 from .ids import fresh
+from .work import trim
 
 GOOD, BAD, ABSTAIN = 1, -1, 0
 _SYMBOL = np.zeros(256, dtype=bool)
@@ -79,6 +80,7 @@ def _features(text: pa.Array) -> pa.Array:
     batch = pa.RecordBatch.from_arrays([text], names=["text"])
     parts = [features_of(p.column("text")) for p in tx.pieces(batch)]
     names = [f.name for f in FEATURES]
+    trim()
     return pa.StructArray.from_arrays([pa.array(np.concatenate([p[n] for p in parts]) if parts else [], pa.int64()) for n in names], names=names)
 
 

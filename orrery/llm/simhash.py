@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from . import text as tx
 from .components import components
 from .ids import fresh, with_key
-from .work import keep
+from .work import keep, lean
 
 MAX_BITS = 4
 SHINGLE = 4
@@ -64,6 +64,7 @@ def fingerprint(text: bytes) -> int:
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fp), the fingerprint as a signed long."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fp = np.array([fingerprint(t.as_py() or b"") for t in b.column("text").cast(pa.binary())], dtype=np.uint64)
@@ -151,6 +152,7 @@ def keys_of(fp: np.ndarray, code: Golay) -> tuple[np.ndarray, np.ndarray]:
 def key_rows(distinct: DataFrame) -> DataFrame:
     """(key, fp) for every key of every distinct fingerprint."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = Golay()
         for b in batches:
@@ -194,6 +196,7 @@ def bucket_links(rows: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """Links (a, b) between fingerprints that share a key; (a, a) for those of a bucket that is
     too large. Buckets are streamed in order of key, never held whole beyond ``bucket`` rows."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, fp, large = np.zeros(0, np.int64), np.zeros(0, np.int64), None
 
@@ -235,6 +238,7 @@ def midpoint_links(hot: DataFrame) -> DataFrame:
     one of each word keeps what is connected.
     """
 
+    @lean
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one = np.uint64(1) << np.arange(64, dtype=np.uint64)
         i, j = np.triu_indices(64, 1)
@@ -246,6 +250,7 @@ def midpoint_links(hot: DataFrame) -> DataFrame:
                 mid = (part.view(np.uint64)[:, None] ^ ball[None, :]).ravel().view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(mid), pa.array(np.repeat(part, len(ball)))], names=["mid", "a"])
 
+    @lean
     def star(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, first = None, None
         for b in batches:

@@ -24,19 +24,24 @@ def shared_dir(spark: SparkSession) -> str:
     return there.rstrip("/")
 
 
+def trim() -> None:
+    """Return a Python worker's free memory, which Arrow and the C library would keep, to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # another C library than glibc
+
+
 def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Have a task's Python worker, which later tasks use again, return its free memory at the end."""
+    """Have a task's Python worker, which later tasks use again, give back its memory at the end."""
 
     @wraps(run)
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:
             yield from run(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            try:
-                ctypes.CDLL(None).malloc_trim(0)
-            except (AttributeError, OSError):
-                pass  # another C library than glibc
+            trim()
 
     return task
 
