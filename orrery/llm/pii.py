@@ -203,6 +203,13 @@ def document_counts(docs: DataFrame, terms: DataFrame, scanned: DataFrame, id_co
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = None if wanted is None else np.frombuffer(wanted.value, dtype=np.int64)
+        sums = np.zeros(0 if known is None else len(known), dtype=np.int64)
+
+        def rows(term: np.ndarray, context: np.ndarray | None, n: np.ndarray) -> pa.RecordBatch:
+            context = pa.nulls(len(term), pa.int64()) if context is None else pa.array(context)
+            return pa.RecordBatch.from_arrays([pa.array(term), context, pa.array(n)], names=["term", "context", "n"])
+
         for b in batches:
             for p in tx.pieces(b):
                 x = Pieces(p.column("text"))
@@ -215,10 +222,14 @@ def document_counts(docs: DataFrame, terms: DataFrame, scanned: DataFrame, id_co
                 new[1:] = (term[1:] != term[:-1]) | (context[1:] != context[:-1])
                 term, context = term[new], context[new]
                 told = _within(context, copied)
-                once, n = np.unique(term[~told], return_counts=True)
-                n = np.concatenate([n, np.ones(told.sum(), n.dtype)])
-                context = pa.array(np.concatenate([np.zeros(len(once), np.int64), context[told]]), mask=np.arange(len(n)) < len(once))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([once, term[told]])), context, pa.array(n)], names=["term", "context", "n"])
+                if told.any():
+                    yield rows(term[told], context[told], np.ones(told.sum(), np.int64))
+                if known is None:
+                    yield rows(*(lambda t, n: (t, None, n))(*np.unique(term[~told], return_counts=True)))
+                elif len(known):
+                    sums += np.bincount(np.searchsorted(known, term[~told]), minlength=len(known))
+        if sums.any():  # a row per term and task
+            yield rows(known[sums > 0], None, sums[sums > 0])
 
     counts = _texts(docs, id_col, text_col).mapInArrow(run, "term long, context long, n long")
     if wanted is None:
