@@ -1,9 +1,9 @@
 """Chat formatting with a grammar round trip.
 
-``format_turns`` renders every turn with the template below and reparses what it rendered
-with the deterministic parser ``parse_piece``; if the parsed turn is not the source turn,
-the text is escaped and the check repeated. A formatted conversation is ``BEGIN`` and its
-pieces in order, nothing between.
+A formatted conversation is ``BEGIN`` and the pieces of its turns in order, nothing between. One
+deterministic parser, ``parse_at``, reads turns from the joined text. ``format_turns`` renders
+every turn with the template below and reparses it between two other turns; while what the parser
+gives isn't those turns, it escapes what conflicts and parses again.
 
     user       [INST] text [/INST]
     assistant  <space>text</s>
@@ -11,8 +11,9 @@ pieces in order, nothing between.
     other      [ROLE name] text [/ROLE]
 
 Grammar of a text inside a piece: a backslash stands for the character after it, and no
-control string stands unescaped. Escaping doubles backslashes and puts one before each
-control string, so it is reversible whatever the text holds.
+control string stands unescaped, nor one that begins in the text and ends in the template.
+Escaping doubles backslashes and puts one before each control string, so it is reversible
+whatever the text holds. Turns of any length are parsed in one pass; nothing is cut.
 
 Defined results: null text and null role are empty; rows with equal turn numbers are put in
 order of role, then text; repeated rows are turns of their own; a null conv_id is a
@@ -32,61 +33,102 @@ from pyspark.sql import functions as F
 BEGIN = "<s>"
 CONTROL = ["[INST]", "[/INST]", "[SYS]", "[/SYS]", "[ROLE ", "[/ROLE]", "<s>", "</s>"]
 _TOKEN = re.compile(r"\\(.)|(" + "|".join(re.escape(c) for c in CONTROL) + ")", re.S)
+_ROLE = re.compile(r"\[ROLE ((?:\\.|[^\\\]])*)\] ", re.S)
 _ENDS = {"user": ("[INST] ", " [/INST]"), "assistant": (" ", "</s>"), "system": ("[SYS] ", " [/SYS]")}
+_BEFORE, _AFTER = "".join(_ENDS["user"]), "".join(_ENDS["assistant"])  # empty turns
 
 PIECES = "conv_id long, turn long, role string, piece string, loss_from long, loss_to long"
 READ_BACK = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
 
 
-def escape(text: str) -> str:
-    text = text.replace("\\", "\\\\")
-    for c in CONTROL:
-        text = text.replace(c, "\\" + c)
-    return text
+def doubled(text: str) -> str:
+    return text.replace("\\", "\\\\")
+
+
+def shielded(text: str, tail: str) -> str:
+    """The text with a backslash before each control string that begins in it, also one that only
+    the tail completes."""
+    mark = lambda m: "\\" + m[0] if m[2] and m.start() < len(text) else m[0]
+    return _TOKEN.sub(mark, text + tail)[: -len(tail)]
 
 
 def unescape(text: str) -> str:
     return re.sub(r"\\(.)", r"\1", text, flags=re.S)
 
 
-def render(role: str, text: str) -> tuple[str, int, int]:
-    """A piece and the range in it that the text takes."""
-    head, tail = _ENDS.get(role) or (f"[ROLE {escape(role).replace(']', chr(92) + ']')}] ", " [/ROLE]")
-    return head + text + tail, len(head), len(head) + len(text)
+def _ends(role: str) -> tuple[str, str]:
+    """What stands before and after a text of this role."""
+    return _ENDS.get(role) or (f"[ROLE {doubled(role).replace(']', chr(92) + ']')}] ", " [/ROLE]")
 
 
-def parse_piece(piece: str) -> tuple[str, str] | None:
-    """The turn that a piece stands for; None where the piece isn't of the grammar."""
+def parse_at(text: str, at: int = 0) -> tuple[str, str, int] | None:
+    """Role and text of the turn whose piece begins at ``at``, and where the piece ends; None where
+    no whole piece of the grammar begins there."""
     for role, (head, tail) in _ENDS.items():
-        if piece.startswith(head):
+        if text.startswith(head, at):
             break
     else:
-        if not (m := re.match(r"\[ROLE ((?:\\.|[^\\\]])*)\] ", piece, re.S)):
+        if not (m := _ROLE.match(text, at)):
             return None
         role, head, tail = unescape(m[1]), m[0], " [/ROLE]"
-    out, at = [], len(head)
-    stop = len(piece) - len(tail)
-    for m in _TOKEN.finditer(piece, at):
-        if m[2] is not None:
-            if m[2] != tail.strip() or m.end() != len(piece) or m.start() < at:
-                return None
-            break
-        if m.end() > stop:
+    at += len(head)
+    out = []
+    for m in _TOKEN.finditer(text, at):
+        if m[1] is not None:
+            out += [text[at : m.start()], m[1]]
+            at = m.end()
+            continue
+        stop = m.end() - len(tail)
+        if stop < at or not text.startswith(tail, stop):
             return None
-        out += [piece[at : m.start()], m[1]]
-        at = m.end()
-    if at > stop or not piece.endswith(tail):
-        return None
-    return role, "".join(out) + piece[at:stop]
+        return role, "".join(out) + text[at:stop], m.end()
+    return None
+
+
+def parse_piece(piece: str) -> tuple[str, str] | None:
+    """The turn that a piece stands for; None where the piece isn't one of the grammar, whole."""
+    got = parse_at(piece)
+    return got[:2] if got and got[2] == len(piece) else None
+
+
+class Conversation:
+    """Reads turns back from the characters of a formatted conversation, which may come in parts cut
+    anywhere: turns begin and end where the grammar says. It holds one unfinished turn at most."""
+
+    def __init__(self) -> None:
+        self.rest, self.begun = "", False
+
+    def feed(self, part: str) -> Iterator[tuple[str, str]]:
+        text, at = self.rest + part, 0
+        if not self.begun and len(text) >= len(BEGIN):
+            if not text.startswith(BEGIN):
+                raise ValueError("a conversation begins with " + BEGIN)
+            self.begun, at = True, len(BEGIN)
+        while self.begun and (got := parse_at(text, at)):
+            yield got[:2]
+            at = got[2]
+        self.rest = text[at:]
+
+    def close(self) -> None:
+        if self.rest or not self.begun:
+            raise ValueError(f"the conversation ends inside a turn: {self.rest[:80]!r}")
 
 
 def round_trip(role: str, text: str) -> tuple[str, int, int]:
-    """Render; while the parser doesn't give the turn back, escape what conflicts."""
-    tried = text
-    for tried in (text, escape(text)):
-        piece, lo, hi = render(role, tried)
-        if parse_piece(piece) == (role, text):
-            return piece, lo, hi
+    """The piece of a turn and the range in it that the text takes.
+
+    It is reparsed behind and before other turns, joined; as long as the parser doesn't give the
+    three turns back, what conflicts is escaped: backslashes, then control strings.
+    """
+    head, tail = _ends(role)
+    body = text
+    for escaped in (lambda t: t, doubled, lambda t: shielded(t, tail)):
+        body = escaped(body)
+        piece = head + body + tail
+        joined = Conversation()
+        if [*joined.feed(BEGIN + _BEFORE + piece + _AFTER)] == [("user", ""), (role, text), ("assistant", "")]:
+            joined.close()
+            return piece, len(head), len(head) + len(body)
     raise ValueError(f"no form of this turn survives the round trip: {role!r}")
 
 
@@ -109,17 +151,20 @@ def format_turns(conversations: DataFrame) -> DataFrame:
 
 
 def read_back(pieces: DataFrame) -> DataFrame:
-    """Digests of each conversation, from its formatted pieces alone.
+    """Digests of each conversation, from its formatted text alone.
 
-    Pieces come sorted by conversation and turn and go through running hashes, so a
-    conversation of any length needs no more memory than one batch.
+    Pieces come sorted by conversation and turn and are read as one text: where a turn begins and
+    ends is up to the parser, not to the rows. Turns go through running hashes, so a conversation of
+    any length needs no more memory than a batch and a turn.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_id: object = run  # no conversation yet
         state: list = []
+        reader = Conversation()
 
         def close() -> tuple:
+            reader.close()
             n, turns, chars, loss, size = state
             return (open_id, n, turns.hexdigest(), chars, loss.hexdigest(), size)
 
@@ -129,15 +174,17 @@ def read_back(pieces: DataFrame) -> DataFrame:
                 if open_id is run or conv != open_id:
                     if open_id is not run:
                         done.append(close())
-                    open_id, state = conv, [0, hashlib.sha256(), 0, hashlib.sha256(), len(BEGIN)]
-                role, text = parse_piece(piece)
-                state[0] += 1
-                state[1].update(f"{role}\n{text}\n".encode())
+                    open_id, state, reader, part = conv, [0, hashlib.sha256(), 0, hashlib.sha256(), 0], Conversation(), BEGIN + piece
+                else:
+                    part = piece
+                for role, text in reader.feed(part):
+                    state[0] += 1
+                    state[1].update(f"{role}\n{text}\n".encode())
                 if hi > lo:
                     masked = unescape(piece[lo:hi])
                     state[2] += len(masked)
                     state[3].update(masked.encode())
-                state[4] += len(piece)
+                state[4] += len(part)
             yield _digests(done)
         if open_id is not run:
             yield _digests([close()])

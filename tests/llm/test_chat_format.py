@@ -1,5 +1,6 @@
 import hashlib
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from orrery.llm import chat_format as cf
@@ -15,6 +16,33 @@ def test_round_trip(role, text):
     assert cf.unescape(piece[lo:hi]) == text
 
 
+@settings(max_examples=500, deadline=None)
+@given(
+    st.lists(st.tuples(st.sampled_from(["user", "assistant", "system", "to]ol", "", "[ROLE", "x\\"]), st.lists(st.sampled_from([*PARTS, "[ROLE", "[/ROLE"]), max_size=6).map("".join)), max_size=5),
+    st.lists(st.integers(0, 200), max_size=5),
+)
+def test_joined_conversation_cut_anywhere(turns, cuts):
+    joined = cf.BEGIN + "".join(cf.round_trip(*t)[0] for t in turns)
+    edges = sorted({0, len(joined), *(c for c in cuts if c < len(joined))})
+    reader, got = cf.Conversation(), []
+    for a, b in zip(edges, edges[1:]):
+        got += reader.feed(joined[a:b])
+    reader.close()
+    assert got == turns
+
+
+def test_control_string_that_the_template_completes():
+    piece, lo, hi = cf.round_trip("user", "see [ROLE")
+    assert piece == "[INST] see \\[ROLE [/INST]" and cf.unescape(piece[lo:hi]) == "see [ROLE"
+
+
+def test_turn_that_swallows_the_next_is_noticed():
+    reader = cf.Conversation()
+    assert list(reader.feed("<s>[INST] open")) == [] and list(reader.feed(" ok</s>")) == []
+    with pytest.raises(ValueError):
+        reader.close()
+
+
 def test_plain_text_is_not_escaped():
     assert cf.round_trip("user", "hello [there]")[0] == "[INST] hello [there] [/INST]"
     assert cf.round_trip("assistant", "ok")[0] == " ok</s>"
