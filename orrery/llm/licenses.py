@@ -9,7 +9,7 @@ are never compared, and a posting list of the templates' bigrams leaves those th
 Beside these units any run of words is compared, wherever it begins or ends in lines, sentences
 and paragraphs (unit ``run``). A nearest run begins and ends with a bigram of its template and has
 as many of them as the least fitting size, which the posting list finds. Of overlapping runs the
-nearest stands; one that overlaps a unit found is left out where that has the same licence or is
+nearest stands, of equally near ones the longest; one that overlaps a unit found is left out where that has the same licence or is
 as near.
 
 Normalised: lower-case A-Z, everything but letters, digits and non-ASCII characters as white
@@ -38,6 +38,15 @@ FOUND = "doc_id long, license string, unit string, start_line long, end_line lon
 #: Notices and short texts of common licences, and whether they let text be reused
 #: for any purpose.
 TEMPLATES: dict[str, tuple[bool, list[str]]] = {
+    "0BSD": (True, [
+        "Released under the BSD Zero Clause License.",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.",
+    ]),
+    "AGPL-3.0": (False, [
+        "This work is licensed under the GNU Affero General Public License, version 3.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, version 3.",
+    ]),
     "Apache-2.0": (True, [
         "Licensed under the Apache License, Version 2.0.",
         "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
@@ -46,20 +55,47 @@ TEMPLATES: dict[str, tuple[bool, list[str]]] = {
         "Released under the BSD 2-Clause License.",
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
     ]),
+    "BSD-3-Clause": (True, [
+        "Released under the BSD 3-Clause License.",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    ]),
+    "BSL-1.0": (True, ["Distributed under the Boost Software License, Version 1.0.", "Distributed under the Boost Software License, Version 1.0. (See accompanying file LICENSE_1_0.txt or copy at https://www.boost.org/LICENSE_1_0.txt)"]),
     "CC-BY-4.0": (True, ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."]),
     "CC-BY-NC-4.0": (False, ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."]),
+    "CC-BY-NC-ND-4.0": (False, ["Licensed under CC BY-NC-ND 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License."]),
+    "CC-BY-NC-SA-4.0": (False, ["Licensed under CC BY-NC-SA 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License."]),
+    "CC-BY-ND-4.0": (False, ["Licensed under CC BY-ND 4.0.", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License."]),
+    "CC-BY-SA-3.0": (False, ["Licensed under CC BY-SA 3.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 3.0 Unported License."]),
     "CC-BY-SA-4.0": (False, ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."]),
+    "CC0-1.0": (True, ["Released under CC0 1.0 Universal.", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."]),
+    "EPL-2.0": (False, ["This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/"]),
+    "GPL-2.0": (False, [
+        "This work is licensed under the GNU General Public License, version 2.",
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation.",
+    ]),
     "GPL-3.0": (False, [
         "This work is licensed under the GNU General Public License, version 3.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     ]),
     "ISC": (True, ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."]),
+    "LGPL-2.1": (False, [
+        "This work is licensed under the GNU Lesser General Public License, version 2.1.",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    ]),
+    "LGPL-3.0": (False, [
+        "This work is licensed under the GNU Lesser General Public License, version 3.",
+        "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    ]),
     "MIT": (True, [
         "Released under the MIT License.",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
     ]),
     "MPL-2.0": (False, ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."]),
+    "MS-PL": (True, ["This code is released under the Microsoft Public License (Ms-PL)."]),
     "Unlicense": (True, ["This is free and unencumbered software released into the public domain."]),
+    "Zlib": (True, ["This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:"]),
 }
 
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or chr(c).isalnum() or c == 10 else 32 for c in range(256))
@@ -168,7 +204,7 @@ class Matcher:
         for name, _, a, b, dice in found:
             take(name, first[a], first[b], dice)
         out = []
-        for dice, name, a, b in sorted(self.windows([w for x in lines for w in x]), key=lambda r: (-r[0], r[1], r[2], r[3])):
+        for dice, name, a, b in sorted(self.windows([w for x in lines for w in x]), key=lambda r: (-r[0], r[2] - r[3], r[1], r[2])):
             if not any(w in taken and (taken[w][0] >= dice or name in taken[w][1]) for w in range(a, b)):
                 take(name, a, b, dice)
                 out.append((a, (name, "run", bisect_right(first, a) - 1, bisect_right(first, b - 1), dice)))

@@ -64,3 +64,19 @@ def test_notices_inside_lines_and_across_paragraphs():
     bsd = licenses.TEMPLATES["BSD-2-Clause"][1][1].replace(" 1. ", "\n\n1. ").replace(" 2. ", "\n\n2. ")
     assert m.scan(f"Title\n\n{prose}\n\n{bsd}\n\n{prose}".encode()) == [("BSD-2-Clause", "run", 4, 9, 1.0)]
     assert m.scan(f"{inside} {MIT[1]} {prose} Licensed under CC BY-NC 4.0.".encode()) == [("MIT", "run", 0, 1, 1.0)] * 2 + [("CC-BY-NC-4.0", "run", 0, 1, 1.0)]
+
+
+def test_relatives_keep_their_own_names():
+    m = licenses.Matcher(licenses.TEMPLATES, licenses.THRESHOLD)
+    for name, (_, forms) in licenses.TEMPLATES.items():
+        for t in forms:
+            assert m.scan(t.encode()) == [(name, "line", 0, 1, 1.0)], t
+            inside = "Some words before it stand here " * 20 + t + " and some others after it" * 20
+            assert [f[:2] for f in m.scan(inside.encode())] == [(name, "run")], t
+
+
+def test_longest_of_equally_near_runs():
+    m = licenses.Matcher(licenses.TEMPLATES, licenses.THRESHOLD)
+    bsd = licenses.TEMPLATES["BSD-3-Clause"][1][1].replace(" 1. ", "\n\n1. ").replace(" 2. ", "\n\n2. ").replace(" 3. ", "\n\n3. ")
+    prose = "some other words " * 200
+    assert m.scan(f"{prose}\n\n{bsd}\n\n{prose}".encode()) == [("BSD-3-Clause", "run", 2, 9, 1.0)]
