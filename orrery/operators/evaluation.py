@@ -6,6 +6,9 @@ also one that nothing was found for.
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -56,6 +59,17 @@ def mean_recall(per_query: DataFrame, expected: int) -> DataFrame:
     return per_query.agg(F.round(F.avg("recall"), 6).alias("mean_recall"), F.count("*").alias("n_queries"))
 
 
+def sweep(search: Callable[[int], DataFrame], settings: list[int], queries: DataFrame, truth: DataFrame, k: int) -> list[tuple[int, float, float]]:
+    """(setting, mean recall, seconds) of a search at each of a few settings; each runs once, and a
+    row of it reaches the driver."""
+    out = []
+    for s in settings:
+        begun = time.perf_counter()
+        recall = recall_at(queries, truth, search(s), k).agg(F.avg("recall")).first()[0]
+        out.append((s, float(recall or 0.0), time.perf_counter() - begun))
+    return out
+
+
 def reciprocal_rank(queries: DataFrame, relevant: DataFrame, result: DataFrame) -> DataFrame:
     """1 / rank of the first relevant document of each query, 0 without one."""
     first = result.join(relevant.select("query_id", "doc_id").distinct(), ["query_id", "doc_id"], "left_semi").groupBy("query_id").agg(F.min("rank").alias("_r"))

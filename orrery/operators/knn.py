@@ -70,6 +70,26 @@ def _blocks(queries: DataFrame, dimension: int) -> Iterator[tuple[np.ndarray, np
 TILE_ROWS, TILE_QUERIES = 1024, 1024
 
 
+def _slack(metric: str, q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """What the product form of each query's distances may be off by."""
+    slack = np.full((len(q), 1), 1e-9)
+    if metric in ("l2", "l2_squared"):
+        off = 1e-15 * (16 + x.shape[1]) * ((q * q).sum(axis=1)[:, None] + (x * x).sum(axis=1).max())
+        slack = slack + (off if metric == "l2_squared" else np.sqrt(off))
+    return slack
+
+
+def _from_differences(metric: str, q: np.ndarray, x: np.ndarray, about: np.ndarray, which: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Distances of the pairs (query, row): L2 from differences of coordinates, others as they are."""
+    if metric not in ("l2", "l2_squared"):
+        return about[which, at]
+    found = np.empty(len(at))
+    for lo in range(0, len(at), 1 << 14):
+        part = slice(lo, lo + (1 << 14))
+        found[part] = ((x[at[part]] - q[which[part]]) ** 2).sum(axis=1)
+    return found if metric == "l2_squared" else np.sqrt(found)
+
+
 class Nearest:
     """The k nearest rows so far of each query of a block.
 
@@ -83,37 +103,32 @@ class Nearest:
         self.distance = np.full((len(ids), k), np.inf)
         self.row = np.full((len(ids), k), np.iinfo(np.int64).max)
 
-    def see(self, rows: np.ndarray, x: np.ndarray) -> None:
+    def see(self, rows: np.ndarray, x: np.ndarray, asked: np.ndarray | None = None) -> None:
+        """Rows that all queries look at, or those at the positions ``asked``."""
+        asked = np.arange(len(self.ids)) if asked is None else asked
         for i in range(0, len(rows), TILE_ROWS):
-            for j in range(0, len(self.ids), TILE_QUERIES):
-                self._tile(rows[i : i + TILE_ROWS], x[i : i + TILE_ROWS].astype(np.float64), slice(j, j + TILE_QUERIES))
+            for j in range(0, len(asked), TILE_QUERIES):
+                self._tile(rows[i : i + TILE_ROWS], x[i : i + TILE_ROWS].astype(np.float64), asked[j : j + TILE_QUERIES])
 
-    def _tile(self, rows: np.ndarray, x: np.ndarray, part: slice) -> None:
+    def _tile(self, rows: np.ndarray, x: np.ndarray, part: np.ndarray) -> None:
         q = self.vectors[part]
         about = D.kernel(self.metric, q, x)
         if self.exclude_self:
             about[self.ids[part][:, None] == rows[None, :]] = np.inf
-        slack = np.full((len(q), 1), 1e-9)
-        if self.metric in ("l2", "l2_squared"):
-            off = 1e-15 * (16 + x.shape[1]) * ((q * q).sum(axis=1)[:, None] + (x * x).sum(axis=1).max())
-            slack = slack + (off if self.metric == "l2_squared" else np.sqrt(off))
+        slack = _slack(self.metric, q, x)
         limit = self.distance[part, -1:]
         if len(rows) >= self.k:
             limit = np.minimum(limit, np.partition(about, self.k - 1, axis=1)[:, self.k - 1 : self.k])
         which, at = np.nonzero((about <= limit + 2 * slack + 10.0**-PLACES) & (about < np.inf))
-        found = np.empty(len(at))
-        for lo in range(0, len(at), 1 << 14):
-            w, r = which[lo : lo + (1 << 14)], at[lo : lo + (1 << 14)]
-            if self.metric in ("l2", "l2_squared"):
-                square = ((x[r] - q[w]) ** 2).sum(axis=1)
-                found[lo : lo + (1 << 14)] = square if self.metric == "l2_squared" else np.sqrt(square)
-            else:
-                found[lo : lo + (1 << 14)] = about[w, r]
+        self.keep(part, which, rows[at], _from_differences(self.metric, q, x, about, which, at))
+
+    def keep(self, part: np.ndarray, which: np.ndarray, rows: np.ndarray, found: np.ndarray) -> None:
+        """Take in pairs of a query, by its position in ``part``, and a row."""
         # what is kept and what is found, in order of query, distance and id; the first k stand
-        n = len(q)
+        n = len(part)
         who = np.concatenate([np.repeat(np.arange(n), self.k), which])
         dist = np.concatenate([self.distance[part].ravel(), np.round(found, PLACES) + 0.0])
-        id_ = np.concatenate([self.row[part].ravel(), rows[at]])
+        id_ = np.concatenate([self.row[part].ravel(), rows])
         order = np.lexsort((id_, dist, who))
         rank = np.arange(len(order)) - np.searchsorted(who[order], np.arange(n))[who[order]]
         top = order[rank < self.k]
@@ -155,6 +170,35 @@ def knn_join(base: VectorTable, queries: VectorTable, k: int, metric: str = "l2"
     return top_k(out, k)
 
 
+def within(base: VectorTable, queries: VectorTable, radius: float, metric: str = "l2", exclude_self: bool = False) -> DataFrame:
+    """(query_id, doc_id, distance) of every row of ``base`` no further than ``radius`` from a query.
+
+    As in ``knn_join`` blocks of the stated queries are broadcast and the base isn't shuffled; pairs
+    leave a task a tile at a time.
+    """
+    spark = base.df.sparkSession
+    out = spark.createDataFrame([], RESULT)
+    for ids, v in _blocks(queries.rows, base.dimension() or 0):
+        shared = spark.sparkContext.broadcast((ids, v))
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
+            ids, v = shared.value
+            for b in batches:
+                rows, all_x = b.column("id").to_numpy(zero_copy_only=False), _matrix(b.column("vector"))
+                for i in range(0, len(rows), TILE_ROWS):
+                    x, mine = all_x[i : i + TILE_ROWS].astype(np.float64), rows[i : i + TILE_ROWS]
+                    for j in range(0, len(ids), TILE_QUERIES):
+                        q, asked = v[j : j + TILE_QUERIES], ids[j : j + TILE_QUERIES]
+                        about = D.kernel(metric, q, x)
+                        which, at = np.nonzero(about <= radius + 2 * _slack(metric, q, x) + 10.0**-PLACES)
+                        d = np.round(_from_differences(metric, q, x, about, which, at), PLACES) + 0.0
+                        near = (d <= radius) & ~(exclude_self & (asked[which] == mine[at]))
+                        yield pa.RecordBatch.from_arrays([pa.array(asked[which[near]]), pa.array(mine[at[near]]), pa.array(d[near])], names=["query_id", "doc_id", "distance"])
+
+        out = out.union(base.rows.select("id", "vector").mapInArrow(run, RESULT))
+    return out
+
+
 def knn_by_expression(base: VectorTable, queries: VectorTable, k: int, distance: Callable[[Column, Column], Column]) -> DataFrame:
     """As ``knn_join`` for a distance that the caller writes as a Column of two vectors.
 
@@ -208,6 +252,18 @@ def merge(parts: list[DataFrame], k: int) -> DataFrame:
     return top_k(out.groupBy("query_id", "doc_id").agg(F.min("distance").alias("distance")), k)
 
 
+def merged_knn(main: VectorTable, delta: VectorTable, tombstones: DataFrame, queries: VectorTable, k: int, metric: str = "l2") -> DataFrame:
+    """Nearest among a main table and newer copies of some of its rows, new rows among them.
+
+    A row of ``delta`` stands for the row of ``main`` with its id, and none that ``tombstones`` (id)
+    names counts. Main rows that don't stand leave before the search, so k always come back.
+    """
+    dead = tombstones.select(F.col("id").cast("long").alias("_id"))
+    newer = delta.df.select(F.col(delta.id_col).cast("long").alias("_id")).union(dead).distinct()
+    live = lambda t, gone: VectorTable(t.df.join(gone, t.df[t.id_col] == gone["_id"], "left_anti"), t.id_col, t.vector_col)
+    return merge([knn_join(live(main, newer), queries, k, metric), knn_join(live(delta, dead), queries, k, metric)], k)
+
+
 def rectangular(result: DataFrame, queries: VectorTable, k: int) -> DataFrame:
     """Exactly k ranks per query, missing ones with id -1 and infinite distance."""
     grid = queries.rows.select(F.col("id").alias("query_id"), F.explode(F.sequence(F.lit(1), F.lit(k))).alias("rank"))

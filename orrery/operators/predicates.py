@@ -1,6 +1,6 @@
 """Attribute predicates as Columns.
 
-A row passes only where its attribute is there and of the value's kind: null is false, and numbers
+A row passes only where its attribute is there and of the value's kind: null doesn't pass, and numbers
 never equal strings. ``negate`` passes exactly the rows that its predicate doesn't, null ones too.
 """
 

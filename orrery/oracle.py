@@ -210,15 +210,35 @@ probe AS (
 pairs AS (SELECT query_id, b.id AS doc_id, round({_DISTANCE["l2"].format("b.x", "a.x")}, 6) AS distance FROM probe JOIN parts b USING (part) JOIN q a ON a.id = query_id)
 {_ranked("SELECT * FROM pairs")}
 """
-SQL["scalar_quantised_search"] = f"""
+
+
+def _scalar_quantised(levels: int, pool: int) -> str:
+    return f"""
 WITH {_VECTORS}, each AS (SELECT id, i, x[i] AS x FROM v, unnest(range(1, 65)) AS t(i)),
 ends AS (SELECT i, min(x) AS lo, max(x) AS hi FROM each GROUP BY i),
-near AS (SELECT id, list(lo + greatest(0, least(15, floor((x - lo) / (hi - lo) * 15 + 0.5))) * ((hi - lo) / 15) ORDER BY i) AS x FROM each JOIN ends USING (i) GROUP BY id),
-pool AS ({_ranked(_pairs("l2", base="near"), 30)}),
+near AS (SELECT id, list(lo + greatest(0, least({levels}, floor((x - lo) / (hi - lo) * {levels} + 0.5))) * ((hi - lo) / {levels}) ORDER BY i) AS x FROM each JOIN ends USING (i) GROUP BY id),
+pool AS ({_ranked(_pairs("l2", base="near"), pool)}),
 pairs AS (SELECT query_id, doc_id, round({_DISTANCE["l2"].format("b.x", "a.x")}, 6) AS distance FROM pool JOIN q a ON a.id = query_id JOIN v b ON b.id = doc_id)
 {_ranked("SELECT * FROM pairs")}
 """
 
+
+SQL["scalar_quantised_search"] = _scalar_quantised(15, 30)
+SQL["scalar8_quantised_search"] = _scalar_quantised(255, 100)
+SQL["stored_filtered_search"] = SQL["knn_routed"]
+SQL["stored_after_changes"] = SQL["knn_live_set"]
+SQL["knn_routed_probing"] = _knn("l2", "b.label < 5")
+SQL["within_radius"] = f"WITH {_VECTORS} SELECT * FROM ({_pairs('l2', 'a.id <> b.id')}) WHERE distance <= 1.2"
+SQL["knn_main_and_delta"] = f"""
+WITH {_VECTORS}, live AS (SELECT id, CASE WHEN id % 5 = 0 THEN list_reverse(x) ELSE x END AS x FROM v WHERE id % 7 <> 0)
+{_ranked(_pairs("l2", base="live"))}
+"""
+SQL["mean_recall"] = f"SELECT round(avg(recall), 6) AS mean_recall, count(*) AS n_queries FROM ({SQL['recall_at_k']})"
+SQL["pooled_tokens"] = """
+SELECT vec_id AS doc_id, CAST(i AS INTEGER) AS i, round((x[i + 1] + x[i + 17] + x[i + 33] + x[i + 49]) / 4, 6) AS m
+FROM (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings), unnest(range(0, 16)) AS t(i)
+"""
+
 _LOG = """log AS (SELECT user_id AS id, event_id AS seq, CASE event_type WHEN 'error' THEN 'delete' WHEN 'signup' THEN 'insert' ELSE 'update' END AS op, value FROM events),
 last AS (SELECT * FROM log QUALIFY row_number() OVER (PARTITION BY id ORDER BY seq DESC) = 1)"""
 SQL["live_rows"] = f"WITH {_LOG} SELECT id, seq, op, value FROM last WHERE op <> 'delete'"

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from .functions import distance as D
 from .operators import diagnostics as dx
 from .operators import evaluation as ev
-from .operators import footprint, graph, knn, partitioned, quantize, retrieval
+from .operators import footprint, graph, knn, partitioned, quantize, retrieval, stored
 from .operators import predicates as P
 from .plans import router
 from .schema import VectorTable
@@ -118,6 +118,28 @@ def knn_routed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ranked(router.filtered_search(base, _asked(base), K, rare, metric="l2"))
 
 
+@_query
+def knn_routed_probing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A predicate on half of the rows, which the router sends to the lists, all of them probed."""
+    base = _vectors(spark, sf_dir)
+    return _ranked(router.filtered_search(base, _asked(base), K, P.within("label", [0, 1, 2, 3, 4]), _first(base, 16), 16))
+
+
+@_query
+def within_radius(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = _vectors(spark, sf_dir)
+    return knn.within(base, _asked(base), 1.2, exclude_self=True)
+
+
+@_query
+def knn_main_and_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every fifth vector has a newer copy, its values reversed; every seventh is deleted."""
+    base = _vectors(spark, sf_dir)
+    delta = VectorTable(base.df.filter(F.col("vec_id") % 5 == 0).withColumn("embedding", F.reverse("embedding")))
+    dead = base.df.filter(F.col("vec_id") % 7 == 0).select(F.col("vec_id").alias("id"))
+    return _ranked(knn.merged_knn(base, delta, dead, _asked(base), K))
+
+
 @_query
 def knn_live_set(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = _vectors(spark, sf_dir)
@@ -227,6 +249,14 @@ def rank_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.reciprocal_rank_fusion(both, K).select("query_id", "doc_id", "score", "rank")
 
 
+@_query
+def pooled_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mean of the four tokens that each vector is cut into, a row a dimension."""
+    cut = F.explode(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.slice("embedding", i * 16 + 1, F.lit(16)))).alias("token_vector")
+    mean = retrieval.pooled(_vectors(spark, sf_dir).df.select(F.col("vec_id").alias("doc_id"), cut))
+    return mean.select("doc_id", F.posexplode("vector").alias("i", "m")).select("doc_id", "i", F.round("m", 6).alias("m"))
+
+
 @_query
 def late_interaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents are vectors cut into four tokens; candidates come from a search of whole vectors."""
@@ -279,6 +309,12 @@ def mean_reciprocal_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return per.agg(F.count("*").alias("n_queries"), F.round(F.avg("reciprocal_rank"), 6).alias("mrr"))
 
 
+@_query
+def mean_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base, truth, result = _halves(spark, sf_dir)
+    return ev.mean_recall(ev.recall_at(_ids(base), truth, result, K), _ids(base).count())
+
+
 @_query
 def recall_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     base, truth, result = _halves(spark, sf_dir)
@@ -443,6 +479,69 @@ def graph_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.quality(graph.build(_vectors(spark, sf_dir)))
 
 
+# -- stored indexes ---------------------------------------------------------------------------
+
+
+def _stored(spark: SparkSession, sf_dir: str, base: VectorTable, lists: int = 16, parts: int = 0) -> stored.StoredIndex:
+    at = f"{_shared(spark)}/index-{uuid.uuid4().hex}"
+    stored.build(base, at, lists, parts, codes=64)
+    return stored.load(spark, at)
+
+
+@_query
+def stored_ivf_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = _vectors(spark, sf_dir)
+    return _ranked(stored.search(_stored(spark, sf_dir, base), _asked(base), K, 14))
+
+
+@_query
+def stored_product_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = _vectors(spark, sf_dir)
+    return _ranked(stored.search(_stored(spark, sf_dir, base, parts=16), _asked(base), K, 14))
+
+
+@_query
+def stored_filtered_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A predicate that fewer than k rows pass: one list is asked for, and all that hold matches are read."""
+    base = _vectors(spark, sf_dir)
+    rare = P.every(P.equals("label", 4), P.compare("row_id", "lt", 60))
+    return _ranked(stored.search(_stored(spark, sf_dir, base, parts=16), _asked(base), K, 1, rare))
+
+
+@_query
+def stored_after_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Half of the rows indexed, the rest inserted, every seventh compacted away, all lists probed."""
+    base = _vectors(spark, sf_dir)
+    half = lambda i: VectorTable(base.df.filter(F.col("vec_id") % 2 == i))
+    index = stored.insert(_stored(spark, sf_dir, half(0)), half(1))
+    dead = base.df.filter(F.col("vec_id") % 7 == 0).select(F.col("vec_id").alias("id"))
+    left = stored.compact(index, dead, f"{_shared(spark)}/index-{uuid.uuid4().hex}")
+    return _ranked(stored.search(left, _asked(base), K, 16))
+
+
+@_query
+def recall_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recall, and share of rows looked at, as a stored index probes more of its lists."""
+    base = _vectors(spark, sf_dir)
+    index, q = _stored(spark, sf_dir, base), _asked(base)
+    got = ev.sweep(lambda n: stored.search(index, q, K, n), [1, 4, 8, 16], _ids(base), knn.knn_join(base, q, K), K)
+    return spark.createDataFrame([(n, round(r, 6), round(stored.looked_at(index, q, K, n), 6)) for n, r, _ in got], "probes int, recall double, looked_at double")
+
+
+@_query
+def projection_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The leaf of a random-projection tree that each vector falls into."""
+    base = _vectors(spark, sf_dir)
+    return partitioned.assign(base, partitioned.Tree(quantize.sample(base), 4, "random").leaf, "leaf").select(F.col("id").alias("vec_id"), "leaf")
+
+
+@_query
+def means_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The leaf of a two-means tree that each vector falls into."""
+    base = _vectors(spark, sf_dir)
+    return partitioned.assign(base, partitioned.Tree(quantize.sample(base), 4, "means").leaf, "leaf").select(F.col("id").alias("vec_id"), "leaf")
+
+
 # -- mutation ---------------------------------------------------------------------------------
 
 
@@ -480,8 +579,13 @@ def streamed_live_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _shared(spark: SparkSession) -> str:
-    """The folder that all executors share; one of our own where none is set, as in tests."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='spark-orrery-')}").rstrip("/")
+    """The folder that all executors share; one of our own where none is set in a session that runs
+    in one process, as in tests."""
+    if not (at := spark.conf.get("spark.checkpoint.dir", None)):
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        at = f"file://{tempfile.mkdtemp(prefix='spark-orrery-')}"
+    return at.rstrip("/")
 
 
 @_query

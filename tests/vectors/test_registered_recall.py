@@ -5,7 +5,7 @@ TABLES = "/root/testdata/sf0.01"
 EXACT = {"projected_search": "cosine", "binary_search": "cosine", "ivf_inner_product_search": "inner_product"}
 NAMES = [
     "scalar_quantised_search", "scalar8_quantised_search", "projected_search", "binary_search", "product_quantised_search", "rotated_product_search",
-    "ivf_fitted_search", "ivf_product_search", "ivf_inner_product_search", "ivf_rabitq_search", "lsh_search", "forest_search",
+    "stored_ivf_search", "stored_product_search", "ivf_fitted_search", "ivf_product_search", "ivf_inner_product_search", "ivf_rabitq_search", "lsh_search", "forest_search",
     "graph_search_rnd", "graph_search_rrnd", "graph_search_mond", "graph_search_mrng",
 ]
 truth = {}
