@@ -137,3 +137,24 @@ def test_command_line(spark, tmp_path, capsys):
     assert lines[1].split("\t")[0] == "7" and len(lines) == 4
     cos = x @ x[7] / np.linalg.norm(x, axis=1) / np.linalg.norm(x[7])
     assert [int(r.split("\t")[0]) for r in lines[1:]] == np.argsort(-cos)[:3].tolist()
+
+
+def test_sparse_products_against_plain_sums(spark):
+    import random
+
+    pick = random.Random(4)
+    rows = [(pick.randrange(40), f"t{min(pick.randrange(30), pick.randrange(30))}", float(pick.randrange(-2, 5))) for _ in range(600)]
+    rows += [(None, "t1", 9.0), (3, None, 9.0)]
+    base = spark.createDataFrame(rows, "doc_id long, term string, weight double").repartition(5)
+    got = {}
+    for r in retrieval.sparse_mips(base, base.filter("doc_id < 6"), 7).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.distance, r.doc_id))
+    vectors = {}
+    for d, t, w in rows:
+        if d is not None and t is not None:
+            vectors.setdefault(d, {}).setdefault(t, 0.0)
+            vectors[d][t] += w
+    for q in range(6):
+        want = sorted((-sum(w * vectors[d][t] for t, w in vectors[q].items() if t in vectors[d]) + 0.0, d) for d in vectors if vectors[d].keys() & vectors[q].keys())[:7]
+        assert [x[1:] for x in sorted(got[q])] == want
+    assert retrieval.sparse_mips(base.limit(0), base, 3).count() == 0 and retrieval.sparse_mips(base, base.limit(0), 3).count() == 0
