@@ -84,3 +84,23 @@ ranked AS (
 )
 SELECT doc_id, name AS license, unit, start_line, end_line, round(dice, 6) AS dice FROM ranked WHERE rn = 1
 """
+
+SQL["op12_collocations"] = rf"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, regexp_extract_all(unnest(string_split_regex({_LOW.format("coalesce(text, '')")}, '[.,;:!?\n\x0B\f\r]')), '[^ \t]+') AS w FROM documents
+),
+grams AS (SELECT lang, array_to_string(w[i:i + m - 1], ' ') AS phrase, m FROM pieces, unnest(range(1, 5)) AS t(m), unnest(range(1, len(w) - m + 2)) AS u(i)),
+f AS (SELECT lang, phrase, m, count(*) AS n FROM grams GROUP BY ALL),
+total AS (SELECT lang, sum(n) AS n FROM f WHERE m = 1 GROUP BY lang),
+c AS (SELECT lang, phrase, string_split(phrase, ' ') AS w, m, n AS a FROM f WHERE m > 1 AND n >= 30),
+inside AS (SELECT lang, array_to_string(w[i:i + s - 1], ' ') AS phrase, max(a) AS longer FROM c, unnest(range(2, m)) AS t(s), unnest(range(1, m - s + 2)) AS u(i) GROUP BY 1, 2),
+kept AS (SELECT c.* FROM c LEFT JOIN inside USING (lang, phrase) WHERE longer IS NULL OR 100 * longer < 80 * a),
+cut AS (
+  SELECT k.lang, k.phrase, k.a, i, x.n AS l, y.n AS r, CAST(2000000 * k.a::HUGEINT // (x.n::HUGEINT + y.n) AS BIGINT) AS score
+  FROM kept k, unnest(range(1, k.m)) AS t(i)
+  JOIN f x ON x.lang = k.lang AND x.phrase = array_to_string(w[1:i], ' ') JOIN f y ON y.lang = k.lang AND y.phrase = array_to_string(w[i + 1:k.m], ' ')
+),
+lowest AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, i) = 1),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM lowest QUALIFY rank <= 2000)
+SELECT lang, rank, phrase, a, l, r, CAST(total.n AS BIGINT) AS n, score FROM ranked JOIN total USING (lang)
+"""
