@@ -85,6 +85,22 @@ ranked AS (
 SELECT doc_id, name AS license, unit, start_line, end_line, round(dice, 6) AS dice FROM ranked WHERE rn = 1
 """
 
+SQL["op11_jaccard_join"] = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, {_WORDS.replace("coalesce(text, '')", _LOW.format("coalesce(text, '')"))} AS w FROM documents),
+s AS (
+  SELECT doc_id, array_to_string(w[i:i + 2], ' ') AS g FROM d, unnest(range(1, len(w) - 1)) AS t(i)
+  UNION SELECT doc_id, array_to_string(w, ' ') FROM d WHERE len(w) BETWEEN 1 AND 2
+),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+shared AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM s x JOIN s y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM shared JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE 100 * k >= 90 * (x.n + y.n - k)),
+both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach(a, b) AS (SELECT a, b FROM both_ways UNION SELECT r.a, l.b FROM reach r JOIN both_ways l ON r.b = l.a),
+least AS (SELECT a, min(b) AS m FROM reach GROUP BY a)
+SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, least(d.doc_id, coalesce(m, d.doc_id)) AS component_id
+FROM d LEFT JOIN n ON d.doc_id = n.doc_id LEFT JOIN least ON a = d.doc_id
+"""
+
 SQL["op12_collocations"] = rf"""
 WITH pieces AS (
   SELECT coalesce(lang, 'und') AS lang, regexp_extract_all(unnest(string_split_regex({_LOW.format("coalesce(text, '')")}, '[.,;:!?\n\x0B\f\r]')), '[^ \t]+') AS w FROM documents

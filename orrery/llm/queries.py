@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, collocations, decontaminate, licenses, lm, packing, pii, quality, secrets, simhash, substrings, variants
+from . import chat_format, collocations, decontaminate, licenses, lm, packing, parity, pii, quality, secrets, simhash, substrings, variants
 from .work import bound_batches, keep
 
 
@@ -88,6 +88,10 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op11_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parity.join(_documents(spark, sf_dir))
+
+
 def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(_documents(spark, sf_dir))
 
@@ -96,4 +100,4 @@ def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants.variants(variants.words(_documents(spark, sf_dir), slip=31))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_chat_format, op3_license_scan, op4_substring_dedup, op5_secret_scan, op6_quality_rules, op7_pii, op8_packing, op9_lm_score, op10_decontaminate, op12_collocations, op13_spelling_variants)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_chat_format, op3_license_scan, op4_substring_dedup, op5_secret_scan, op6_quality_rules, op7_pii, op8_packing, op9_lm_score, op10_decontaminate, op11_jaccard_join, op12_collocations, op13_spelling_variants)}
