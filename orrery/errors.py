@@ -26,5 +26,10 @@ class NotNormalised(VectorError):
     pass
 
 
+class TooFewVectors(VectorError):
+    def __init__(self, wanted: int, found: int):
+        super().__init__(f"{wanted} lists need as many different vectors, there are {found}")
+
+
 class Unsupported(VectorError):
     pass

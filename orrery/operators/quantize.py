@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..errors import TooFewVectors
 from ..functions import distance as D
 from ..schema import VectorTable
 from . import knn
@@ -26,25 +27,28 @@ def sample(base: VectorTable, n: int = SAMPLE) -> np.ndarray:
     return np.array([r[0] for r in rows], dtype=np.float64)
 
 
-def lloyd(x: np.ndarray, k: int, seed: int = 0, rounds: int = 25, spherical: bool = False) -> np.ndarray:
-    """Centroids by k-means++ and Lloyd's updates; k is at most the number of rows."""
+def lloyd(x: np.ndarray, k: int, seed: int = 0, rounds: int = 25, spherical: bool = False, weight: np.ndarray | None = None) -> np.ndarray:
+    """Centroids of rows in memory, of ``weight`` each, by k-means++ and Lloyd's updates; for a whole
+    table see ``kmeans.fit``."""
+    if k > len(x):
+        raise TooFewVectors(k, len(x))
     rng = np.random.default_rng(seed)
-    k = min(k, len(x))
+    weight = np.ones(len(x)) if weight is None else weight
     unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), D.TINY)
     x = unit(x) if spherical else x
     chosen = [x[rng.integers(len(x))]]
     far = ((x - chosen[0]) ** 2).sum(axis=1)
     for _ in range(k - 1):
-        p = far / far.sum() if far.sum() > 0 else None
+        p = far * weight / (far * weight).sum() if far.sum() > 0 else None
         chosen.append(x[rng.choice(len(x), p=p)])
         far = np.minimum(far, ((x - chosen[-1]) ** 2).sum(axis=1))
     c = np.array(chosen)
     for _ in range(rounds):
         at = D.kernel("l2_squared", x, c).argmin(axis=1)
-        n = np.bincount(at, minlength=k)
+        n = np.bincount(at, weight, minlength=k)
         s = np.zeros_like(c)
-        np.add.at(s, at, x)
-        new = np.where(n[:, None] > 0, s / np.maximum(n, 1)[:, None], c)
+        np.add.at(s, at, x * weight[:, None])
+        new = np.where(n[:, None] > 0, s / np.where(n > 0, n, 1)[:, None], c)
         new = unit(new) if spherical else new
         if np.abs(new - c).max() < 1e-6:
             break
@@ -160,7 +164,7 @@ class ProductQuantiser:
         turn = np.eye(x.shape[1]) if not turns else rotation(x.shape[1], seed)
         for i in range(turns + 1):
             y = x @ turn
-            books = np.stack([_padded(lloyd(p, codes, seed), min(codes, len(x))) for p in np.split(y, parts, axis=1)])
+            books = np.stack([_padded(lloyd(p, min(codes, len(x)), seed), min(codes, len(x))) for p in np.split(y, parts, axis=1)])
             it = cls(turn, books)
             if i < turns:
                 u, _, v = np.linalg.svd(x.T @ it.rotated(it.encode(x)))
