@@ -7,13 +7,17 @@ floor(2,000,000 a / (l + r)) for its own count a, by the lowest-scoring cut. A c
 inside a longer one that has ``SHARE`` hundredths of its count or more is dropped.
 
 Each task numbers the words of a shard, sorts the shard's suffixes by prefix doubling (by one word,
-by two, by four) and reads the phrases off the runs of the array whose common prefix is long enough:
-a phrase and its count a run. Counts are merged by key over all shards. That takes three passes, so
-that only phrases that can be frequent are merged: of words, of pairs of frequent words, and of
-phrases all of whose words and pairs are frequent. Passes tell each other what is frequent by a
-bitmap of hashes of fixed size. It lets some rare phrases by, never holds back a frequent one, and
-the last pass counts the phrases themselves: neither its size nor a hash decides a result. On a
-corpus with far more frequent words than the bitmap has bits, more rows are merged.
+by two, by more) and reads the phrases off the runs of the array whose common prefix is long enough:
+a phrase and its count a run. Counts are merged by key over all shards. That takes four passes, so
+that only phrases that can be frequent are merged: of words, of pairs of frequent words, of triples of
+frequent pairs, and of all phrases whose parts are frequent. Passes tell each other what is frequent
+by bitmaps of hashes of fixed size. These let some rare phrases by, never hold back a frequent one,
+and the last pass counts the phrases themselves: neither size nor hash decides a result. On a corpus
+with far more frequent phrases than a bitmap has bits, more rows are merged.
+
+Keys of pairs and triples have four bits more than the corpus' words need and go packed, a row a
+shard and slice of the keys: sorted, as differences. Slices are so many that one has ``SLICE_KEYS`` keys of words
+at most; rows are shards times slices, and no more than keys.
 
 Defined results: null and empty texts have no words, a null language is ``und``; of invalid UTF-8 in
 words each bad byte reads as U+FFFD; repeated rows count each; words of a shard are told apart by
@@ -42,9 +46,11 @@ LEAST = 30
 SHARE = 80
 TOP = 2000
 #: Words of a shard, but for a longer text.
-SHARD = 1 << 21
+SHARD = 1 << 20
+#: Keys of one slice, at most, and slices at least; both powers of two.
+SLICE_KEYS, SLICES = 1 << 22, 1 << 6
 #: Bits of a bitmap of frequent keys, a power of two.
-FILTER_BITS = 1 << 24
+FILTER_BITS = 1 << 26
 #: Rows that are broadcast at most.
 FEW = 1 << 18
 #: Parts that a language is dealt over before its best phrases are ranked.
@@ -54,9 +60,9 @@ CUTS[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
 
 
 def lcp_intervals(ids: np.ndarray, most: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(m, starts, counts) for m from 1 to ``most`` (1, 2 or 4): where each different run of m ids
-    first stands in the suffix array of ``ids``, as a place in ``ids``, and how often it occurs. Runs
-    hold no 0.
+    """(m, starts, counts) for m from 1 to ``most`` (at most 4): where each different run of m ids first
+    stands in the suffix array of ``ids``, as a place in ``ids``, and how often it occurs. Runs hold
+    no 0.
 
     The array is of suffixes by their first ``most`` ids; doubling the sorted length, a suffix's rank
     is that of its first half's rank and the rank where the second half begins.
@@ -64,15 +70,17 @@ def lcp_intervals(ids: np.ndarray, most: int) -> Iterator[tuple[int, np.ndarray,
     there = np.flatnonzero(ids)
     rank, length = {1: ids.astype(np.int64)}, 1
     after = lambda r, k: np.concatenate([r[k:], np.zeros(min(k, len(r)), r.dtype)])
+    order = np.argsort(rank[1][there], kind="stable") if most == 1 else None
     while length < most:
-        pair = rank[length][there] * (int(rank[length].max(initial=0)) + 1) + after(rank[length], length)[there]
+        longer = min(2 * length, most)
+        pair = rank[length][there] * (int(rank[length].max(initial=0)) + 1) + after(rank[length], longer - length)[there]
         order = np.argsort(pair, kind="stable")
         new = np.ones(len(order), dtype=bool)
         new[1:] = pair[order][1:] != pair[order][:-1]
-        rank[2 * length] = np.zeros(len(ids), np.int64)
-        rank[2 * length][there[order]] = np.cumsum(new)
-        length *= 2
-    array = there[np.argsort(rank[length][there], kind="stable")]
+        rank[longer] = np.zeros(len(ids), np.int64)
+        rank[longer][there[order]] = np.cumsum(new)
+        length = longer
+    array = there[order]
     equal = lambda r: r[array[1:]] == r[array[:-1]]
     common = np.zeros(len(array), dtype=np.int8)  # of each suffix and the one before
     whole = np.ones(len(array), dtype=bool)
@@ -81,10 +89,9 @@ def lcp_intervals(ids: np.ndarray, most: int) -> Iterator[tuple[int, np.ndarray,
         if len(array):
             half = max(n for n in rank if n <= m)
             common[1:] += (common[1:] == m - 1) & equal(rank[half]) & (equal(after(rank[1], m - 1)) if m > half else True)
-        head = np.flatnonzero(whole & (common < m))
-        ends = np.searchsorted(np.flatnonzero(common < m), head, side="right")
-        bounds = np.append(np.flatnonzero(common < m), len(array))
-        yield m, array[head], bounds[ends] - head
+        edge = np.flatnonzero(common < m)
+        size = np.diff(np.append(edge, len(array)))
+        yield m, array[edge[whole[edge]]], size[whole[edge]]
 
 
 class Shard:
@@ -144,15 +151,20 @@ def among(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return (bitmap[bit >> np.uint64(6)] >> (bit & np.uint64(63)) & np.uint64(1)).astype(bool)
 
 
-def bitmap(keys: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
-    """A bit set for the leading bits of each key (long). At most ``bits`` / 64 rows reach the driver."""
-    bit = keys.select(F.shiftrightunsigned("key", 64 - (bits - 1).bit_length()).alias("bit"))
-    part = bit.groupBy(F.shiftright("bit", 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(bit & 63 AS INT))")).alias("mask")).toArrow()
+def bitmap(parts: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
+    """A bitmap from its words (at, mask), at most ``bits`` / 64 rows."""
+    part = parts.groupBy("at").agg(F.bit_or("mask").alias("mask")).toArrow()
     out = np.zeros(bits // 64, dtype=np.uint64)
     out[part.column("at").to_numpy()] = part.column("mask").to_numpy().view(np.uint64)
     return out
 
 
+def masks(keys: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
+    """(at, mask) of a bitmap with a bit set for the leading bits of each key (long)."""
+    bit = keys.select(F.shiftrightunsigned("key", 64 - (bits - 1).bit_length()).alias("bit"))
+    return bit.select(F.shiftright("bit", 6).alias("at"), F.expr("shiftleft(1L, CAST(bit & 63 AS INT))").alias("mask"))
+
+
 def _texts(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
     return docs.select(F.col(text_col).cast("string").alias("text"), F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"))
 
@@ -168,40 +180,114 @@ def _shards(batches: Iterator[pa.RecordBatch], shard: Shard, size: int) -> Itera
         yield shard
 
 
-def frequent_keys(texts: DataFrame, m: int, least: int, words: np.ndarray | None = None, size: int = SHARD) -> DataFrame:
-    """(key) of words (m = 1) or of pairs of frequent words (m = 2) that occur ``least`` times or more."""
-    shared = texts.sparkSession.sparkContext.broadcast(words)
+def frequent_words(texts: DataFrame, least: int, size: int = SHARD) -> tuple[np.ndarray, int]:
+    """A bitmap of the words that occur ``least`` times or more, and how many words there are in all."""
+
+    @lean
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for shard in _shards(batches, Shard(None, None, False), size):
+            hashes, ids = shard.numbered()
+            for _, at, count in lcp_intervals(ids, 1):
+                key = pa.array(np.append(hashes[ids[at]].view(np.int64), 0), mask=np.append(np.zeros(len(at), bool), True))
+                yield pa.RecordBatch.from_arrays([key, pa.array(np.append(count, shard.size))], names=["key", "n"])
+
+    counted = keep(texts.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).filter((F.col("n") >= least) | F.col("key").isNull()), "frequent-words")
+    total = counted.filter("key IS NULL").agg(F.sum("n")).first()[0] or 0
+    return bitmap(masks(counted.filter("key IS NOT NULL"))), total
+
+
+def run_keys(hashes: np.ndarray, ids: np.ndarray, at: np.ndarray, m: int) -> np.ndarray:
+    """Keys of the runs of m words at the places ``at``."""
+    key = hashes[ids[at]]
+    for i in range(1, m):
+        key = pair_keys(key, hashes[ids[at + i]])
+    return key
+
+
+def packed(keys: np.ndarray) -> bytes:
+    """Ascending whole numbers as differences, all lowest bytes first, then all next ones."""
+    return np.diff(keys, prepend=0).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(data, dtype=np.uint8).reshape(4, -1).T.copy().view("<u4").ravel(), dtype=np.int64)
+
+
+def frequent_runs(texts: DataFrame, m: int, least: int, filters: tuple[np.ndarray | None, np.ndarray | None], total: int, size: int = SHARD, bits: int = FILTER_BITS) -> np.ndarray:
+    """A bitmap of the runs of m words that may occur ``least`` times or more, of a corpus of ``total`` words."""
+    slice_bits = max(SLICES.bit_length() - 1, (total // SLICE_KEYS).bit_length())
+    key_bits = max(total.bit_length() + 4, (bits - 1).bit_length())  # less than 32 more than those of slices
+    low, most = key_bits - slice_bits, min(least, 2**31)
+    shared = texts.sparkSession.sparkContext.broadcast(filters)
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for shard in _shards(batches, Shard(shared.value, None, False), size):
+        for shard in _shards(batches, Shard(*shared.value, False), size):
             hashes, ids = shard.numbered()
             for n, at, count in lcp_intervals(ids, m):
                 if n == m:
-                    key = hashes[ids[at]] if m == 1 else pair_keys(hashes[ids[at]], hashes[ids[at + 1]])
-                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(count)], names=["key", "n"])
+                    key = (run_keys(hashes, ids, at, m) >> np.uint64(64 - key_bits)).astype(np.int64)
+                    order = np.argsort(key, kind="stable")
+                    key, count = key[order], np.minimum(count[order], most).astype("<u1" if least < 256 else "<u4")
+                    part = key >> low
+                    edge = np.flatnonzero(np.diff(part, prepend=-1))
+                    ends = np.append(edge[1:], len(part)).tolist()
+                    pack = [(packed(key[i:j] & ((1 << low) - 1)), count[i:j].tobytes()) for i, j in zip(edge.tolist(), ends)]
+                    yield pa.RecordBatch.from_arrays([pa.array(part[edge].astype(np.int32)), pa.array([k for k, _ in pack], pa.binary()), pa.array([c for _, c in pack], pa.binary())], names=["slice", "keys", "counts"])
 
-    counted = texts.mapInArrow(run, "key long, n long").repartition("key")
-    return counted.groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).select("key")
+    @lean
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, keys, counts = None, [], []
+
+        def done() -> pa.RecordBatch:
+            k, c = np.concatenate([np.zeros(0, np.int64), *keys]), np.concatenate([np.zeros(0, np.int64), *counts])
+            order = np.argsort(k, kind="stable")
+            edge = np.flatnonzero(np.diff(k[order], prepend=-1))
+            often = k[order][edge][np.add.reduceat(c[order], edge) >= least] if len(edge) else k
+            bit = ((now << low) + often) >> (key_bits - (bits - 1).bit_length()) if len(often) else often
+            at, mask = bit >> 6, np.uint64(1) << (bit & 63).astype(np.uint64)
+            head = np.flatnonzero(np.diff(at, prepend=-1))
+            mask = np.bitwise_or.reduceat(mask, head) if len(head) else mask
+            return pa.RecordBatch.from_arrays([pa.array(at[head]), pa.array(mask.view(np.int64))], names=["at", "mask"])
+
+        for b in batches:
+            for s, k, c in zip(*(x.to_pylist() for x in b.columns)):
+                if s != now and now is not None:
+                    yield done()
+                    keys, counts = [], []
+                now = s
+                keys.append(unpacked(k))
+                counts.append(np.frombuffer(c, "<u1" if least < 256 else "<u4").astype(np.int64))
+        if now is not None:
+            yield done()
+
+    rows = texts.mapInArrow(run, "slice int, keys binary, counts binary").repartition("slice").sortWithinPartitions("slice")
+    return bitmap(rows.mapInArrow(merge, "at long, mask long"), bits)
 
 
 def phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", most: int = MOST_WORDS, least: int = LEAST, size: int = SHARD) -> DataFrame:
     """(lang, phrase, words, n) of every phrase of up to ``most`` words that occurs ``least`` times or
     more, and of each language a row with no phrase for all its words."""
     texts = _texts(docs, text_col, lang_col)
-    words = bitmap(frequent_keys(texts, 1, least, None, size))
-    pairs = bitmap(frequent_keys(texts, 2, least, words, size))
-    shared = texts.sparkSession.sparkContext.broadcast((words, pairs))
+    words, total = frequent_words(texts, least, size)
+    pairs = frequent_runs(texts, 2, least, (words, None), total, size)
+    triples = frequent_runs(texts, 3, least, (words, pairs), total, size)
+    shared = texts.sparkSession.sparkContext.broadcast((words, pairs, triples))
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for shard in _shards(batches, Shard(*shared.value, True), size):
+        words, pairs, triples = shared.value
+        for shard in _shards(batches, Shard(words, pairs, True), size):
             n = shard.n
             yield _rows(list(n), pa.nulls(len(n), pa.string()), 0, np.fromiter(n.values(), np.int64, len(n)))
             hashes, ids = shard.numbered()
             named = [("", ""), *(shard.names[x] for x in hashes[1:].tolist())]
             lang, name = pa.array([x for x, _ in named]), pa.array([x for _, x in named], pa.string())
             for m, at, count in lcp_intervals(ids, most):
+                able = np.ones(len(at), dtype=bool)
+                for i in range(m - 2):
+                    able &= among(triples, run_keys(hashes, ids, at + i, 3))
+                at, count = at[able], count[able]
                 columns = [name.take(pa.array(ids[at + i])) for i in range(m)]
                 yield _rows(lang.take(pa.array(ids[at])), columns[0] if m == 1 else pc.binary_join_element_wise(*columns, " "), m, count)
 

@@ -62,7 +62,7 @@ def test_query_and_sql_agree(spark, tmp_path):
     assert got(queries.op12_collocations(spark, str(tmp_path))) == want
 
 
-@pytest.mark.parametrize("most", [1, 2, 4])
+@pytest.mark.parametrize("most", [1, 2, 3, 4])
 def test_intervals_of_random_sequences(most):
     rng = np.random.default_rng(most)
     for n in (0, 1, 2, 5, 50, 400):
@@ -81,10 +81,28 @@ def test_shards_are_cut_and_filters_let_all_frequent_by(spark):
     keys = np.random.default_rng(0).integers(0, 2**64, 5000, dtype=np.uint64)
     df = spark.createDataFrame([(int(k),) for k in keys.view(np.int64)], "key long")
     for bits in (64, 1 << 12, 1 << 20):
-        assert collocations.among(collocations.bitmap(df, bits), keys).all()
+        assert collocations.among(collocations.bitmap(collocations.masks(df, bits), bits), keys).all()
     other = np.random.default_rng(1).integers(0, 2**64, 5000, dtype=np.uint64)
-    assert collocations.among(collocations.bitmap(df, 1 << 20), other).mean() < 0.02
-    assert not collocations.among(collocations.bitmap(df.limit(0), 1 << 12), keys).any()
+    assert collocations.among(collocations.bitmap(collocations.masks(df, 1 << 20), 1 << 20), other).mean() < 0.02
+    assert not collocations.among(collocations.bitmap(collocations.masks(df.limit(0), 1 << 12), 1 << 12), keys).any()
+
+
+def test_runs_that_are_frequent_over_shards_are_found(spark):
+    """Runs of two and three words, each too rare in any one shard."""
+    rng = np.random.default_rng(6)
+    docs = [(" ".join(f"w{x}" for x in (rng.zipf(1.3, 50) % 300)), "en") for _ in range(300)]
+    texts = collocations._texts(spark.createDataFrame(docs, "text string, lang string").repartition(3), "text", "lang")
+    words, total = collocations.frequent_words(texts, 30, 400)
+    assert total == 15_000
+    often = {m: Counter(tuple(w[i : i + m]) for t, _ in docs for w in [t.split()] for i in range(len(w) - m + 1)) for m in (1, 2, 3)}
+    found = (words, collocations.frequent_runs(texts, 2, 30, (words, None), total, 400))
+    found = {2: found[1], 3: collocations.frequent_runs(texts, 3, 30, found, total, 400)}
+    for m, bits in found.items():
+        set_ = int(np.bitwise_count(bits).sum())
+        want = sum(n >= 30 for n in often[m].values())
+        assert want * 0.999 <= set_ <= want * 1.01 + 1 and want
+    k = np.sort(rng.integers(0, 2**30, 1000))
+    assert (collocations.unpacked(collocations.packed(k)) == k).all()
 
 
 def test_counts_past_64_bits_scores(spark):
