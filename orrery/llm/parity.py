@@ -15,10 +15,11 @@ band before, to meet smaller ones; documents meet where place and content of a c
 Equal sets are one from the start. The documents that meet at a cell are ordered by key and dealt in
 that order, so that a cell that very many share spreads over tasks; each is first compared with the
 first one there, which joins a group of near copies at the cost of a comparison each. Where several
-components meet at a cell even so, the documents that can't be linked with anything there leave:
-those with more shingles that no other such document has than a link allows. What is left is compared
-block with block, across components, by the distance of whole sketches, and verified on the sets.
-A cell of any size is compared in blocks of ``BLOCK``; no task holds more than two.
+components meet at a cell even so, all its documents are compared across components. In a cell over
+``SMALL`` the documents that can't be linked with anything there leave first: those with more shingles
+that no other such document has than a link allows. The others are compared block with block, and no
+task holds more than two blocks of ``BLOCK``. Every pair is first compared by whole sketches and, where
+these are near enough, verified on the sets.
 
 Defined results: rows without an id are documents with ids of null, never the id of a component that
 has another; repeated rows and repeated ids are documents of their own; a very long text is one long
@@ -44,6 +45,8 @@ SHINGLE = 3
 PERCENT = 90
 #: Documents of a cell that a task compares with as many others.
 BLOCK = 512
+#: Documents of a cell whose pairs are written out.
+SMALL = 32
 #: Rows that are broadcast at most.
 FEW = 1 << 18
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -213,9 +216,33 @@ def alone(docs: DataFrame, key: str, text_col: str, shingle: int = SHINGLE) -> D
     return once.groupBy("key").agg(F.count("*").alias("n"))
 
 
-def open_pairs(rows: DataFrame, sketched: DataFrame, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
+def small_pairs(rows: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Pairs (a, b) of documents of different groups in cells of ``SMALL`` documents at most."""
+
+    @lean
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (cell, key, n, group), *_ in _runs(batches, 1):
+            edge = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
+            last = np.repeat(np.append(edge[1:], len(cell)), np.diff(np.append(edge, len(cell))))
+            left, right, at, shift = [], [], np.arange(len(cell)), 1
+            while len(at := at[at + shift < last[at]]):
+                x, y = at, at + shift
+                some = (group[x] != group[y]) & (100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y]))
+                left.append(key[x[some]])
+                right.append(key[y[some]])
+                shift += 1
+            if left:
+                x, y = np.concatenate(left), np.concatenate(right)
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
+
+    dealt = rows.select("cell", "key", "n", "group").repartition("cell").sortWithinPartitions("cell", "key")
+    return dealt.mapInArrow(run, "a long, b long").distinct()
+
+
+def large_pairs(rows: DataFrame, sketched: DataFrame, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
     """Pairs (a, b) of documents of a cell (cell, key, n, lower, group) that are in different groups and
-    whose whole sketches for the cell's band are near enough. Cells over ``block`` documents are dealt as pairs of blocks."""
+    whose whole sketches for the cell's band are near enough. Cells over ``block`` documents are dealt
+    as pairs of blocks."""
     sizes = rows.groupBy("cell").agg(F.count("*").alias("m")).filter(F.col("m") > block)
     marked = rows.join(_few(keep(sizes, "parity-sizes")), "cell", "left").withColumn("blocks", F.coalesce(F.ceil(F.col("m") / block), F.lit(1)).cast("int"))
     mine = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")
@@ -233,12 +260,8 @@ def open_pairs(rows: DataFrame, sketched: DataFrame, percent: int = PERCENT, blo
                 left = np.flatnonzero(mine[lo:hi] == i[lo])
                 right = np.flatnonzero(mine[lo:hi] == j[lo])
                 for x in left.tolist():
-                    y = right[g[right] != g[x]] if i[lo] != j[lo] else right[(g[right] != g[x]) & (right > x)]
-                    small, large = np.minimum(size[x], size[y]), np.maximum(size[x], size[y])
-                    y = y[100 * small >= percent * large]
-                    far = np.bitwise_count(bits[y] ^ bits[x]).sum(axis=1, dtype=np.int64)
-                    # twice the intersection is the sizes' sum less what isn't shared, twice the union that sum and more
-                    y = y[100 * (size[x] + size[y] - far) >= percent * (size[x] + size[y] + far)]
+                    y = right[(g[right] != g[x]) & ((right > x) | (i[lo] != j[lo]))]
+                    y = y[_may_link(size[x], size[y], np.bitwise_count(bits[y] ^ bits[x]).sum(axis=1, dtype=np.int64), percent)]
                     if len(y):
                         yield pa.RecordBatch.from_arrays([pa.array(np.minimum(k[x], k[y])), pa.array(np.maximum(k[x], k[y]))], names=["a", "b"])
 
@@ -246,9 +269,49 @@ def open_pairs(rows: DataFrame, sketched: DataFrame, percent: int = PERCENT, blo
     return ordered.mapInArrow(run, "a long, b long").distinct()
 
 
+def _may_link(m: np.ndarray, n: np.ndarray, far: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sets of m and n shingles that don't share ``far`` at least can be linked. Twice their
+    intersection is m + n less what isn't shared, twice their union m + n and that."""
+    return (100 * np.minimum(m, n) >= percent * np.maximum(m, n)) & (100 * (m + n - far) >= percent * (m + n + far))
+
+
+def _beside(pairs: DataFrame, payload: DataFrame, part: int) -> DataFrame:
+    """Rows (a, lead, b, ...) of ``payload`` (key, ...): of each a, and after it of each b that it is
+    paired with. An a of very many pairs is dealt over as many parts as its pairs need."""
+    many = keep(pairs.groupBy("a").agg(F.count("*").alias("m")).filter(F.col("m") > part), "parity-many").withColumnRenamed("a", "hot")
+    dealt = pairs.join(_few(many), F.col("a") == F.col("hot"), "left").withColumn("part", F.pmod(F.xxhash64("b"), F.coalesce(F.ceil(F.col("m") / part), F.lit(1))))
+    dealt = dealt.select("a", "part", "b")
+    rows = keep(dealt.withColumn("lead", F.lit(False)).union(dealt.select("a", "part", F.col("a").alias("b"), F.lit(True)).distinct()), "parity-dealt")
+    joined = _few(rows).join(payload, F.col("b") == F.col("key")).drop("key")
+    return joined.repartition("a", "part").sortWithinPartitions("a", "part", F.desc("lead"), "b").drop("part")
+
+
+def near(pairs: DataFrame, sketched: DataFrame, percent: int = PERCENT, part: int = BLOCK) -> DataFrame:
+    """The pairs (a, b) whose sketches, of the lower one's band, are near enough for a link."""
+
+    @lean
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = None
+        for batch in batches:
+            words = {c: (batch.column(c).offsets.to_numpy(), batch.column(c).flatten().to_numpy().view(np.uint64)) for c in ("own", "before")}
+            mine = lambda c, i: words[c][1][words[c][0][i] - words[c][0][0] : words[c][0][i + 1] - words[c][0][0]]  # noqa: E731, B023
+            left, right = [], []
+            for i, (a, b, lead, n, band) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("a", "b", "lead", "n", "band")))):
+                if lead:
+                    at, m, level, own, before = a, n, band, mine("own", i), mine("before", i)
+                    continue
+                assert at == a, "a pair without its first document"
+                x, y = (own, mine("own", i)) if band == level else (own, mine("before", i)) if band == level + 1 else (before, mine("own", i)) if band == level - 1 else (None, None)
+                if x is not None and _may_link(m, n, int(np.bitwise_count(x ^ y).sum()), percent):
+                    left.append(a)
+                    right.append(b)
+            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
+
+    return _beside(pairs, sketched.select("key", "n", "band", "own", "before"), part).mapInArrow(run, "a long, b long")
+
+
 def verified(pairs: DataFrame, docs: DataFrame, key: str, text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT, part: int = BLOCK) -> DataFrame:
-    """The pairs (a, b) that are linked, by their sets. Texts of b go to where a's is; an a of very many
-    pairs is dealt over as many parts as its pairs need."""
+    """The pairs (a, b) that are linked, by their sets."""
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -263,54 +326,49 @@ def verified(pairs: DataFrame, docs: DataFrame, key: str, text_col: str = "text"
                         at, mine = a, own
                         continue
                     assert at == a, "a pair without its first document"
-                    if 100 * min(len(own), len(mine)) >= percent * max(len(own), len(mine)) > 0:
-                        both = len(np.intersect1d(own, mine, assume_unique=True))
-                        if 100 * both >= percent * (len(own) + len(mine) - both):
-                            left.append(a)
-                            right.append(b)
+                    both = len(np.intersect1d(own, mine, assume_unique=True))
+                    if both and 100 * both >= percent * (len(own) + len(mine) - both):
+                        left.append(a)
+                        right.append(b)
                 yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
 
-    pairs = keep(pairs, "parity-pairs")
-    many = keep(pairs.groupBy("a").agg(F.count("*").alias("m")).filter(F.col("m") > part), "parity-many").withColumnRenamed("a", "hot")
-    dealt = pairs.join(_few(many), F.col("a") == F.col("hot"), "left").withColumn("part", F.pmod(F.xxhash64("b"), F.coalesce(F.ceil(F.col("m") / part), F.lit(1))))
-    dealt = dealt.select("a", "part", "b")
-    rows = keep(dealt.withColumn("lead", F.lit(False)).union(dealt.select("a", "part", F.col("a").alias("b"), F.lit(True)).distinct()), "parity-dealt")
     texts = docs.select(F.col(key).alias("key"), F.col(text_col).cast("string").alias("text"))
-    joined = _few(rows).join(texts, F.col("b") == F.col("key")).select("a", "part", "lead", "b", "text")
-    return joined.repartition("a", "part").sortWithinPartitions("a", "part", F.desc("lead"), "b").mapInArrow(run, "a long, b long")
+    return _beside(pairs, texts, part).mapInArrow(run, "a long, b long")
 
 
-def links(first: DataFrame, docs: DataFrame, key: str, text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
+def links(first: DataFrame, docs: DataFrame, key: str, text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT, block: int = BLOCK, small: int = SMALL) -> DataFrame:
     """(node, root) of the documents of ``first`` (as of ``sketches``, of different sets) that have links
     and aren't their component's first."""
+    check = lambda pairs: verified(keep(pairs, "parity-near"), docs, key, text_col, shingle, percent)
     met = keep(meetings(cells(first)), "parity-met")
-    linked = verified(first_pairs(met, percent), docs, key, text_col, shingle, percent)
-    roots = keep(components(linked), "parity-roots")
+    roots = keep(components(check(near(keep(first_pairs(met, percent), "parity-pairs"), first, percent))), "parity-roots")
     grouped = met.join(_few(roots), F.col("key") == F.col("node"), "left").select("cell", "key", "n", "lower", F.coalesce("root", "key").alias("group"))
     left = keep(several(grouped), "parity-open")
+    large = keep(left.groupBy("cell").agg(F.count("*").alias("m")).filter(F.col("m") > small).select("cell"), "parity-large")
+    more = check(near(keep(small_pairs(left.join(_few(large), "cell", "left_anti"), percent), "parity-pairs"), first, percent))
+    left = keep(left.join(_few(large), "cell", "left_semi"), "parity-open")
     asked = docs.join(_few(left.select(F.col("key").alias(key)).distinct()), key, "left_semi")
     own = keep(alone(asked, key, text_col, shingle), "parity-alone").select(F.col("key").alias("k"), F.col("n").alias("own"))
     most = F.floor(F.floor(100 * F.col("n") / percent) * (100 - percent) / 100)
     able = left.join(_few(own), F.col("key") == F.col("k"), "left").filter(F.coalesce("own", F.lit(0)) <= most).select("cell", "key", "n", "lower", "group")
-    able = keep(several(able), "parity-able")
-    more = verified(open_pairs(able, first, percent, block), docs, key, text_col, shingle, percent)
+    more = more.union(check(large_pairs(keep(several(able), "parity-able"), first, percent, block)))
     return components(keep(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more), "parity-links"))
 
 
-def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
+def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT, block: int = BLOCK, small: int = SMALL) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every document; ``component_id`` is the smallest doc_id that
     links reach."""
     key = fresh(docs, "_key")
     keyed, repeated = with_key(docs, key, id_col, text_col)
     once = keyed.dropDuplicates([key]) if repeated else keyed
     marked = keep(sketches(once, key, text_col, shingle, percent), "parity-sketches")
-    some = marked.filter("n > 0").groupBy("whole")
-    first = keep(some.agg(F.min_by(F.struct("key", "n", "band", "own", "before"), "key").alias("s")).select("s.*"), "parity-first")
-    roots = links(first, once, key, text_col, shingle, percent, block)
-    classes = some.agg(F.min("key").alias("rep"), F.count("*").alias("m"))
-    rooted = classes.join(roots, F.col("rep") == F.col("node"), "left").filter("m > 1 OR root IS NOT NULL")
-    rooted = keep(rooted.select("whole", F.coalesce("root", "rep").alias("root")), "parity-rooted")
-    found = marked.select("key", "whole", "n").join(_few(rooted), "whole", "left").select("key", "n", F.coalesce("root", "key").alias("root"))
+    classes = marked.filter("n > 0").groupBy("whole").agg(F.min("key").alias("rep"), F.count("*").alias("m")).filter("m > 1")
+    classes = keep(classes.select("whole", "rep"), "parity-classes")
+    copies = keep(marked.select("key", "whole").join(_few(classes), "whole").filter("key <> rep").select("key"), "parity-copies")
+    first = marked.filter("n > 0").join(_few(copies), "key", "left_anti")
+    roots = keep(links(first, once, key, text_col, shingle, percent, block, small), "parity-roots")
+    rep = marked.select("key", "whole", "n").join(_few(classes), "whole", "left").select("key", "n", F.coalesce("rep", "key").alias("rep"))
+    found = rep.join(_few(roots), F.col("rep") == F.col("node"), "left").select("key", "n", F.coalesce("root", "rep").alias("root"))
     if not repeated:
         return found.select(F.col("key").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("root").alias("component_id"))
     ids = keyed.select(F.col(key).alias("k"), F.col(id_col).alias("doc_id")).join(found, F.col("k") == F.col("key")).select("doc_id", "n", "root")

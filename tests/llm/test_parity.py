@@ -58,13 +58,13 @@ def corpus(seed, n=300):
     return [(3 * i + 1, t) for i, t in enumerate(docs)]
 
 
-@pytest.mark.parametrize(("seed", "block"), [(1, 512), (2, 3)])
-def test_against_every_pair(spark, seed, block):
+@pytest.mark.parametrize(("seed", "block", "small"), [(1, 512, 32), (2, 3, 2), (3, 4, 0)])
+def test_against_every_pair(spark, seed, block, small):
     docs = corpus(seed)
     df = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "1 AS key", "2 AS n", "3 AS cell").repartition(3)
     want = plain(docs)
     assert len({c for _, _, c in want}) < len(docs) - 30
-    assert got(parity.join(df, block=block)) == want
+    assert got(parity.join(df, block=block, small=small)) == want
 
 
 def test_query_and_sql_agree(spark, tmp_path):
@@ -118,7 +118,7 @@ def test_a_cell_that_most_documents_share_spreads(spark):
     tasks = parity.meetings(spread.repartition(4)).groupBy(F.spark_partition_id()).count().collect()
     spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert most > 100 and len(tasks) > 1 and max(t["count"] for t in tasks) < 0.6 * most
-    assert got(parity.join(df, block=16)) == plain(docs)
+    assert got(parity.join(df, block=16, small=8)) == plain(docs)
 
 
 def test_odd_rows(spark):
