@@ -251,23 +251,44 @@ def _start(rows: DataFrame, groups: Centroids | None, quota: np.ndarray, seed: i
     return Centroids(np.concatenate(lists), None if groups is None else groups.lists, np.concatenate([[0], np.cumsum(quota)]))
 
 
-def _lloyd(rows: DataFrame, start: Centroids, rounds: int, spherical: bool, tolerance: float) -> Fitted:
+def _split(lists: np.ndarray, first: np.ndarray | None, n: np.ndarray, cost: np.ndarray, most: float, seed: int) -> np.ndarray:
+    """Centroids, the smallest lists' moved into lists of more than ``most`` times the mean: one beside
+    the large list's own, half a deviation off. Groups keep their numbers of lists."""
+    out, rng = lists.copy(), np.random.default_rng(seed)
+    group = np.zeros(len(n), np.int64) if first is None else np.repeat(np.arange(len(first) - 1), np.diff(first))
+    large = np.flatnonzero(n > most * n.mean())
+    taken = np.zeros(len(n), dtype=bool)
+    for i in large[np.argsort(-n[large], kind="stable")].tolist():
+        own = np.flatnonzero((group == group[i]) & ~taken & (n < n.mean() / 2))
+        if len(own):
+            j = own[np.argmin(n[own])]
+            taken[j] = True
+            step = rng.normal(size=lists.shape[1]) * np.sqrt(cost[i] / n[i] / lists.shape[1]) / 2
+            out[i], out[j] = lists[i] - step, lists[i] + step
+    return out
+
+
+def _lloyd(rows: DataFrame, start: Centroids, rounds: int, spherical: bool, tolerance: float, most: float | None = None, seed: int = 0) -> Fitted:
     """Rounds until the objective falls by less than ``tolerance`` of itself, or ``rounds`` are done. The
-    last row is of the centroids returned."""
+    last row is of the centroids returned. In the first half of the rounds lists of more than ``most``
+    times the mean are split."""
     now, report = start, []
     for i in range(rounds + 1):
-        lists, n, cost = now.lists.copy(), np.zeros(len(now.lists), np.int64), 0.0
+        lists, n, cost = now.lists.copy(), np.zeros(len(now.lists), np.int64), np.zeros(len(now.lists))
         for r in update(rows, now, spherical).toLocalIterator():
-            lists[r["list"]], n[r["list"]], cost = np.array(r["total"]) / r["n"], r["n"], cost + r["cost"]
-        report.append((i, cost / max(1, int(n.sum())), int((n > 0).sum()), int(n.max()), float(n.mean())))
-        if i == rounds or (i and report[-2][1] - report[-1][1] <= tolerance * report[-2][1]):
+            lists[r["list"]], n[r["list"]], cost[r["list"]] = np.array(r["total"]) / r["n"], r["n"], r["cost"]
+        report.append((i, float(cost.sum()) / max(1, int(n.sum())), int((n > 0).sum()), int(n.max()), float(n.mean())))
+        splits = most is not None and i < rounds // 2 and n.max() > most * n.mean()
+        if i == rounds or (i and not splits and 0 <= report[-2][1] - report[-1][1] <= tolerance * report[-2][1]):
             return Fitted(now, report)
+        lists = _split(lists, now.first, n, cost, most, seed + i) if splits else lists
         now = Centroids(unit(lists) if spherical else lists, now.tops, now.first)
     return Fitted(now, report)
 
 
-def fit(base: VectorTable, k: int, rounds: int = 15, seed: int = 0, spherical: bool = False, tolerance: float = 1e-3, flat: int = FLAT) -> Fitted:
-    """Centroids of k lists of all rows; cosine with ``spherical``."""
+def fit(base: VectorTable, k: int, rounds: int = 15, seed: int = 0, spherical: bool = False, tolerance: float = 1e-3, flat: int = FLAT, most: float | None = None) -> Fitted:
+    """Centroids of k lists of all rows; cosine with ``spherical``. With ``most``, lists of more than so
+    many times the mean size are split and the smallest merged, at some cost of the objective."""
     dimension = base.dimension() or 1
     if k < 1:
         raise Unsupported(f"{k} lists")
@@ -279,4 +300,4 @@ def fit(base: VectorTable, k: int, rounds: int = 15, seed: int = 0, spherical: b
         cost = {r["list"]: r["cost"] for r in update(rows, tops.centroids, spherical).select("list", "cost").collect()}
         groups = Centroids(tops.centroids.lists[sorted(cost)])
         quota = _shared_out(k, np.array([cost[i] for i in sorted(cost)]))
-    return _lloyd(rows, _start(rows, groups, quota, seed, spherical), rounds, spherical, tolerance)
+    return _lloyd(rows, _start(rows, groups, quota, seed, spherical), rounds, spherical, tolerance, most, seed)

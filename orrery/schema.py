@@ -22,7 +22,7 @@ class VectorTable:
     @property
     def rows(self) -> DataFrame:
         """The table as (id, vector, attributes...), without attributes that have these names."""
-        rest = [c for c in self.df.columns if c not in (self.id_col, self.vector_col) and c.lower() not in ("id", "vector")]
+        rest = [F.col(f"`{c}`") for c in self.df.columns if c not in (self.id_col, self.vector_col) and c.lower() not in ("id", "vector")]
         return self.df.select(F.col(self.id_col).cast("long").alias("id"), F.col(self.vector_col).alias("vector"), *rest)
 
     def dimension(self) -> int | None:

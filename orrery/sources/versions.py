@@ -69,3 +69,13 @@ class VersionedTable:
         for v in gone:
             fs.delete(jvm.org.apache.hadoop.fs.Path(f"{self.path}/v={v}"), True)
         return gone
+
+    def children(self, spark: SparkSession, path: str) -> list[str]:
+        """The folders in a folder of the same store."""
+        jvm, fs = self._fs(spark)
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        return sorted(f"{path}/{s.getPath().getName()}" for s in fs.listStatus(at) if s.isDirectory()) if fs.exists(at) else []
+
+    def delete(self, spark: SparkSession, path: str) -> None:
+        jvm, fs = self._fs(spark)
+        fs.delete(jvm.org.apache.hadoop.fs.Path(path), True)

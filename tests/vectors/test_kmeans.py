@@ -57,6 +57,14 @@ def test_two_levels_are_as_good_as_one(spark, tmp_path):
     assert len(two.centroids.lists) == 256 and two.rounds[-1][1] < 1.2 * one.rounds[-1][1]
 
 
+def test_large_lists_are_split(spark, tmp_path):
+    """A third of the rows round one centre: with a bound on sizes no list is far over it."""
+    x = clusters(20_000, 96, 100, 7)
+    base = table(spark, x, str(tmp_path / "t.parquet"))
+    free, bound = kmeans.fit(base, 50), kmeans.fit(base, 50, most=4.0)
+    assert free.rounds[-1][3] > 1.5 * bound.rounds[-1][3] and bound.rounds[-1][3] < 6 * 400 and bound.rounds[-1][1] < 1.15 * free.rounds[-1][1]
+
+
 def test_partitions_do_not_matter_and_cosine(spark, tmp_path):
     x = clusters(3000, 8, 10, 3)
     base = table(spark, x, str(tmp_path / "t.parquet"))
