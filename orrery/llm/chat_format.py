@@ -15,7 +15,8 @@ control string stands unescaped, nor one that begins in the text and ends in the
 Escaping doubles backslashes and puts one before each control string, so it is reversible
 whatever the text holds. Turns of any length are parsed in one pass; nothing is cut.
 
-Defined results: null text and null role are empty; rows with equal turn numbers are put in
+Defined results: null text and null role are empty; text that isn't UTF-8 is read
+with U+FFFD for its bad bytes, which offsets count; rows with equal turn numbers are put in
 order of role, then text; repeated rows are turns of their own; a null conv_id is a
 conversation of its own; an empty table gives an empty result; other columns are dropped.
 """
@@ -146,7 +147,7 @@ def format_turns(conversations: DataFrame) -> DataFrame:
                 names=["conv_id", "turn", "role", "piece", "loss_from", "loss_to"],
             )
 
-    cols = conversations.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.col("role").cast("string"), F.col("text").cast("string"))
+    cols = conversations.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), *[F.make_valid_utf8(F.col(c).cast("string")).alias(c) for c in ("role", "text")])
     return cols.mapInArrow(run, PIECES)
 
 

@@ -10,7 +10,8 @@ the text, without the punctuation round it.
 Copies of a document are no independent evidence: all counts are of distinct texts, known forms
 left out, so a term needs three different documents with the entity.
 
-Defined results: null text is empty; a null doc_id has its spans like any other row; rows that
+Defined results: null text is empty; text that isn't UTF-8 is read
+with U+FFFD for its bad bytes, which offsets count; a null doc_id has its spans like any other row; rows that
 share a doc_id each get those of their own text; a very long text is handled whole, by itself;
 terms of equal disclosure are all reported; an empty table gives an empty result; ``scan`` and
 ``report`` drop other columns, ``sanitised`` keeps them.
@@ -319,6 +320,7 @@ def _free(known: list[tuple[int, int, int]], places: list[dict]) -> list[tuple[i
 
 def report(docs: DataFrame, keep, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Each document with its known spans and the spans of revealing terms outside them."""
+    docs = docs.withColumn(text_col, F.make_valid_utf8(F.col(text_col).cast("string")))
     terms = revealing_terms(docs, keep, id_col, text_col)
 
     @lean
@@ -350,6 +352,7 @@ def redact(text: str, spans: list[tuple[int, int, int]]) -> str:
 def sanitised(docs: DataFrame, keep, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with known personal data replaced by its kind and revealing terms generalised, each
     row by what its own text holds."""
+    docs = docs.withColumn(text_col, F.make_valid_utf8(F.col(text_col).cast("string")))
     found = fresh(docs, "_places")
     placed = with_places(docs, revealing_terms(docs, keep, id_col, text_col), found, text_col)
 

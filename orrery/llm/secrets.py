@@ -11,7 +11,8 @@ that it is live.
 Secret values leave the scan only as hashes. What ownership says goes back to a row by its text, so
 a row gets the spans of its own text whatever its id.
 
-Defined results: null text is empty; rows without an owner (or repository) count as one owner, told
+Defined results: null text is empty; text that isn't UTF-8 is read
+with U+FFFD for its bad bytes, which offsets count; rows without an owner (or repository) count as one owner, told
 apart from any name, the empty one included; repeated rows and copies of a text raise no count of
 uses; candidates of one value have one class; very long texts are handled whole; an empty table
 gives an empty result; other columns are dropped.
@@ -93,7 +94,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_c
             made += b.num_rows
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("repo"), b.column("owner"), pa.array(bodies, pa.string()), part, pa.array(spans, kind)], names=["doc_id", "repo", "owner", "body", "part", "spans"])
 
-    cols = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(repo_col).cast("string").alias("repo"), F.col(owner_col).cast("string").alias("owner"), F.col(text_col).cast("string").alias("text"))
+    cols = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(repo_col).cast("string").alias("repo"), F.col(owner_col).cast("string").alias("owner"), F.make_valid_utf8(F.col(text_col).cast("string")).alias("text"))
     return cols.mapInArrow(run, SCANNED)
 
 
