@@ -226,6 +226,15 @@ pairs AS (SELECT query_id, doc_id, round({_DISTANCE["l2"].format("b.x", "a.x")},
 SQL["scalar_quantised_search"] = _scalar_quantised(15, 30)
 SQL["scalar8_quantised_search"] = _scalar_quantised(255, 100)
 SQL["stored_filtered_search"] = SQL["knn_routed"]
+SQL["streamed_index"] = SQL["knn_l2"]
+SQL["stored_list_filter"] = _knn("l2", "b.id BETWEEN 20 AND 219 AND b.label IN (2, 5)")
+SQL["kmeans_update"] = f"""
+WITH {_VECTORS}, {_PARTS},
+far AS (SELECT p.part, p.id, v.x, {_DISTANCE["l2_squared"].format("v.x", "c.x")} AS d FROM parts p JOIN v ON v.id = p.id JOIN v c ON c.id = p.part),
+sums AS (SELECT part, count(*) AS n, sum(d) AS cost FROM far GROUP BY part)
+SELECT CAST(sums.part AS INTEGER) AS list, n, round(cost, 6) AS cost, CAST(i - 1 AS INTEGER) AS dimension, round(avg(x[i]), 6) AS mean
+FROM far JOIN sums ON sums.part = far.part, unnest(range(1, len(x) + 1)) AS t(i) GROUP BY ALL
+"""
 SQL["stored_after_changes"] = SQL["knn_live_set"]
 SQL["knn_routed_probing"] = _knn("l2", "b.label < 5")
 SQL["within_radius"] = f"WITH {_VECTORS} SELECT * FROM ({_pairs('l2', 'a.id <> b.id')}) WHERE distance <= 1.2"

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from .functions import distance as D
 from .operators import diagnostics as dx
 from .operators import evaluation as ev
-from .operators import footprint, graph, knn, partitioned, quantize, retrieval, stored
+from .operators import footprint, graph, kmeans, knn, partitioned, quantize, retrieval, stored
 from .operators import predicates as P
 from .plans import router
 from .schema import VectorTable
@@ -519,6 +519,47 @@ def stored_after_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ranked(stored.search(left, _asked(base), K, 16))
 
 
+@_query
+def streamed_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An index that starts empty and takes the vectors from a stream, a file a micro-batch, the last of
+    them a second time under its name; then all lists are searched."""
+    base = _vectors(spark, sf_dir)
+    at = f"{_shared(spark)}/index-{uuid.uuid4().hex}"
+    stored.build(VectorTable(base.df.limit(0)), f"{at}/index", 8)
+    base.df.repartitionByRange(3, "vec_id").write.parquet(f"{at}/arrivals")
+    stream = spark.readStream.schema(base.df.schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/arrivals")
+    writer = stream.writeStream.foreachBatch(lambda batch, i: stored.apply_batch(f"{at}/index", batch, i, base.id_col, base.vector_col)).option("checkpointLocation", f"{at}/checkpoint")
+    writer.trigger(availableNow=True).start().awaitTermination()
+    stored.apply_batch(f"{at}/index", base.df.filter("vec_id % 2 = 0"), 2, base.id_col, base.vector_col)
+    return _ranked(stored.search(stored.load(spark, f"{at}/index"), _asked(base), K, 8))
+
+
+@_query
+def stored_list_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of a range of ids and of two labels, by lists that the summaries let through; a third of the
+    ids have been replaced by the same rows in a second segment."""
+    base = _vectors(spark, sf_dir)
+    index = stored.change(_stored(spark, sf_dir, base), VectorTable(base.df.filter("vec_id % 3 = 0")), batch="again")
+    rule = P.every(P.between("vec_id", 20, 219), P.within("label", [2, 5]))
+    return _ranked(stored.search(index, _asked(base), K, 16, rule))
+
+
+@_query
+def kmeans_update(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One round of Lloyd's over all vectors, from the first 16 as centroids: rows, mean and cost of each list."""
+    base = _vectors(spark, sf_dir)
+    sums = kmeans.update(kmeans._rows(base), kmeans.Centroids(_first(base, 16)))
+    each = sums.select("list", "n", "cost", F.posexplode("total").alias("dimension", "total"))
+    return each.select("list", "n", F.round("cost", 6).alias("cost"), "dimension", F.round(F.col("total") / F.col("n"), 6).alias("mean"))
+
+
+@_query
+def kmeans_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Objective and spread of list sizes, round by round, of 32 lists fitted on all vectors."""
+    fitted = kmeans.fit(_vectors(spark, sf_dir), 32)
+    return spark.createDataFrame(fitted.rounds, kmeans.ROUNDS)
+
+
 @_query
 def recall_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recall, and share of rows looked at, as a stored index probes more of its lists."""
