@@ -228,6 +228,10 @@ SQL["scalar8_quantised_search"] = _scalar_quantised(255, 100)
 SQL["stored_filtered_search"] = SQL["knn_routed"]
 SQL["streamed_index"] = SQL["knn_l2"]
 SQL["stored_list_filter"] = _knn("l2", "b.id BETWEEN 20 AND 219 AND b.label IN (2, 5)")
+SQL["near_pairs"] = f"""
+WITH v AS (SELECT min(vec_id) AS id, embedding::DOUBLE[] AS x FROM embeddings GROUP BY ALL)
+SELECT query_id AS a, doc_id AS b, distance FROM ({_pairs("l2", "a.id < b.id", "v", "v")}) WHERE distance <= 1.1
+"""
 SQL["kmeans_update"] = f"""
 WITH {_VECTORS}, {_PARTS},
 far AS (SELECT p.part, p.id, v.x, {_DISTANCE["l2_squared"].format("v.x", "c.x")} AS d FROM parts p JOIN v ON v.id = p.id JOIN v c ON c.id = p.part),

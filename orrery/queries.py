@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from .functions import distance as D
 from .operators import diagnostics as dx
 from .operators import evaluation as ev
-from .operators import footprint, graph, kmeans, knn, partitioned, quantize, retrieval, stored
+from .operators import footprint, graph, kmeans, knn, pairs, partitioned, quantize, retrieval, stored
 from .operators import predicates as P
 from .plans import router
 from .schema import VectorTable
@@ -544,6 +544,13 @@ def stored_list_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ranked(stored.search(index, _asked(base), K, 16, rule))
 
 
+@_query
+def near_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pairs of vectors within a radius, met by the lists of the first 16 vectors."""
+    base = _vectors(spark, sf_dir)
+    return pairs.near_pairs(pairs.classes(base), 1.1, _first(base, 16))
+
+
 @_query
 def kmeans_update(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One round of Lloyd's over all vectors, from the first 16 as centroids: rows, mean and cost of each list."""
