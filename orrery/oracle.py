@@ -228,6 +228,11 @@ SQL["scalar8_quantised_search"] = _scalar_quantised(255, 100)
 SQL["stored_filtered_search"] = SQL["knn_routed"]
 SQL["streamed_index"] = SQL["knn_l2"]
 SQL["stored_list_filter"] = _knn("l2", "b.id BETWEEN 20 AND 219 AND b.label IN (2, 5)")
+SQL["vector_files"] = """
+SELECT row_number() OVER (ORDER BY vec_id) - 1 AS vec_id, round(CAST(embedding[1] AS DOUBLE), 6) AS first,
+  round(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x)), 6) AS square, CAST(len(embedding) AS INTEGER) AS dimensions
+FROM embeddings
+"""
 SQL["near_pairs"] = f"""
 WITH v AS (SELECT min(vec_id) AS id, embedding::DOUBLE[] AS x FROM embeddings GROUP BY ALL)
 SELECT query_id AS a, doc_id AS b, distance FROM ({_pairs("l2", "a.id < b.id", "v", "v")}) WHERE distance <= 1.1

@@ -19,6 +19,7 @@ from .operators import footprint, graph, kmeans, knn, pairs, partitioned, quanti
 from .operators import predicates as P
 from .plans import router
 from .schema import VectorTable
+from .sources import ranges
 from .sources.versions import VersionedTable
 from .streaming import changes, upsert
 
@@ -544,6 +545,16 @@ def stored_list_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ranked(stored.search(index, _asked(base), K, 16, rule))
 
 
+@_query
+def vector_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vectors written as NumPy files and read back in splits, numbered on from file to file."""
+    at = f"{_shared(spark)}/files-{uuid.uuid4().hex}"
+    table = ranges.register(spark).read.parquet(f"{sf_dir}/embeddings.parquet").repartitionByRange(4, "vec_id").sortWithinPartitions("vec_id")
+    table.select("vec_id", F.col("embedding").cast("array<float>").alias("embedding")).write.format("vectors").option("kind", "npy").mode("append").save(at)
+    back = spark.read.format("vectors").options(kind="npy", splitRows=100).load(at)
+    return back.select("vec_id", F.round(back["embedding"][0], 6).alias("first"), F.round(D.dot(back["embedding"], back["embedding"]), 6).alias("square"), F.size("embedding").alias("dimensions"))
+
+
 @_query
 def near_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pairs of vectors within a radius, met by the lists of the first 16 vectors."""
