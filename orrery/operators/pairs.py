@@ -30,7 +30,7 @@ from ..functions import distance as D
 from ..schema import VectorTable
 from . import knn
 
-BLOCK = 1024
+BLOCK = 8192
 PAIRS = "a long, b long, distance double"
 _HELD = "list int, shell long, own boolean, visitor boolean, id long, vector array<double>"
 
