@@ -244,6 +244,18 @@ sums AS (SELECT part, count(*) AS n, sum(d) AS cost FROM far GROUP BY part)
 SELECT CAST(sums.part AS INTEGER) AS list, n, round(cost, 6) AS cost, CAST(i - 1 AS INTEGER) AS dimension, round(avg(x[i]), 6) AS mean
 FROM far JOIN sums ON sums.part = far.part, unnest(range(1, len(x) + 1)) AS t(i) GROUP BY ALL
 """
+# the table is one leaf there, so its neighbour graph is exact
+SQL["cluster_layers"] = f"""
+WITH RECURSIVE {_VECTORS}, near AS ({_ranked(_pairs("l2", "a.id <> b.id", query="v"), 5)}),
+core AS (SELECT query_id AS id, max(distance) AS core FROM near GROUP BY query_id),
+edges AS (SELECT DISTINCT n.query_id AS a, n.doc_id AS b, greatest(n.distance, p.core, q.core) AS weight FROM near n JOIN core p ON p.id = n.query_id JOIN core q ON q.id = n.doc_id),
+linked AS (SELECT a, b, weight FROM edges UNION SELECT b, a, weight FROM edges),
+steps AS (SELECT * FROM (VALUES (0, 1.1), (1, 1.14), (2, 1.16), (3, 1.18), (4, 1.2)) AS t(layer, most)),
+walk AS (SELECT layer, id, id AS root FROM steps, v UNION SELECT w.layer, e.b, w.root FROM walk w JOIN steps ON steps.layer = w.layer JOIN linked e ON e.a = w.id AND e.weight <= steps.most WHERE e.b > w.root),
+members AS (SELECT layer, id, min(root) AS root FROM walk GROUP BY layer, id),
+sizes AS (SELECT layer, root, count(*) AS n FROM members GROUP BY layer, root HAVING count(*) >= 3)
+SELECT CAST(m.layer AS INTEGER) AS layer, m.id, s.root AS cluster, s.n FROM members m LEFT JOIN sizes s ON s.layer = m.layer AND s.root = m.root
+"""
 SQL["stored_after_changes"] = SQL["knn_live_set"]
 SQL["knn_routed_probing"] = _knn("l2", "b.label < 5")
 SQL["within_radius"] = f"WITH {_VECTORS} SELECT * FROM ({_pairs('l2', 'a.id <> b.id')}) WHERE distance <= 1.2"

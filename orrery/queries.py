@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from .functions import distance as D
 from .operators import diagnostics as dx
 from .operators import evaluation as ev
-from .operators import footprint, graph, kmeans, knn, pairs, partitioned, quantize, retrieval, stored
+from .operators import clustering, footprint, graph, kmeans, knn, neighbours, pairs, partitioned, quantize, retrieval, stored
 from .operators import predicates as P
 from .plans import router
 from .schema import VectorTable
@@ -562,6 +562,29 @@ def near_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.near_pairs(pairs.classes(base), 1.1, _first(base, 16))
 
 
+@_query
+def descent_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest neighbours of every vector, by leaves and descent."""
+    return neighbours.graph(_vectors(spark, sf_dir), K, leaf=256)
+
+
+def _layers(spark: SparkSession, sf_dir: str) -> clustering.Layers:
+    near = neighbours.leaf_graph(_vectors(spark, sf_dir), 5)
+    return clustering.layers(clustering.mutual(near, 5), [1.1, 1.14, 1.16, 1.18, 1.2], 3)
+
+
+@_query
+def cluster_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cluster of every vector in five layers of density, noise with none."""
+    return _layers(spark, sf_dir).members
+
+
+@_query
+def cluster_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cluster of every vector that holds the most excess of mass over the five layers."""
+    return _layers(spark, sf_dir).labels()
+
+
 @_query
 def kmeans_update(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One round of Lloyd's over all vectors, from the first 16 as centroids: rows, mean and cost of each list."""
