@@ -95,8 +95,10 @@ def _round(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     hooked = pick.join(back, "b").select(F.col("a").alias("node"), F.when((F.col("back") == F.col("a")) & (F.col("a") < F.col("b")), F.col("a")).otherwise(F.col("b")).alias("root"))
     hooked = keep(hooked, "hooked")
     while True:
-        further = hooked.select(F.col("node").alias("root"), F.col("root").alias("further"))
-        hooked = keep(hooked.join(further, "root").select("node", F.col("further").alias("root"), (F.col("further") != F.col("root")).alias("on")), "hooked")
+        # two doublings a write
+        twice = hooked.join(hooked.select(F.col("node").alias("root"), F.col("root").alias("next")), "root").select("node", F.col("root").alias("was"), F.col("next").alias("root"))
+        further = twice.select(F.col("node").alias("root"), F.col("root").alias("further"))
+        hooked = keep(twice.join(further, "root").select("node", F.col("further").alias("root"), (F.col("further") != F.col("was")).alias("on")), "hooked")
         if not hooked.filter("on").limit(1).count():
             break
     named = hooked.groupBy("root").agg(F.min("node").alias("name"))
