@@ -18,8 +18,10 @@ first one there, which joins a group of near copies at the cost of a comparison
 components meet at a cell even so, all its documents are compared across components. In a cell over
 ``SMALL`` the documents that can't be linked with anything there leave first: those with more shingles
 that no other such document has than a link allows. The others are compared block with block, and no
-task holds more than two blocks of ``BLOCK``. Every pair is first compared by whole sketches and, where
-these are near enough, verified on the sets.
+task holds more than two blocks of ``BLOCK``. Every pair is first compared by briefs and, where these
+are near enough, verified on the sets. A brief is the same kind of sketch with a bit or two a shingle in
+place of seven, and one for all bands: as many bits as the next power of two, so that the larger of two is
+folded to the length of the smaller. Pairs that met by chance cost its few bytes, not those of the cells.
 
 Defined results: rows without an id are documents with ids of null, never the id of a component that
 has another; repeated rows and repeated ids are documents of their own; a very long text is one long
@@ -50,7 +52,7 @@ SMALL = 32
 #: Rows that are broadcast at most.
 FEW = 1 << 18
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
-SKETCHED = "key long, whole long, n long, band int, own array<long>, before array<long>"
+SKETCHED = "key long, whole long, n long, band int, own array<long>, before array<long>, brief array<long>"
 
 
 def differences(smaller: int, percent: int = PERCENT) -> int:
@@ -103,10 +105,31 @@ class Sets:
         np.bitwise_xor.at(out, cell, np.uint64(1) << (h & np.uint64(63)))
         return out
 
+    def briefs(self) -> tuple[np.ndarray, np.ndarray]:
+        """Words of all texts' briefs one after another, and how many each has: a power of two."""
+        words = brief_words(self.size)
+        start = np.concatenate([[0], np.cumsum(words)])
+        out = np.zeros(start[-1], dtype=np.uint64)
+        h = tx.mix(self.h)
+        word = start[self.of] + ((h >> np.uint64(6)) & (words[self.of] - 1).astype(np.uint64)).astype(np.int64)
+        np.bitwise_xor.at(out, word, np.uint64(1) << (h & np.uint64(63)))
+        return out, words
+
+
+def brief_words(size: np.ndarray) -> np.ndarray:
+    """64-bit words of the briefs of sets of these sizes: a bit a shingle at least."""
+    return 1 << np.ceil(np.log2(np.maximum(-(-np.asarray(size) // 64), 1))).astype(np.int64)
+
+
+def folded(brief: np.ndarray, words: int) -> np.ndarray:
+    """A brief (or a row of each) in ``words`` words: its parts over each other."""
+    return np.bitwise_xor.reduce(brief.reshape(*brief.shape[:-1], -1, words), axis=-2)
+
 
 def sketches(docs: DataFrame, key: str, text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """(key, whole, n, band, own, before) of every document: its set's hash, size and band, and its
-    sketches for that band and the one before. Band 0 is of sets that are linked with equal ones alone."""
+    """(key, whole, n, band, own, before, brief) of every document: its set's hash, size and band, its
+    sketches for that band and the one before, and its brief. Band 0 is of sets that are linked with equal
+    ones alone."""
 
     def lists(cells: np.ndarray, values: np.ndarray) -> pa.Array:
         return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(cells)]).astype(np.int32)), pa.array(values.view(np.int64)))
@@ -120,19 +143,19 @@ def sketches(docs: DataFrame, key: str, text_col: str = "text", shingle: int = S
                 cells = np.array([0, *(differences(int(x), percent) + 1 for x in high[1:])])
                 band = np.searchsorted(high, s.size)
                 own, before = cells[band], cells[np.maximum(band - 1, 0)]
+                brief, words = s.briefs()
                 yield pa.RecordBatch.from_arrays(
-                    [p.column("key"), pa.array(s.whole.view(np.int64)), pa.array(s.size), pa.array(band.astype(np.int32)), lists(own, s.sketch(own)), lists(before, s.sketch(before))],
-                    names=["key", "whole", "n", "band", "own", "before"],
+                    [p.column("key"), pa.array(s.whole.view(np.int64)), pa.array(s.size), pa.array(band.astype(np.int32)), lists(own, s.sketch(own)), lists(before, s.sketch(before)), lists(words, brief)],
+                    names=["key", "whole", "n", "band", "own", "before", "brief"],
                 )
 
     return docs.select(F.col(key).alias("key"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, SKETCHED)
 
 
 def cells(sketched: DataFrame) -> DataFrame:
-    """(cell, key, n, lower): a row a cell of each document's sketches, cells as hashes of band, place and
-    content; ``lower`` tells those of the band before."""
-    each = lambda lower, words: sketched.select("key", "n", (F.col("band") - lower).alias("band"), F.lit(bool(lower)).alias("lower"), F.posexplode(words).alias("at", "bits"))
-    return each(0, "own").union(each(1, "before")).select(F.xxhash64("band", "at", "bits").alias("cell"), "key", "n", "lower")
+    """(cell, key, n): a row a cell of each document's sketches, cells as hashes of band, place and content."""
+    each = lambda lower, words: sketched.select("key", "n", (F.col("band") - lower).alias("band"), F.posexplode(words).alias("at", "bits"))
+    return each(0, "own").union(each(1, "before")).select(F.xxhash64("band", "at", "bits").alias("cell"), "key", "n")
 
 
 def _runs(batches: Iterator[pa.RecordBatch], by: int) -> Iterator[tuple[list[np.ndarray], bool, bool]]:
@@ -157,22 +180,22 @@ def _runs(batches: Iterator[pa.RecordBatch], by: int) -> Iterator[tuple[list[np.
 
 
 def meetings(rows: DataFrame) -> DataFrame:
-    """(cell, least, key, n, least_n, lower, edge) of the documents that share a cell with others; ``least`` is
+    """(cell, least, key, n, least_n, edge) of the documents that share a cell with others; ``least`` is
     the first of them in the task. Cells at a task's ends may go on elsewhere: ``edge``."""
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (cell, key, n, lower), first, last in _runs(batches, 1):
+        for (cell, key, n), first, last in _runs(batches, 1):
             edge = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
             size = np.diff(np.append(edge, len(cell)))
             ends = np.zeros(len(edge), dtype=bool)
             ends[0], ends[-1] = first, last or ends[-1]
             some = np.repeat((size > 1) | ends, size)
             of = np.repeat(edge, size)[some]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (cell[some], key[of], key[some], n[some], n[of], lower[some], np.repeat(ends, size)[some])], names=["cell", "least", "key", "n", "least_n", "lower", "edge"])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (cell[some], key[of], key[some], n[some], n[of], np.repeat(ends, size)[some])], names=["cell", "least", "key", "n", "least_n", "edge"])
 
     dealt = rows.repartitionByRange("cell", "key").sortWithinPartitions("cell", "key")
-    return dealt.mapInArrow(run, "cell long, least long, key long, n long, least_n long, lower boolean, edge boolean")
+    return dealt.mapInArrow(run, "cell long, least long, key long, n long, least_n long, edge boolean")
 
 
 def _near(a: str, b: str, percent: int) -> F.Column:
@@ -196,7 +219,7 @@ def _few(df: DataFrame) -> DataFrame:
 
 
 def several(rows: DataFrame) -> DataFrame:
-    """Rows (cell, key, n, lower, group) of the cells at which more than one group meets."""
+    """Rows (cell, key, n, group) of the cells at which more than one group meets."""
     open_ = keep(rows.groupBy("cell").agg((F.min("group") < F.max("group")).alias("open")).filter("open").select("cell"), "parity-cells")
     return rows.join(_few(open_), "cell", "left_semi")
 
@@ -240,22 +263,22 @@ def small_pairs(rows: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 
 def large_pairs(rows: DataFrame, sketched: DataFrame, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
-    """Pairs (a, b) of documents of a cell (cell, key, n, lower, group) that are in different groups and
-    whose whole sketches for the cell's band are near enough. Cells over ``block`` documents are dealt
-    as pairs of blocks."""
+    """Pairs (a, b) of documents of a cell (cell, key, n, group) that are in different groups and whose
+    briefs are near enough. Cells over ``block`` documents are dealt as pairs of blocks."""
     sizes = rows.groupBy("cell").agg(F.count("*").alias("m")).filter(F.col("m") > block)
     marked = rows.join(_few(keep(sizes, "parity-sizes")), "cell", "left").withColumn("blocks", F.coalesce(F.ceil(F.col("m") / block), F.lit(1)).cast("int"))
     mine = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")
-    marked = marked.select("cell", "lower", "key", "n", "group", mine.alias("mine"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    dealt = marked.select("cell", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "lower", "key", "n", "group", "mine")
-    joined = dealt.join(sketched.select("key", "own", "before"), "key").withColumn("words", F.when(F.col("lower"), F.col("before")).otherwise(F.col("own")))
+    marked = marked.select("cell", "key", "n", "group", mine.alias("mine"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    dealt = marked.select("cell", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "key", "n", "group", "mine")
+    joined = dealt.join(sketched.select("key", "brief"), "key")
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (cell, i, j, mine, key, n, group, words), *_ in _runs(batches, 3):
+        for (cell, i, j, mine, key, n, group, brief), *_ in _runs(batches, 3):
             edge = np.flatnonzero(np.concatenate([[True], (cell[1:] != cell[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])]))
             for lo, hi in zip(edge.tolist(), np.append(edge[1:], len(cell)).tolist()):
-                bits = np.stack([np.asarray(w, dtype=np.int64) for w in words[lo:hi]]).view(np.uint64)
+                words = min(len(w) for w in brief[lo:hi])  # sizes of a cell are of two bands, next to each other
+                bits = np.stack([folded(np.asarray(w, dtype=np.int64).view(np.uint64), words) for w in brief[lo:hi]])
                 k, size, g = key[lo:hi], n[lo:hi], group[lo:hi]
                 left = np.flatnonzero(mine[lo:hi] == i[lo])
                 right = np.flatnonzero(mine[lo:hi] == j[lo])
@@ -265,7 +288,7 @@ def large_pairs(rows: DataFrame, sketched: DataFrame, percent: int = PERCENT, bl
                     if len(y):
                         yield pa.RecordBatch.from_arrays([pa.array(np.minimum(k[x], k[y])), pa.array(np.maximum(k[x], k[y]))], names=["a", "b"])
 
-    ordered = joined.select("cell", "i", "j", "mine", "key", "n", "group", "words").repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j", "key")
+    ordered = joined.select("cell", "i", "j", "mine", "key", "n", "group", "brief").repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j", "key")
     return ordered.mapInArrow(run, "a long, b long").distinct()
 
 
@@ -287,27 +310,27 @@ def _beside(pairs: DataFrame, payload: DataFrame, part: int) -> DataFrame:
 
 
 def near(pairs: DataFrame, sketched: DataFrame, percent: int = PERCENT, part: int = BLOCK) -> DataFrame:
-    """The pairs (a, b) whose sketches, of the lower one's band, are near enough for a link."""
+    """The pairs (a, b) whose briefs are near enough for a link."""
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = None
         for batch in batches:
-            words = {c: (batch.column(c).offsets.to_numpy(), batch.column(c).flatten().to_numpy().view(np.uint64)) for c in ("own", "before")}
-            mine = lambda c, i: words[c][1][words[c][0][i] - words[c][0][0] : words[c][0][i + 1] - words[c][0][0]]  # noqa: E731, B023
+            start, words = batch.column("brief").offsets.to_numpy(), batch.column("brief").flatten().to_numpy().view(np.uint64)
             left, right = [], []
-            for i, (a, b, lead, n, band) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("a", "b", "lead", "n", "band")))):
+            for i, (a, b, lead, n) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("a", "b", "lead", "n")))):
+                brief = words[start[i] - start[0] : start[i + 1] - start[0]]
                 if lead:
-                    at, m, level, own, before = a, n, band, mine("own", i), mine("before", i)
+                    at, m, first = a, n, brief
                     continue
                 assert at == a, "a pair without its first document"
-                x, y = (own, mine("own", i)) if band == level else (own, mine("before", i)) if band == level + 1 else (before, mine("own", i)) if band == level - 1 else (None, None)
-                if x is not None and _may_link(m, n, int(np.bitwise_count(x ^ y).sum()), percent):
+                few = min(len(brief), len(first))
+                if _may_link(m, n, int(np.bitwise_count(folded(brief, few) ^ folded(first, few)).sum()), percent):
                     left.append(a)
                     right.append(b)
             yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
 
-    return _beside(pairs, sketched.select("key", "n", "band", "own", "before"), part).mapInArrow(run, "a long, b long")
+    return _beside(pairs, sketched.select("key", "n", "brief"), part).mapInArrow(run, "a long, b long")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, key: str, text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT, part: int = BLOCK) -> DataFrame:
@@ -342,7 +365,7 @@ def links(first: DataFrame, docs: DataFrame, key: str, text_col: str = "text", s
     check = lambda pairs: verified(keep(pairs, "parity-near"), docs, key, text_col, shingle, percent)
     met = keep(meetings(cells(first)), "parity-met")
     roots = keep(components(check(near(keep(first_pairs(met, percent), "parity-pairs"), first, percent))), "parity-roots")
-    grouped = met.join(_few(roots), F.col("key") == F.col("node"), "left").select("cell", "key", "n", "lower", F.coalesce("root", "key").alias("group"))
+    grouped = met.join(_few(roots), F.col("key") == F.col("node"), "left").select("cell", "key", "n", F.coalesce("root", "key").alias("group"))
     left = keep(several(grouped), "parity-open")
     large = keep(left.groupBy("cell").agg(F.count("*").alias("m")).filter(F.col("m") > small).select("cell"), "parity-large")
     more = check(near(keep(small_pairs(left.join(_few(large), "cell", "left_anti"), percent), "parity-pairs"), first, percent))
@@ -350,7 +373,7 @@ def links(first: DataFrame, docs: DataFrame, key: str, text_col: str = "text", s
     asked = docs.join(_few(left.select(F.col("key").alias(key)).distinct()), key, "left_semi")
     own = keep(alone(asked, key, text_col, shingle), "parity-alone").select(F.col("key").alias("k"), F.col("n").alias("own"))
     most = F.floor(F.floor(100 * F.col("n") / percent) * (100 - percent) / 100)
-    able = left.join(_few(own), F.col("key") == F.col("k"), "left").filter(F.coalesce("own", F.lit(0)) <= most).select("cell", "key", "n", "lower", "group")
+    able = left.join(_few(own), F.col("key") == F.col("k"), "left").filter(F.coalesce("own", F.lit(0)) <= most).select("cell", "key", "n", "group")
     more = more.union(check(large_pairs(keep(several(able), "parity-able"), first, percent, block)))
     return components(keep(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more), "parity-links"))
 

@@ -99,6 +99,27 @@ def test_sketches_bound_the_differences():
             assert np.bitwise_count(bits[i] ^ bits[j]).sum() <= far and (bits[i] != bits[j]).sum() <= far
 
 
+def test_briefs_bound_the_differences_in_few_bytes(spark):
+    rng = random.Random(3)
+    words = [str(i) for i in range(900)]
+    texts = [" ".join(edited(rng, words[:n], k)) for n in (500, 520, 900) for k in (0, 3, 20)] + [" ".join(f"u{i}" for i in range(510))]
+    s = parity.Sets(pa.array(texts))
+    flat, n = s.briefs()
+    briefs = np.split(flat, np.cumsum(n)[:-1])
+    assert {8, 16} <= set(n.tolist())
+    for i, x in enumerate(briefs):
+        for j, y in enumerate(briefs):
+            few = min(len(x), len(y))
+            bits = int(np.bitwise_count(parity.folded(x, few) ^ parity.folded(y, few)).sum())
+            far = len(np.setxor1d(s.h[s.first[i] : s.first[i + 1]], s.h[s.first[j] : s.first[j + 1]]))
+            assert bits <= far
+    size = s.size
+    assert not parity._may_link(size[0], size[-1], np.bitwise_count(briefs[0] ^ briefs[-1]).sum(), 90)
+    df = spark.createDataFrame(list(enumerate(texts)), "k long, text string")
+    sketched = parity.sketches(df, "k").select(*(F.sum(F.size(c)) for c in ("brief", "own", "before"))).first()
+    assert 8 * sketched[0] < sketched[1] + sketched[2]  # what a pair that meets by chance carries
+
+
 def test_a_cell_that_most_documents_share_spreads(spark):
     """Two thirds of all documents are one boiler-plate with a tenth of their own: they share cells
     without a link. And chains of near copies whose first isn't linked to the last."""
