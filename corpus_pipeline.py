@@ -23,7 +23,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each group of near-duplicates: five-word Jaccard of 0.8 or more."""
+    """The first document of each group of near-duplicates: five-word Jaccard of 0.8 or more, among
+    what SimHash links and, beyond its bits, MinHash."""
     bound_batches(spark)
     return near_copies.survivors(docs)
 

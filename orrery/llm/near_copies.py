@@ -4,7 +4,10 @@ Documents are compared as sets of runs of ``SHINGLE`` words, A-Z lower-cased; a
 words is one shingle, one without words (or null) the empty set, and empty sets are equal. Two
 documents are linked when their sets' Jaccard similarity is ``SIMILARITY`` or more.
 
-Candidates come from MinHash: ``BANDS`` keys of ``ROWS`` minima each, so a pair at the bound is
+Candidates come from SimHash first: fingerprints of the same shingles that the Golay keys of
+``simhash`` link, those within four bits, and those that are equal. Verified, they join near-exact
+copies. A pair at the bound differs in about ten bits, beyond what any affordable number of keys finds,
+so MinHash adds the candidates further apart that aren't in one group yet: ``BANDS`` keys of ``ROWS`` minima each, so a pair at the bound is
 missed with probability (1 - 0.8 ** 4) ** 24, 3 in a million, and a nearer one less often. Each
 candidate is verified on the sets themselves. A bucket's documents first meet its smallest one, so a
 large group of near copies costs as many pairs as it has documents. Where a bucket's documents are
@@ -25,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import simhash
 from . import text as tx
 from .components import components
 from .ids import fresh, with_key
@@ -82,6 +86,24 @@ def signatures(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     return cols.mapInArrow(run, "key long, whole long, bands array<long>")
 
 
+def alike(docs: DataFrame, first: DataFrame, key: str, text_col: str = "text") -> DataFrame:
+    """Pairs (a, b), a < b, that connect the documents of ``first`` (key) whose fingerprints are linked."""
+    marked = simhash.fingerprints(docs, key, text_col, SHINGLE).join(first.select(F.col("key").alias("doc_id")), "doc_id", "left_semi")
+    marked = keep(marked, "near-fp")
+    distinct = keep(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "near-distinct")
+    equal = marked.join(distinct, "fp").filter("doc_id <> least").select(F.col("least").alias("a"), F.col("doc_id").alias("b"))
+    of = lambda side, name: distinct.select(F.col("fp").alias(side), F.col("least").alias(name))
+    linked = simhash.links(distinct).join(of("a", "x"), "a").join(of("b", "y"), "b")
+    return equal.union(linked.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))).distinct()
+
+
+def apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs (a, b) that aren't in one group already."""
+    of = lambda side: roots.select(F.col("node").alias(side), F.col("root").alias(f"of_{side}"))
+    grouped = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    return grouped.filter(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b")
+
+
 def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
     """Columns of whole buckets, of rows that come in order of their first column."""
     held: list[np.ndarray] | None = None
@@ -248,8 +270,10 @@ def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     marked = keep(signatures(keyed, key, text_col), "near-signatures")
     first = keep(marked.groupBy("whole").agg(F.min_by(F.struct("key", "bands"), "key").alias("s")).select("s.key", "s.bands"), "near-first")
     met = keep(meetings(first.select(F.explode("bands").alias("band"), "key")), "near-met")
-    links = verified(met.filter("least <> key").select(F.col("least").alias("a"), F.col("key").alias("b")).distinct(), keyed, key, text_col)
-    roots = keep(components(links), "near-roots")
+    roots = keep(components(verified(keep(alike(keyed, first, key, text_col), "near-alike"), keyed, key, text_col)), "near-roots")
+    stars = met.filter("least <> key").select(F.col("least").alias("a"), F.col("key").alias("b")).distinct()
+    links = verified(keep(apart(stars, roots), "near-apart"), keyed, key, text_col)
+    roots = keep(components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(links)), "near-roots")
     buckets = keep(open_buckets(met, roots), "near-open")
     asked = keyed.join(_few(buckets.select(F.col("key").alias(key)).distinct()), key, "left_semi")
     more = keep(verified(open_pairs(buckets, elsewhere(asked, key, text_col)), keyed, key, text_col), "near-links")

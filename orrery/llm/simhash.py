@@ -42,32 +42,32 @@ BUCKET = 512
 _BLOCK = 1 << 16
 
 
-def fingerprint(text: bytes) -> int:
+def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
     """SimHash of the text's shingles, unsigned."""
     from xxhash import xxh64_digest
 
     w = text.lower().split()  # bytes.lower and bytes.split know ASCII alone
     if not w:
         return 0
-    if len(w) < SHINGLE:
+    if len(w) < shingle:
         return int.from_bytes(xxh64_digest(b" ".join(w), SEED), "big")
-    n = len(w) - SHINGLE + 1
+    n = len(w) - shingle + 1
     ones = np.zeros(64, dtype=np.int64)
     for at in range(0, n, _BLOCK):
-        part = w[at : at + _BLOCK + SHINGLE - 1]
-        shingles = map(b" ".join, zip(*(part[i:] for i in range(SHINGLE))))
+        part = w[at : at + _BLOCK + shingle - 1]
+        shingles = map(b" ".join, zip(*(part[i:] for i in range(shingle))))
         h = np.frombuffer(b"".join(map(xxh64_digest, shingles, repeat(SEED))), dtype=np.uint8)
         ones += np.unpackbits(h.reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
     return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, fp), the fingerprint as a signed long."""
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = np.array([fingerprint(t.as_py() or b"") for t in b.column("text").cast(pa.binary())], dtype=np.uint64)
+            fp = np.array([fingerprint(t.as_py() or b"", shingle) for t in b.column("text").cast(pa.binary())], dtype=np.uint64)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
 
     cols = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))

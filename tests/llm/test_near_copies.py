@@ -56,3 +56,21 @@ def test_stage_matches_brute_force_jaccard(spark):
     assert near_copies.survivors(df.limit(0)).count() == 0
     twice = near_copies.survivors(df.union(df).withColumn("doc_id", F.lit(None).cast("long")))
     assert twice.count() == len(want)
+
+
+def test_stage_goes_through_simhash(spark, monkeypatch):
+    """Without MinHash the stage still joins what fingerprints within four bits tell."""
+    texts = corpus()
+    fps = [simhash.fingerprint((t or "").encode(), 5) for t in texts]
+    sets, group = [plain(t) for t in texts], list(range(len(texts)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if a == b or ((fps[i] ^ fps[j]).bit_count() <= 4 and len(a & b) >= 0.8 * len(a | b)):
+                low, high = sorted((group[i], group[j]))
+                group = [low if g == high else g for g in group]
+    want = {i for i, g in enumerate(group) if i == g}
+    assert len(texts) - len(want) > 40
+    every = near_copies.meetings
+    monkeypatch.setattr(near_copies, "meetings", lambda bands: every(bands.limit(0)))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert {r.doc_id for r in cp.near_dedup(spark, df, "").select("doc_id").collect()} == want
