@@ -139,7 +139,7 @@ def relative_contrast(distances: DataFrame) -> DataFrame:
 
 def distance_sums(base: VectorTable, queries: VectorTable, nearest: DataFrame) -> DataFrame:
     """(query_id, total, n, nearest): L2 distances from each stated query to all other rows, added up
-    in the tasks, and that to the nearest (rank 1 of ``nearest``)."""
+    in the tasks a tile of rows and queries at a time, and that to the nearest (rank 1 of ``nearest``)."""
     spark = base.df.sparkSession
     parts = spark.createDataFrame([], "query_id long, total double, n long")
     for ids, q in knn._blocks(queries.rows, base.dimension() or 0):
@@ -149,10 +149,17 @@ def distance_sums(base: VectorTable, queries: VectorTable, nearest: DataFrame) -
             ids, q = shared.value
             total, n = np.zeros(len(ids)), np.zeros(len(ids), dtype=np.int64)
             for b in batches:
-                if b.num_rows:
-                    other = b.column("id").to_numpy()[:, None] != ids[None, :]
-                    total += (D.kernel("l2", knn._matrix(b.column("vector")), q) * other).sum(axis=0)
-                    n += other.sum(axis=0)
+                rows, all_x = b.column("id").to_numpy(), knn._matrix(b.column("vector")) if b.num_rows else None
+                for i in range(0, len(rows), knn.TILE_ROWS):
+                    x = all_x[i : i + knn.TILE_ROWS].astype(np.float64)
+                    for j in range(0, len(ids), knn.TILE_QUERIES):
+                        part = slice(j, j + knn.TILE_QUERIES)
+                        other = ids[part, None] != rows[None, i : i + knn.TILE_ROWS]
+                        d = D.kernel("l2", q[part], x)
+                        which, at = np.nonzero(d <= 1e-4 * np.sqrt((x * x).sum(axis=1))[None, :])  # digits are lost there
+                        d[which, at] = knn._from_differences("l2", q[part], x, d, which, at)
+                        total[part] += (d * other).sum(axis=1)
+                        n[part] += other.sum(axis=1)
             yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(total), pa.array(n)], names=["query_id", "total", "n"])
 
         parts = parts.union(base.rows.select("id", "vector").mapInArrow(run, "query_id long, total double, n long"))
