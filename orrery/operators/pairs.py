@@ -1,15 +1,15 @@
-"""All pairs of rows within a radius of each other: a self-join by lists, exact.
+"""All pairs of rows within a radius of each other: a self-join by blocks, exact.
 
-Equal vectors are one class, the smallest id standing for it. A class's home is its nearest centroid's
-list. By the triangle inequality two vectors within ``radius`` meet in the home of either if the other
-visits every list whose centroid is no more than two radii further than its own; one meeting will do,
-so a class visits only lists before its home. There, both have distances from the centroid that differ
-by the radius at most: lists are cut into shells of that thickness, and a class goes to its own shell
-and to the next one out, to meet those there. Shells over ``BLOCK`` rows are dealt as pairs of blocks,
-so no task holds more than two blocks, whatever share of the rows one list or shell has.
+Equal vectors are one class, the smallest id standing for it. Classes are dealt into blocks by their
+nearest centroid's list and their distance from it; near lists share a block if they are small. Two
+vectors within ``radius`` differ in their distance from any centroid by the radius at most, so two blocks
+meet only if their ranges of distances from every centroid come that near. A pair of blocks meets once,
+at one of the two: that one is held there, and the other's rows pass by a pack at a time. So each pair
+of classes is seen once, and no task holds more than a block of ``BLOCK`` rows, whatever share of the
+rows one list has.
 
-Centroids decide how much is compared, never what is found. Copies of a row follow from the radius
-against the distances between centroids, not from the number of lists.
+Centroids decide how much is compared, never what is found. A block is copied to half of the blocks that
+it meets; where the radius is near the distances between centroids, those are all.
 
 Defined results: rows without an id or a vector have no pairs; of several vectors with one id one
 counts; pairs are a < b by id; an empty table gives an empty result; other columns are
@@ -18,6 +18,7 @@ dropped.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,10 +30,13 @@ from ..errors import Unsupported
 from ..functions import distance as D
 from ..schema import VectorTable
 from . import knn
+from .shared import keep
 
-BLOCK = 8192
+#: Rows of a block at most, blocks that a small table is dealt into, rows of the sample that cuts lists.
+BLOCK, BLOCKS, SAMPLE = 1 << 16, 8, 20_000
 PAIRS = "a long, b long, distance double"
-_HELD = "list int, shell long, own boolean, visitor boolean, id long, vector array<double>"
+_PACK = "at int, own boolean, ids binary, vectors binary"
+_RANGE = "block int, n long, lo array<double>, hi array<double>"
 
 
 def _vectors(base: VectorTable) -> DataFrame:
@@ -53,78 +57,170 @@ def members(base: VectorTable) -> DataFrame:
     return rows.join(first, "vector").select("id", "member").distinct()
 
 
-def _held(distinct: DataFrame, centroids: np.ndarray, radius: float) -> DataFrame:
-    """A row a list and shell that a class goes to; ``own`` where the shell is its own."""
-    shared = distinct.sparkSession.sparkContext.broadcast(centroids)
-
-    thick = radius * (1 + 1e-6) + 1e-5
+class _Blocks:
+    """The block of a row: by its nearest centroid, and cuts of the distance from it where a list is large."""
+
+    def __init__(self, centroids: np.ndarray, sample: np.ndarray, n: int, rows: int):
+        self.centroids = centroids
+        d, _ = self.distances(sample)
+        home = d.argmin(axis=1)
+        size = np.bincount(home, minlength=len(centroids)) * (n / max(len(sample), 1))
+        self.first, self.cuts, self.n = np.full(len(centroids), -1), [np.zeros(0)] * len(centroids), 0
+        between = D.kernel("l2_squared", centroids, centroids)
+        for c in range(len(centroids)):
+            if self.first[c] >= 0:
+                continue
+            self.first[c] = self.n
+            if size[c] > rows:
+                many = math.ceil(size[c] / rows)
+                self.cuts[c] = np.unique(np.quantile(d[home == c, c], np.arange(1, many) / many))
+                self.n += len(self.cuts[c]) + 1
+                continue
+            held = size[c]
+            for other in np.argsort(between[c], kind="stable"):
+                if self.first[other] < 0 and held + size[other] <= rows:
+                    self.first[other] = self.n
+                    held += size[other]
+            self.n += 1
+
+    def distances(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Distances from the centroids, and what they may be off by."""
+        d = D.kernel("l2", x, self.centroids)
+        return d, 1e-6 * (1 + d) + knn._slack("l2", x, self.centroids)
+
+    def of(self, d: np.ndarray) -> np.ndarray:
+        home = d.argmin(axis=1)
+        block = self.first[home].copy()
+        for c in np.unique(home):
+            if len(self.cuts[c]):
+                mine = home == c
+                block[mine] += np.searchsorted(self.cuts[c], d[mine, c], side="right")
+        return block
+
+
+def _ranges(distinct: DataFrame, blocks: _Blocks) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows, least and largest distance from each centroid of each block: numbers for a block and
+    centroid reach the driver, which are few."""
+    shared = distinct.sparkSession.sparkContext.broadcast(blocks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i in range(0, b.num_rows, 1024):
-                p = b.slice(i, 1024)
-                d = np.sqrt(D.kernel("l2_squared", knn._matrix(p.column("vector")), shared.value))
-                home = d.argmin(axis=1)
-                slack = 1e-6 * (1 + d)  # of the product form and the rounding of results
-                far = d <= d[np.arange(len(d)), home][:, None] + 2 * radius + slack
-                row, at = np.nonzero((far & (np.arange(d.shape[1])[None, :] < home[:, None])) | (np.arange(d.shape[1])[None, :] == home[:, None]))
-                shell = np.floor(d[row, at] / thick).astype(np.int64)
-                row, at, shell = np.tile(row, 2), np.tile(at, 2), np.concatenate([shell, shell + 1])
-                own = np.arange(len(row)) < len(row) // 2
-                columns = [pa.array(at.astype(np.int32)), pa.array(shell), pa.array(own), pa.array(at != home[row]), p.column("id").take(pa.array(row)), p.column("vector").take(pa.array(row))]
-                yield pa.RecordBatch.from_arrays(columns, names=["list", "shell", "own", "visitor", "id", "vector"])
-
-    return distinct.mapInArrow(run, _HELD)
+        b = shared.value
+        n, shape = np.zeros(b.n, np.int64), (b.n, len(b.centroids))
+        lo, hi = np.full(shape, np.inf), np.full(shape, -np.inf)
+        for batch in batches:
+            for i in range(0, batch.num_rows, 1024):
+                d, off = b.distances(knn._matrix(batch.slice(i, 1024).column("vector")))
+                at = b.of(d)
+                n += np.bincount(at, minlength=b.n)
+                np.minimum.at(lo, at, d - off)
+                np.maximum.at(hi, at, d + off)
+        some = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(n[some]), pa.array(list(lo[some]), pa.list_(pa.float64())), pa.array(list(hi[some]), pa.list_(pa.float64()))], names=["block", "n", "lo", "hi"])
+
+    each = distinct.mapInArrow(run, _RANGE).select("block", "n", F.posexplode(F.arrays_zip("lo", "hi")).alias("c", "r"))
+    got = each.groupBy("block", "c").agg(F.sum("n").alias("n"), F.min("r.lo").alias("lo"), F.max("r.hi").alias("hi")).toPandas()
+    n, shape = np.zeros(blocks.n, np.int64), (blocks.n, len(blocks.centroids))
+    lo, hi = np.full(shape, np.inf), np.full(shape, -np.inf)
+    n[got["block"]] = got["n"]
+    lo[got["block"], got["c"]], hi[got["block"], got["c"]] = got["lo"], got["hi"]
+    return n, lo, hi
+
+
+def _meetings(n: np.ndarray, lo: np.ndarray, hi: np.ndarray, radius: float, most: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """First part and number of parts of each block, which has at most ``most`` rows a part, and where
+    each part goes besides its own place: of two that meet, one goes to the other."""
+    parts = np.maximum(1, -(-n // most))
+    first = np.cumsum(parts) - parts
+    of = np.repeat(np.arange(len(n)), parts)
+    lo, hi, there = lo[of], hi[of], np.arange(len(of))
+    goes = []
+    for i in there:
+        near = (n[of[i]] > 0) & (n[of] > 0) & (lo[i] <= hi + radius).all(axis=1) & (lo <= hi[i] + radius).all(axis=1)
+        ahead = (there - i) % len(of)  # a part goes to the nearer half of those after it, in a circle
+        goes.append(np.flatnonzero(near & (ahead > 0) & ((2 * ahead < len(of)) | ((2 * ahead == len(of)) & (there > i)))))
+    return first, parts, goes
+
+
+def _close(x: np.ndarray, y: np.ndarray, radius: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions of rows of x and of y that may be within the radius, a tile at a time; in single
+    precision where what that may be off by is little against the radius."""
+    xx, yy = (x * x).sum(axis=1), (y * y).sum(axis=1)
+    most, off = (radius + 10.0**-knn.PLACES) ** 2 * (1 + 1e-6), (16 + x.shape[1]) * (xx.max() + yy.max())
+    if 1e-6 * off < 0.01 * most:
+        x, y, xx, yy, most = *(v.astype(np.float32) for v in (x, y, xx, yy)), np.float32(most + 1e-6 * off)
+    else:
+        most += 2e-15 * off
+    for i in range(0, len(x), 256):
+        for j in range(0, len(y), 2048):
+            square = x[i : i + 256] @ y[j : j + 2048].T
+            square *= -2
+            square += xx[i : i + 256, None]
+            square += yy[None, j : j + 2048]
+            u, v = np.nonzero(square <= most)
+            if len(u):
+                yield u + i, v + j
 
 
 def near_pairs(distinct: DataFrame, radius: float, centroids: np.ndarray, block: int = BLOCK) -> DataFrame:
     """(a, b, distance) of all pairs of ``distinct`` (id, vector; L2) no further apart than ``radius``."""
     if radius < 0 or not len(centroids):
         raise Unsupported("a radius of 0 or more and one centroid at least")
-    held = _held(distinct.select("id", "vector"), centroids, radius)
-    sizes = held.groupBy("list", "shell").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")).filter("blocks > 1")
-    marked = held.join(sizes, ["list", "shell"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    marked = marked.withColumn("mine", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = marked.select("list", "shell", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "own", "visitor", "id", "vector")
-
-    def compared(i: int, j: int, mine: np.ndarray, own: np.ndarray, visitor: np.ndarray, id_: np.ndarray, x: np.ndarray) -> Iterator[pa.RecordBatch]:
-        left, right = np.flatnonzero(mine == i), np.flatnonzero(mine == j)
-        for at in range(0, len(left), 256):
-            l = left[at : at + 256]  # noqa: E741
-            about = np.sqrt(D.kernel("l2_squared", x[l], x[right]))
-            u, v = np.nonzero(about <= radius + 1e-5 * (1 + radius) + np.sqrt(knn._slack("l2_squared", x[l], x[right])))
-            u, v = l[u], right[v]
-            # one of them in its own shell, one at home; two in their own shells meet once, here
-            some = (own[u] | own[v]) & ~(visitor[u] & visitor[v]) & (id_[u] != id_[v])
-            some &= (u < v) if i == j else True
-            u, v = u[some], v[some]
-            d = np.round(np.sqrt(((x[u] - x[v]) ** 2).sum(axis=1)), knn.PLACES) + 0.0
-            u, v, d = u[d <= radius], v[d <= radius], d[d <= radius]
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(id_[u], id_[v])), pa.array(np.maximum(id_[u], id_[v])), pa.array(d)], names=["a", "b", "distance"])
+    spark = distinct.sparkSession
+    odd = F.exists("vector", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))  # no distance from any row
+    distinct = keep(distinct.filter(~odd).select("id", "vector"), "classes")
+    n = distinct.count()
+    if not n:
+        return spark.createDataFrame([], PAIRS)
+    some = distinct.filter(F.pmod(F.xxhash64("id"), F.lit(n)) < SAMPLE).limit(2 * SAMPLE).select("vector").toArrow().column("vector").combine_chunks()
+    blocks = _Blocks(np.asarray(centroids, dtype=np.float64), knn._matrix(some), n, min(block, max(1024, -(-n // BLOCKS))))
+    shared = spark.sparkContext.broadcast((blocks, *_meetings(*_ranges(distinct, blocks), radius, block)))
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks, first, parts, goes = shared.value
+        for b in batches:
+            for i in range(0, b.num_rows, 8192):
+                ids, x = b.slice(i, 8192).column("id").to_numpy(), knn._matrix(b.slice(i, 8192).column("vector"))
+                at = blocks.of(blocks.distances(x)[0])
+                at = first[at] + (ids * 0x9E3779B1 >> 16) % parts[at]
+                slim = x.astype(np.float32)
+                whole = (slim == x).all()  # single precision holds them
+                for part in np.unique(at):
+                    mine = np.flatnonzero(at == part)
+                    to = np.concatenate([[part], goes[part]]).astype(np.int32)
+                    pack = [ids[mine].tobytes(), (slim if whole else x)[mine].tobytes()]
+                    yield pa.RecordBatch.from_arrays([pa.array(to), pa.array(np.arange(len(to)) == 0), *[pa.array([p] * len(to), pa.binary()) for p in pack]], names=["at", "own", "ids", "vectors"])
+
+    def found(ids: np.ndarray, x: np.ndarray, others: np.ndarray, y: np.ndarray, itself: bool) -> Iterator[pa.RecordBatch]:
+        for u, v in _close(x, y, radius):
+            if itself:
+                u, v = u[u < v], v[u < v]
+            d = np.round(np.sqrt(((x[u] - y[v]) ** 2).sum(axis=1)), knn.PLACES) + 0.0
+            u, v, d = ids[u[d <= radius]], others[v[d <= radius]], d[d <= radius]
+            if len(d):
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v)), pa.array(d)], names=["a", "b", "distance"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        key = None
-
-        def done() -> Iterator[pa.RecordBatch]:
-            t = pa.Table.from_batches(held).combine_chunks()
-            columns = [t.column(c).combine_chunks().to_numpy(zero_copy_only=False) for c in ("mine", "own", "visitor", "id")]
-            yield from compared(key[2], key[3], *columns, knn._matrix(t.column("vector").combine_chunks()))
-
+        now, own, block = -1, [], None
         for b in batches:
-            keys = np.stack([b.column(c).to_numpy() for c in ("list", "shell", "i", "j")], axis=1).astype(np.int64) if b.num_rows else np.zeros((0, 4), np.int64)
-            edge = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]).any(axis=1)])) if len(keys) else []
-            for lo, hi in zip(edge, [*edge[1:], len(keys)]):
-                if key != (now := tuple(keys[lo].tolist())):
-                    if held:
-                        yield from done()
-                    held, key = [], now
-                held.append(b.slice(lo, hi - lo))
-        if held:
-            yield from done()
-
-    ordered = dealt.repartition("list", "shell", "i", "j").sortWithinPartitions("list", "shell", "i", "j")
-    return ordered.mapInArrow(run, PAIRS).distinct()
+            for at, mine, ids, x in zip(*(b.column(c).to_pylist() for c in ("at", "own", "ids", "vectors"))):
+                ids = np.frombuffer(ids, dtype=np.int64)
+                x = np.frombuffer(x, dtype=np.float64 if len(x) == 8 * width * len(ids) else np.float32).reshape(len(ids), -1).astype(np.float64)
+                # a block's own packs come before those that pass by
+                if own and not (mine and at == now):
+                    block, own = tuple(np.concatenate(p) for p in zip(*own)), []
+                    yield from found(*block, *block, True)
+                now = at
+                if mine:
+                    own.append((ids, x))
+                else:
+                    yield from found(ids, x, *block, False)
+        if own:
+            block = tuple(np.concatenate(p) for p in zip(*own))
+            yield from found(*block, *block, True)
+
+    width = np.asarray(centroids).shape[1]
+    packs = distinct.mapInArrow(dealt, _PACK).repartition("at").sortWithinPartitions("at", F.col("own").desc())
+    return packs.mapInArrow(run, PAIRS)
 
 
 def duplicates(base: VectorTable, radius: float, centroids: np.ndarray, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
